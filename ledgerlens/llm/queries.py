@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op4_benchmark_decontamination
 from .license_scan import op3_license_scans
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .mixing import op8_mixing
+from .sharding import op5_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op3_license_scans,
             op4_benchmark_decontamination,
+            op5_sharding,
+            op8_mixing,
             op10_line_dedup,
         )
     }
