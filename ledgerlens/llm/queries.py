@@ -11,6 +11,7 @@ from .license_scan import op3_license_scans
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op8_mixing
 from .sharding import op5_sharding
+from .topk import OP7_SQL, op7_exact_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_license_scans,
             op4_benchmark_decontamination,
             op5_sharding,
+            op7_exact_topk,
             op8_mixing,
             op10_line_dedup,
         )
@@ -27,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op7_exact_topk": OP7_SQL, "op10_line_dedup": OP10_SQL}
