@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op4_benchmark_decontamination
+from .language_id import op1_language_id
 from .license_scan import op3_license_scans
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op8_mixing
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_language_id,
             op3_license_scans,
             op4_benchmark_decontamination,
             op5_sharding,
