@@ -28,6 +28,8 @@ TEMPER = 0.3
 KAPPA = 10.0
 #: Declared languages looked at, the most frequent first; they bound the model's size.
 MAX_LANGUAGES = 64
+#: A document is rejected where "und" is at least this likely.
+REJECT_AT = 0.99
 #: Rejected documents of up to so many bytes of keys are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -127,9 +129,11 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source") -> D
     frequent) and "und". A text without letters, null ones included, has no
     language: "und", posterior 1. A null or unlisted declaration says nothing; a
     null host is a host of its own, of no suffix. Equal posteriors go to the
-    language first by code, "und" last. Accepted: every document but "und" ones.
-    Repeated rows are told apart by nothing and get the same verdict each. An
-    empty table gives no rows; with no declared language at all every text is "und".
+    language first by code.
+    "Und" takes a document, which is then not accepted, only where it is at least
+    REJECT_AT likely: a few odd tokens don't cost a text its language. Repeated
+    rows are told apart by nothing and get the same verdict each. An empty table
+    gives no rows; with no declared language at all every text is "und".
     """
     rows = docs.select(
         "doc_id",
@@ -168,9 +172,12 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source") -> D
     fused = scores.join(priors, scores["host"] == priors["of"], "left").withColumn(
         "logs", F.zip_with(F.zip_with("loglik", "prior", lambda a, b: a + b), confusion, lambda a, b: a + b)
     )
-    lang = F.coalesce(_argmax(F.col("logs"), names), F.lit(UNKNOWN))
+    fused = fused.withColumn("post", _normal(F.col("logs")))
+    unknown = F.coalesce(F.get("post", len(languages)), F.lit(1.0))
+    named = F.slice("post", 1, len(languages)) if languages else F.array(F.lit(0.0))
+    lang = F.when(unknown >= REJECT_AT, UNKNOWN).otherwise(F.coalesce(_argmax(named, languages or [UNKNOWN]), F.lit(UNKNOWN)))
     return fused.select(
-        "doc_id", "__key", lang.alias("lang"), F.coalesce(F.array_max(_normal(F.col("logs"))), F.lit(1.0)).alias("posterior"),
+        "doc_id", "__key", lang.alias("lang"), F.when(lang == UNKNOWN, unknown).otherwise(F.array_max(named)).alias("posterior"),
         F.coalesce("text_lang", F.lit(UNKNOWN)).alias("text_lang"), "declared", (lang != UNKNOWN).alias("accepted"),
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op4_benchmark_decontamination
+from .jaccard_join import op6_jaccard_join
 from .language_id import op1_language_id
 from .license_scan import op3_license_scans
 from .line_dedup import OP10_SQL, op10_line_dedup
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_license_scans,
             op4_benchmark_decontamination,
             op5_sharding,
+            op6_jaccard_join,
             op7_exact_topk,
             op8_mixing,
             op10_line_dedup,
