@@ -13,6 +13,7 @@ from .license_scan import op3_license_scans
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op8_mixing
 from .sharding import op5_sharding
+from .substring_dedup import op2_substring_dedup
 from .topk import OP7_SQL, op7_exact_topk
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_language_id,
+            op2_substring_dedup,
             op3_license_scans,
             op4_benchmark_decontamination,
             op5_sharding,
