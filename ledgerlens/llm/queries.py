@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op4_benchmark_decontamination
+from .html_extract import op9_html_extraction
 from .jaccard_join import op6_jaccard_join
 from .language_id import op1_language_id
 from .license_scan import op3_license_scans
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_jaccard_join,
             op7_exact_topk,
             op8_mixing,
+            op9_html_extraction,
             op10_line_dedup,
         )
     }
