@@ -14,7 +14,7 @@ def glob_regex(glob: Column) -> Column:
 
 def filename_scores(docs: DataFrame, globs: DataFrame, name: str, doc: str = "doc_id") -> DataFrame:
     """CLS-1: doc, role and score 1.0 for each role one of whose globs matches. globs: role, glob, a manifest's few."""
-    return docs.join(F.broadcast(globs), F.col(name).rlike(glob_regex(F.col("glob")))).groupBy(doc, "role").agg(F.lit(1.0).alias("score"))
+    return docs.join(F.broadcast(globs), F.rlike(F.col(name), glob_regex(F.col("glob")))).groupBy(doc, "role").agg(F.lit(1.0).alias("score"))
 
 
 def header_scores(docs: DataFrame, words: DataFrame, text: str, doc: str = "doc_id", enough: int = 3) -> DataFrame:

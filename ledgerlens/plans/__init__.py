@@ -1 +1,4 @@
+"""Query plans of the audit operators, registered with their SQL."""
 
+from . import rule_queries, sequence_queries  # noqa: F401
+from .catalog import QUERIES, SQL  # noqa: F401
