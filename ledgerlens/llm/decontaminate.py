@@ -62,10 +62,14 @@ class Automaton:
 
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_EXTRA = T.StructType.fromDDL(
-    "n_words bigint, runs array<struct<first:bigint,past:bigint>>, items array<string>, "
-    "chars array<struct<start:bigint,end:bigint>>"
-)
+def _pairs(a: str, b: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(a, T.LongType()), T.StructField(b, T.LongType())]))
+
+
+_EXTRA = T.StructType([
+    T.StructField("n_words", T.LongType()), T.StructField("runs", _pairs("first", "past")),
+    T.StructField("items", T.ArrayType(T.StringType())), T.StructField("chars", _pairs("start", "end")),
+])
 
 
 def offsets(text: str, runs: list[list[int]]) -> list[dict[str, int]]:

@@ -121,7 +121,8 @@ def op5_sharding(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with shard, slot and size."""
+    """Pipeline stage: the documents with shard, slot and size, in place of columns of those names."""
     rows = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "kd-docs")
     placed = assign(rows).select("__rid", "shard", "slot", "size")
-    return rows.join(placed, "__rid").drop("__rid")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in placed.columns]
+    return rows.select("__rid", *own).join(placed, "__rid").drop("__rid")
