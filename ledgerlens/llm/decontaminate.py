@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,16 +141,7 @@ def scan(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("chars"))).alias("chars"),
     )
-    for name, a, b in (("runs", "first", "past"), ("chars", "start", "end")):
-        kind = merged.schema[name].dataType
-        fold = lambda acc, x, a=a, b=b, kind=kind: F.when(
-            (F.size(acc) > 0) & (x[a] < F.element_at(acc, -1)[b]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)[a].alias(a), F.greatest(F.element_at(acc, -1)[b], x[b]).alias(b))),
-            ),
-        ).otherwise(F.concat(acc, F.array(x)))
-        merged = merged.withColumn(name, F.aggregate(name, F.array().cast(kind), fold))
+    merged = merged.withColumns({n: _folded(merged, n, *ab) for n, ab in (("runs", ("first", "past")), ("chars", ("start", "end")))})
     return rows.join(merged, "__rid").select(*own, extra)
 
 
@@ -166,6 +157,19 @@ def blocks(benchmark: DataFrame, most: int):
     return [lambda k=k: fetch(k) for k in range(n)]
 
 
+def _folded(rows: DataFrame, name: str, a: str, b: str) -> Column:
+    """A sorted array of ranges with those that overlap made one."""
+
+    def fold(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.struct(last[a].alias(a), F.greatest(last[b], x[b]).alias(b))
+        return F.when((F.size(done) > 0) & (x[a] < last[b]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(
+            F.concat(done, F.array(x))
+        )
+
+    return F.aggregate(name, F.array().cast(rows.schema[name].dataType), fold)
+
+
 def verdict() -> tuple:
     """n_hit and contaminated, from the column that scan() adds."""
     n_hit = F.aggregate("decontam.runs", F.lit(0).cast("long"), lambda acc, r: acc + r["past"] - r["first"])
