@@ -1,4 +1,4 @@
 """Query plans of the audit operators, registered with their SQL."""
 
-from . import aggregate_queries, function_queries, rule_queries, sequence_queries  # noqa: F401
+from . import aggregate_queries, function_queries, more_queries, rule_queries, sequence_queries  # noqa: F401
 from .catalog import QUERIES, SQL  # noqa: F401

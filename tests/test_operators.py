@@ -223,3 +223,18 @@ def test_latest_per_key_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, n: seen.extend(tuple(r) for r in df.select("key", "payload").collect())).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert dict(seen)["a"] == "3" and dict(seen)["b"] == "2"
+
+
+def test_ports(spark):
+    from ledgerlens.operators import external
+
+    def port(batch):
+        if len(batch) > 3 and any(r["id"] == "r7" for r in batch):
+            raise RuntimeError("too large")
+        return [{"id": r["id"], "status": "compliant"} for r in batch if r["id"] != "r5"]
+
+    df = spark.createDataFrame([(f"r{i}", '{"x": 1}') for i in range(10)], "id string, body string").coalesce(1)
+    got = {r.id: (r.answer, r.error) for r in external.call(df, port, size=5).collect()}
+    assert len(got) == 10 and got["r5"][0] is None and got["r5"][1] and all(got[f"r{i}"][1] is None for i in range(10) if i != 5)
+    good, bad = external.split_results(external.call(df, port, size=5))
+    assert good.count() == 9 and bad.count() == 1
