@@ -15,6 +15,8 @@ from .common import written
 
 SHARDS = 40
 OVERHEAD = 16
+#: A node is not split by size where its largest document has more than this share of a shard.
+COARSE = 0.25
 
 
 def _as_unit(x: Column) -> Column:
@@ -63,7 +65,9 @@ def tree(meta: DataFrame, shards: int) -> DataFrame:
         split, targets = [], {}
         for r in stats:
             if (m := wide[r["node"]]) > 1:
-                widest = max(range(len(dims)), key=lambda i: ((r[f"max_{dims[i]}"] - r[f"min_{dims[i]}"]) / span[dims[i]], -i))
+                coarse = 2 ** r["max_d0"] > COARSE * r["w"] / m  # by size, the few largest would end up alone
+                width = [0.0 if i == 0 and coarse else (r[f"max_{d}"] - r[f"min_{d}"]) / span[d] for i, d in enumerate(dims)]
+                widest = max(range(len(dims)), key=lambda i: (width[i], i if coarse else -i))
                 split.append((r["node"], widest, r["node"] + m // 2))
                 targets[r["node"]] = r["w"] * (m // 2) / m
         if not split:
