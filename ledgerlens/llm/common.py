@@ -64,6 +64,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps what a Python worker holds of its input to a few megabytes, whatever the length of texts.
+
+    Sets the session's Arrow batch limits where it has none of its own.
+    """
+    for name, few in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", "4m")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, few)
+
+
 # ---------------------------------------------------------------- native expressions
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone; null counts as empty."""
@@ -176,7 +187,7 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, k))
 
 
-def groups_of_bytes(texts: list[bytes | None], most: int = 4 << 20):
+def groups_of_bytes(texts: list[bytes | None], most: int = 1 << 20):
     """Index ranges whose texts come to about `most` bytes, so that work space stays bounded."""
     begin = total = 0
     for i, t in enumerate(texts):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, byte_values, words_of
+from .common import WORD, byte_values, small_batches, words_of
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton; a larger benchmark takes several, one after the other.
@@ -113,6 +113,7 @@ def scan(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     keep = docs.columns if keep is None else keep
     at, kept = docs.columns.index("text"), [docs.columns.index(c) for c in keep]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, byte_values, groups_of_bytes, written
+from .common import WORD_TABLE, byte_values, groups_of_bytes, small_batches, written
 
 BUCKETS = 4096
 UNKNOWN = "und"
@@ -135,6 +135,7 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source") -> D
     rows are told apart by nothing and get the same verdict each. An empty table
     gives no rows; with no declared language at all every text is "und".
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         "doc_id",
         key(docs).alias("__key"),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, remove, table_path, written
+from .common import byte_values, remove, small_batches, table_path, written
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 4
 _BLANKS = b" \t\n\r\x0b\x0c"
@@ -101,6 +101,7 @@ def dedup(
     repeat a doc_id count as documents of their own and share its verdict.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     lines = table_path(spark, "lines")
     line_keys(docs, min_chars, batches).write.partitionBy("batch").parquet(lines)
     lines = spark.read.schema("key binary, doc_id long, batch int").parquet(lines)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 SCALE, K = 1024, 10
 #: Rows in a shard, in a leaf, and queries in a block: what one task holds.
@@ -62,6 +62,7 @@ def build(ids: np.ndarray, v: np.ndarray, leaf: int) -> dict:
 
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """One row a shard: dim, shard, tree (bytes)."""
+    small_batches(vectors.sparkSession)
     n = vectors.count()
     shards = max(1, -(-n // shard_rows))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
