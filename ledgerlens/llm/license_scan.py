@@ -87,14 +87,13 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, text
         F.when(F.col("tid") >= 0, F.slice("ws", first + 1, F.greatest(last - first, F.lit(0)))).alias("under"),
     )
 
-    # From here on there are a row a document and the few hits, dealt by row id once.
-    hits = hits.repartition(F.col("__rid"))
+    # From here on there are a row a document (tid -1) and the few hits, dealt by row id once.
     voted = (
-        hits.where("tid >= 0")
+        hits.repartition(F.col("__rid"))
         .groupBy("__rid", "tid", "diagonal")
-        .agg(F.count("*").alias("votes"), F.first("under").alias("under"))
-        .join(about, "tid")
-        .where(F.col("votes") * 4 >= F.col("n") - 1)
+        .agg(F.count("*").alias("votes"), F.first("under").alias("under"), F.first("__own").alias("__own"))
+        .join(about, "tid", "left")
+        .where((F.col("tid") < 0) | (F.col("votes") * 4 >= F.col("n") - 1))
     )
     order = Window.partitionBy("__rid", "tid").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(order)
@@ -106,7 +105,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, text
         F.max_by("diagonal", best).alias("start"),
         F.max_by("under", best).alias("under"),
         F.sum("votes").alias("votes"),
-        *[F.first(c).alias(c) for c in ("label", "base", "need", "wanted")],
+        *[F.first(c).alias(c) for c in ("label", "base", "need", "wanted", "__own")],
     )
 
     def bigrams(words):
@@ -115,14 +114,17 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, text
 
     wanted = F.array_distinct(bigrams(F.col("wanted")))
     score = F.size(F.array_intersect(wanted, bigrams(F.col("under")))) / F.size(wanted)
-    spans = (
-        merged.withColumn("score", score)
-        .where(F.when(F.col("need") >= 1, F.col("under") == F.col("wanted")).otherwise(F.col("score") >= F.col("need")))
-        .select("__rid", F.struct(F.greatest("start", F.lit(0)).cast("long").alias("start"), "label", "base", "votes", "score").alias("span"))
+    holds = F.when(F.col("need") >= 1, F.col("under") == F.col("wanted")).otherwise(score >= F.col("need"))
+    span = F.struct(F.greatest("start", F.lit(0)).cast("long").alias("start"), "label", "base", "votes", score.alias("score"))
+    return (
+        merged.groupBy("__rid")
+        .agg(
+            F.first("__own", ignorenulls=True).alias("__own"),
+            F.max(F.when(F.col("tid") < 0, F.col("start"))).cast("long").alias("scan_words"),
+            F.array_sort(F.collect_list(F.when((F.col("tid") >= 0) & holds, span))).alias("spans"),
+        )
+        .select("__rid", "__own.*", "scan_words", "spans")
     )
-    rows = hits.where("tid < 0").select("__rid", "__own", F.col("diagonal").cast("long").alias("scan_words"))
-    gathered = spans.groupBy("__rid").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    return rows.join(gathered, "__rid", "left").select("__rid", "__own.*", "scan_words", "spans")
 
 
 def op3_license_scans(spark, sf_dir: str) -> DataFrame:
