@@ -1,11 +1 @@
-"""Training-data pipeline operators.
-
-Functions that run in Python workers are pickled by value, so that executors
-need no copy of this package on their path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data pipeline operators."""

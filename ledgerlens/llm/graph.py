@@ -17,8 +17,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Each node takes the smallest label around it, then the label of its label,
     until nothing changes; only the table of labels is kept from round to round.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = written(both, "edges")
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "edges")  # evaluated once, as workers may find another forest the next time
+    both = pairs.union(pairs.select("b", "a"))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
