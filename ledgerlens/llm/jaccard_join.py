@@ -27,8 +27,8 @@ K, SIMILARITY = 5, 0.8
 RUNS, DEPTH, BRANCH = 5, 3, 2.0
 #: Members of a bucket for brute force; texts in a block of verification; bins of a sketch.
 BUCKET, BLOCK, BINS = 128, 512, 64
-#: Sketch similarity for a candidate, for sets of under FEW shingles, and for leaving a large bucket.
-CANDIDATE, CANDIDATE_FEW, FEW, CLOSE = 0.55, 0.3, 128, 0.8
+#: Sketch similarity for a candidate, for sets of under FEW shingles, and (of sizes too) for leaving a large bucket.
+CANDIDATE, CANDIDATE_FEW, FEW, CLOSE = 0.55, 0.3, 128, 0.9
 #: Levels that large buckets are split further.
 DEEPER = 4
 #: Keys broadcast at most; larger tables are joined by a shuffle.
@@ -131,7 +131,12 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _pivoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of large buckets with their pivot: edges to it, and for those not close to it the keys to split on."""
+    """Members of large buckets with their pivot: edges to it, and for those not close to it the keys to split on.
+
+    A member without an edge always stays. One that leaves is CLOSE to the pivot
+    in size too, so a partner of it has SIMILARITY * CLOSE of the pivot's size
+    or more, and of its likeness to it; edges reach as far, so that no partner is left behind without one.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -140,8 +145,8 @@ def _pivoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, pivot_size = batch.column("size").to_numpy(), batch.column("pivot_size").to_numpy()
         est = (own == pivot).mean(1)
         small, large = np.minimum(size, pivot_size), np.maximum(size, pivot_size)
-        edge = (small >= SIMILARITY * large) & (est >= np.where(small < FEW, CANDIDATE_FEW, CANDIDATE))
-        stay = est < CLOSE
+        edge = (small + 1 >= SIMILARITY * CLOSE * large) & (est >= CLOSE * np.where(small < FEW, CANDIDATE_FEW, CANDIDATE))
+        stay = ~edge | (est < CLOSE) | (small < CLOSE * large)
         key = batch.column("key").to_numpy().view(np.uint64)
         keys = np.empty((2, len(key)), np.uint64)
         for i in range(2):  # the same bins are sampled for all members of a bucket

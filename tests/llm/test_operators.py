@@ -2,6 +2,8 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +213,40 @@ def test_jaccard_join_large_group_and_recall(spark, monkeypatch):
     assert all(out[i]["class_id"] == component[i] for i in range(150, 300))
 
 
+def test_large_bucket_members_leave_with_their_partners_joined():
+    """Excerpts of 70 to 95 % of a pivot: who has no edge stays, and who leaves has no partner without an edge."""
+    rng, lost = np.random.default_rng(7), 0
+    for _ in range(40):
+        pivot = np.unique(rng.integers(0, 2**64, 1000, np.uint64))
+        order = rng.permutation(pivot)
+        sets = [np.sort(order[: len(pivot) * share // 100]) for share in range(70, 96)]  # nested: similarity is the ratio of sizes
+        batch = pa.RecordBatch.from_pydict({
+            "key": pa.array([9] * len(sets), pa.int64()), "node": pa.array(range(1, len(sets) + 1), pa.int64()),
+            "size": pa.array([len(s) for s in sets], pa.int32()), "sketch": [jaccard_join.sketch(s) for s in sets],
+            "pivot": pa.array([0] * len(sets), pa.int64()), "pivot_size": pa.array([len(pivot)] * len(sets), pa.int32()),
+            "pivot_sketch": [jaccard_join.sketch(pivot)] * len(sets),
+        })
+        out = next(jaccard_join._pivoted(iter([batch]))).to_pylist()
+        edge, stays = [r["a"] == 0 for r in out], [bool(r["keys"]) for r in out]
+        assert all(e or s for e, s in zip(edge, stays, strict=True))
+        n = range(len(sets))
+        lost += sum(not stays[i] and not edge[j] for i in n for j in n if len(sets[j]) >= 0.8 * len(sets[i]))
+    assert lost == 0
+
+
+def test_jaccard_join_excerpts_in_a_large_group(spark):
+    """A group of over BUCKET near copies with excerpts of 75 to 80 % of them, and excerpts of those."""
+    rng = random.Random(12)
+    base, made = brute.text(rng, 400).split(), []
+    for i in range(240):
+        w = list(base) if i % 2 else base[: 4 * (75 + i % 6)]
+        w[rng.randrange(len(w))] = f"e{i}"
+        made.append((i, " ".join(w)))
+    out = {r["doc_id"]: r for r in jaccard_join.join(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    component, links = brute.classes(made)
+    assert all(out[i]["class_id"] == component[i] and out[i]["n_links"] == links[i] for i in range(len(made)))
+
+
 def test_jaccard_stage_keeps_one_of_each_class(spark, docs, rows):
     kept = jaccard_join.stage(spark, docs, "")
     assert kept.columns == docs.columns
