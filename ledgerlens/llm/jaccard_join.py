@@ -5,8 +5,9 @@ multiplicity. In each of several runs a set samples tokens of its own, level
 by level, by hashes that depend on the path so far, so that similar sets tend
 to share whole paths. Sets that end on one path form a bucket. Small buckets
 are searched by brute force on sketches; large ones shed what is close to a
-pivot and are split further on sampled sketch tokens. Candidate groups are at
-last verified exactly, all pairs within a group in blocks, from the texts.
+pivot and are split further on sampled sketch tokens; what is still large at
+the last level is searched in pairs of blocks. Candidate groups are at last
+verified exactly, all pairs within a group in blocks, from the texts.
 """
 
 from __future__ import annotations
@@ -105,31 +106,45 @@ def set_node(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def alike(sketches: np.ndarray, sizes: np.ndarray, one: int | None = None) -> np.ndarray:
-    """Which pairs (or pairs with row `one`) could have Jaccard SIMILARITY, by sizes and sketches."""
-    rows, own = (slice(None), slice(None)) if one is None else (slice(one, one + 1), slice(None))
-    est = (sketches[rows, None, :] == sketches[None, own, :]).mean(-1)
-    small, large = np.minimum(sizes[rows, None], sizes[None, own]), np.maximum(sizes[rows, None], sizes[None, own])
+def alike(sketches: np.ndarray, sizes: np.ndarray, left: np.ndarray | slice = slice(None), right: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Which pairs of rows, left x right, could have Jaccard SIMILARITY, by sizes and sketches."""
+    est = (sketches[left][:, None, :] == sketches[right][None, :, :]).mean(-1)
+    small, large = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
     return (small >= SIMILARITY * large) & (est >= np.where(small < FEW, CANDIDATE_FEW, CANDIDATE))
 
 
-def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, node, size, sketch, by key: a spanning forest of each bucket's candidate pairs."""
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, i, j, block, node, size, sketch, by (key, i, j): a spanning forest of the candidate pairs of blocks i and j of each bucket."""
     out: tuple[list, list] = ([], [])
-    for group in runs(batches, [0]):
-        nodes = group.column("node").to_pylist()
+    for group in runs(batches, [0, 1, 2]):
+        nodes, block = group.column("node").to_pylist(), group.column("block").to_numpy()
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(nodes), -1)
-        pairs = np.argwhere(np.triu(alike(sketches, group.column("size").to_numpy()), 1))
-        forest = Forest(len(nodes))
-        for i, j in pairs.tolist():
-            if forest.join(i, j):
-                out[0].append(nodes[i]), out[1].append(nodes[j])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        step, forest = max(1, (1 << 18) // max(1, len(right))), Forest(len(nodes))
+        for a in range(0, len(left), step):
+            part = left[a : a + step]
+            for x, y in np.argwhere(alike(sketches, group.column("size").to_numpy(), part, right)).tolist():
+                x, y = int(part[x]), int(right[y])
+                if x != y and forest.join(x, y):
+                    out[0].append(nodes[x]), out[1].append(nodes[y])
         if len(out[0]) > 50_000:
             yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
             out = ([], [])
     yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
+def _search(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges of all candidate pairs of buckets (key, node, n): one block for those of up to BUCKET members, else pairs of blocks of about BLOCK."""
+    blocks = F.when(F.col("n") <= BUCKET, 1).otherwise(F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = buckets.select("key", "node", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p")
+    spread = placed.join(sets.select("node", "size", "sketch"), "node").select("key", "block", partner, "node", "size", "sketch")
+    spread = spread.select("key", F.least("block", "p").alias("i"), F.greatest("block", "p").alias("j"), "block", "node", "size", "sketch")
+    by = ["key", "i", "j"]
+    return written(spread.repartition(*by).sortWithinPartitions(*by).mapInArrow(_searched, "a long, b long"), "bucket-edges")
+
+
 def _pivoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of large buckets with their pivot: edges to it, and for those not close to it the keys to split on.
 
@@ -164,7 +179,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 
     Level by level: buckets with the same members are one; those of up to BUCKET
     members are searched by brute force, larger ones are compared with their
-    pivot and split. From the second level on a bucket counts only while it
+    pivot and split, up to DEEPER times; the last level searches all of them. From the second level on a bucket counts only while it
     joins components that no edge has joined yet.
     """
     members, joined, found = sets.select("node", F.explode("keys").alias("key")), None, []
@@ -180,9 +195,10 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         sized = written(sized, "buckets")
         firsts = sized.groupBy("n", "who", "pivot").agg(F.min("key").alias("key"))
         kept = written(sized.join(firsts.select("key"), "key", "left_semi").select("key", "node", "n", "pivot"), "bucket-members")
-        small = kept.where(F.col("n") <= BUCKET).join(sets.select("node", "size", "sketch"), "node")
-        edges = small.select("key", "node", "size", "sketch").repartition(F.col("key")).sortWithinPartitions("key")
-        found.append(written(edges.mapInArrow(_small_buckets, "a long, b long"), "bucket-edges"))
+        if level == DEEPER:  # whatever is left, of any size
+            found.append(_search(kept, sets))
+            break
+        found.append(_search(kept.where(F.col("n") <= BUCKET), sets))
         large = kept.where(F.col("n") > BUCKET)
         if not large.limit(1).count():
             break
@@ -192,9 +208,8 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         tried = tried.select("key", "node", "size", "sketch", "pivot", "pivot_size", "pivot_sketch")
         tried = written(tried.mapInArrow(_pivoted, "node long, a long, keys array<long>"), "pivoted")
         found.append(tried.where("a <> node").select("a", F.col("node").alias("b")).distinct())
-        if level < DEEPER:
-            members = written(tried.select("node", F.explode("keys").alias("key")).distinct(), "split")
-            joined = components(_union(found))
+        members = written(tried.select("node", F.explode("keys").alias("key")).distinct(), "split")
+        joined = components(_union(found))
     return _union(found)
 
 

@@ -247,6 +247,19 @@ def test_jaccard_join_excerpts_in_a_large_group(spark):
     assert all(out[i]["class_id"] == component[i] and out[i]["n_links"] == links[i] for i in range(len(made)))
 
 
+def test_buckets_still_large_at_the_last_level(spark, monkeypatch):
+    """Pairs unlike the pivot, in a bucket that no level makes small, are searched in pairs of blocks."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 20)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "DEEPER", 0)
+    rng, made = np.random.default_rng(3), []
+    for i in range(100):
+        own = rng.integers(0, 2**16, jaccard_join.BINS, np.uint16)
+        made += [(2 * i, 500, [1], own.tobytes()), (2 * i + 1, 500, [1], own.tobytes())]
+    edges = jaccard_join.candidate_edges(spark.createDataFrame(made, "node long, size int, keys array<long>, sketch binary")).collect()
+    assert {(min(e), max(e)) for e in edges} == {(2 * i, 2 * i + 1) for i in range(100)}
+
+
 def test_jaccard_stage_keeps_one_of_each_class(spark, docs, rows):
     kept = jaccard_join.stage(spark, docs, "")
     assert kept.columns == docs.columns
