@@ -6,10 +6,11 @@ Jaccard similarity of their shingles, and clustered by components; all but the
 first paragraph of a cluster are to be removed.
 
 A passage that stands inside otherwise different paragraphs moves their
-similarity too little for any banding. So paragraphs of LONG words and more
+similarity too little for any banding. So documents of LONG words and more
 also give anchored passages: runs of PASSAGE words that start at minima of a
-hash over WINDOW places. Two paragraphs that share LONG consecutive words
-share an anchored passage, and equal ones are a cluster.
+hash over WINDOW places of the whole word sequence, whatever the lines. Two
+documents that share LONG consecutive words share an anchored passage, and
+equal ones are a cluster.
 """
 
 from __future__ import annotations
@@ -60,11 +61,25 @@ def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at + np.arange(len(at)))
 
 
+def line_pieces(place: int, starts: np.ndarray) -> list[tuple[int, int, int]]:
+    """line, first word in it and number of words for each line that the PASSAGE words from `place` on touch.
+
+    starts: where each line's words begin, and the end, counted from the document's first word.
+    """
+    out, end, n = [], place + PASSAGE, int(np.searchsorted(starts, place, side="right")) - 1
+    while place < end:
+        to = min(end, int(starts[n + 1]))
+        if to > place:
+            out.append((n, place - int(starts[n]), to - place))
+        place, n = to, n + 1
+    return out
+
+
 _OUT = "doc_id long, h long, line int, first_word int, n_words int, node long, size int, sketch binary"
 
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """Paragraphs (with size and sketch) and anchored passages (without): see _OUT."""
+    """Paragraphs (with size and sketch) and anchored passages (without), a row for each line they touch: see _OUT."""
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in _OUT.split(", ")]
 
@@ -80,6 +95,13 @@ def prepare(docs: DataFrame) -> DataFrame:
                 short, long = grams(words, K), grams(words, PASSAGE)
                 out, at = [], -1
                 for i, own in enumerate(split):
+                    starts = bounds[at + 1 : at + 2 + len(own)]
+                    first, last = int(starts[0]), int(starts[-1])
+                    if last - first >= LONG:
+                        found = long[first : last - PASSAGE + 1]
+                        for p in anchors(found, WINDOW).tolist():
+                            node = int(found[p].astype(np.int64))
+                            out += [(ids[a + i], h[a + i], n, q, m, node, None, None) for n, q, m in line_pieces(p, starts - first)]
                     for n in range(len(own)):
                         at += 1
                         start, end = int(bounds[at]), int(bounds[at + 1])
@@ -87,9 +109,6 @@ def prepare(docs: DataFrame) -> DataFrame:
                             continue
                         tokens = np.unique(short[start : end - K + 1])
                         out.append((ids[a + i], h[a + i], n, 0, end - start, set_node(tokens), len(tokens), signature(tokens)))
-                        if end - start >= LONG:
-                            found = long[start : end - PASSAGE + 1]
-                            out += [(ids[a + i], h[a + i], n, p, PASSAGE, int(found[p].astype(np.int64)), None, None) for p in anchors(found, WINDOW).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), text_key().alias("h"), "text").mapInArrow(work, _OUT)
@@ -145,11 +164,12 @@ def repeats(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """A row for each repeated span: doc_id, kind, line, first_word, n_words, class_id, n_docs and removed.
 
     kind "paragraph": a whole line of MIN_WORDS words or more whose cluster
-    reaches over min_docs documents or more; "passage": the union of touching
-    anchored passages in one line. Lines and words count from 0. class_id is
-    the doc_id whose copy stays (the smallest; of equal ids the first line),
-    and removed is false for that copy alone. Null and empty texts, and lines
-    of fewer words, have no spans. Rows that repeat doc_id and text are one
+    reaches over min_docs documents or more; "passage": what the union of
+    touching anchored passages covers of one line; a passage that runs over
+    line breaks has a row in each line. Lines and words count from 0. class_id
+    is the doc_id whose copy stays (the smallest; of equal ids the first line),
+    and removed is false for that copy alone. Null and empty texts have no
+    spans, documents of under LONG words no passages. Rows that repeat doc_id and text are one
     document; a null doc_id is below every other. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
@@ -164,7 +184,7 @@ def repeats(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         (~F.struct("doc_id", "h", "line").eqNullSafe(F.col("first"))).alias("removed"),
     )
 
-    units = rows.where("sketch IS NULL").select("doc_id", "h", "line", "first_word", "node")
+    units = rows.where("sketch IS NULL").select("doc_id", "h", "line", "first_word", "n_words", "node")
     often = units.groupBy("node").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("first"), F.max(F.struct("doc_id", "h")).alias("last")
     ).where("n > 1 AND first <> last").select("node", "first")
@@ -172,17 +192,19 @@ def repeats(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     held = shared.groupBy("node").agg(F.count_distinct(F.struct("doc_id", "h")).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     marked = shared.join(held, "node").withColumn("removed", ~F.struct("doc_id", "h").eqNullSafe(F.col("first")))
     order = Window.partitionBy("doc_id", "h", "line", "removed").orderBy("first_word")
-    fresh = F.when(F.col("first_word") <= F.lag("first_word").over(order) + PASSAGE, 0).otherwise(1)
+    past = F.max(F.col("first_word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("first_word") <= past, 0).otherwise(1)
     spans = (
         marked.withColumn("fresh", fresh)
         .withColumn("span", F.sum("fresh").over(order))
         .groupBy("doc_id", "h", "line", "removed", "span")
         .agg(
-            F.min("first_word").alias("from"), F.max("first_word").alias("to"), F.min("first.doc_id").alias("class_id"), F.max("n_docs").alias("n_docs")
+            F.min("first_word").alias("from"), F.max(F.col("first_word") + F.col("n_words")).alias("past"),
+            F.min("first.doc_id").alias("class_id"), F.max("n_docs").alias("n_docs"),
         )
     )
     part = spans.select(
-        "doc_id", F.lit("passage").alias("kind"), "line", F.col("from").alias("first_word"), (F.col("to") - F.col("from") + PASSAGE).alias("n_words"),
+        "doc_id", F.lit("passage").alias("kind"), "line", F.col("from").alias("first_word"), (F.col("past") - F.col("from")).alias("n_words"),
         "class_id", "n_docs", "removed",
     )
     return whole.unionByName(part)

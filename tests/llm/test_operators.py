@@ -96,6 +96,27 @@ def test_paragraphs_of_similarity(spark):
     assert {r["doc_id"] for r in out} == linked and all(r["line"] == 1 for r in out)
 
 
+def test_passages_over_line_breaks(spark):
+    """A passage of 60 words, wrapped otherwise in each text, or broken once; spans hold words of the passage only."""
+    rng = random.Random(9)
+    passage = brute.text(rng, 60).split()
+
+    def wrapped(words, n):
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    made = [(i, wrapped(brute.text(rng, 37 + i).split() + passage + brute.text(rng, 30).split(), n)) for i, n in enumerate((7, 11, 24, 45))]
+    made += [(4, "\n\n ..\n" + brute.text(rng, 30) + " " + " ".join(passage[:30]) + "\n\n" + " ".join(passage[30:]) + " " + brute.text(rng, 30)), (5, wrapped(brute.text(rng, 200).split(), 8))]
+    out = substring_dedup.repeats(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in out} == {0, 1, 2, 3, 4} and {r["class_id"] for r in out} == {0}
+    texts, covered = dict(made), Counter()
+    for r in out:
+        line = brute.words(texts[r["doc_id"]].split("\n")[r["line"]])
+        span = line[r["first_word"] : r["first_word"] + r["n_words"]]
+        assert len(span) == r["n_words"] > 0 and " ".join(span) in " ".join(passage) and r["removed"] == (r["doc_id"] > 0)
+        covered[r["doc_id"]] += len(span)
+    assert all(covered[i] >= substring_dedup.PASSAGE for i in range(5))
+
+
 # ---------------------------------------------------------------- 3
 def test_license_scan(spark, docs, none, rows):
     made = [
