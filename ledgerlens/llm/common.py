@@ -23,13 +23,15 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where it is unset, as in
-    local tests, a temporary folder is made for the session.
+    ``spark.checkpoint.dir`` names it on a cluster. Only where it is unset and
+    the master is local, as in tests, a temporary folder is made for the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        app = spark.sparkContext.applicationId
-        path = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="ledgerlens-"))
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = _OWN.get(context.applicationId) or _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="ledgerlens-"))
     return path.rstrip("/")
 
 
@@ -46,7 +48,7 @@ def _at_exit(spark: SparkSession, path: str) -> None:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed when the driver ends if not before."""
     path = f"{shared_dir(spark)}/ledgerlens/{name}-{uuid.uuid4().hex}"
     atexit.register(_at_exit, spark, path)
     return path
@@ -57,11 +59,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage; a lost executor costs no recomputation, and expressions
     such as monotonically_increasing_id() keep their values from here on.
+    dropped() frees the table once nothing reads it any more.
     """
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes what written() has written for these."""
+    for t in tables:
+        remove(t.sparkSession, t.written_to)
 
 
 def small_batches(spark: SparkSession) -> None:

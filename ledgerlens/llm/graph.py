@@ -4,33 +4,86 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+#: Edges that a task reduces to stars at a time.
+_AT_ONCE = 100_000
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    names, at = np.unique(np.stack([a, b]), return_inverse=True)
+    forest = Forest(len(names))
+    for x, y in at.reshape(2, -1).T.tolist():
+        forest.join(x, y)
+    roots = np.asarray([forest.root(i) for i in range(len(names))], np.int64)
+    far = np.flatnonzero(roots != np.arange(len(names)))
+    return pa.RecordBatch.from_pydict({"a": pa.array(names[roots[far]], pa.int64()), "b": pa.array(names[far], pa.int64())})
+
+
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges (a, b), up to _AT_ONCE of them reduced to stars: the smallest node with each that it reaches there."""
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= _AT_ONCE:
+            yield _stars(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield _stars(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component (its smallest node) for edges (a long, b long).
 
-    Each node takes the smallest label around it, then the label of its label,
-    until nothing changes; only the table of labels is kept from round to round.
+    Contraction: each node moves to that neighbour (or itself) which is first
+    in the round's order, edges follow and loops go. Orders by hash shrink any
+    shape by a constant share; those by number settle the stars that tasks make
+    of their edges first. Tables are dropped as their successors stand.
     """
-    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "edges")  # evaluated once, as workers may find another forest the next time
-    both = pairs.union(pairs.select("b", "a"))
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        taken = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
-        of = labels.select(F.col("node").alias("label"), F.col("component").alias("far"))
-        jumped = taken.join(of, taken["next"] == of["label"]).select("node", F.least("next", "far").alias("component"), "was")
-        after = written(jumped, "labels")
-        labels = after.select("node", "component")
-        if not after.where("component <> was").limit(1).count():
-            return labels
-    raise RuntimeError(f"components: not settled after {rounds} rounds")
+    shape = "a long, b long"
+    pairs = written(edges.where("a <> b").mapInArrow(_local_forest, shape).distinct().mapInArrow(_local_forest, shape), "edges")
+    place = None
+    for round_ in range(rounds):
+        if pairs.isEmpty():
+            break
+        rank = (lambda c: F.xxhash64(c, F.lit(round_))) if round_ % 2 else F.col  # noqa: B023
+        both = pairs.union(pairs.select("b", "a"))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("rank"), F.min_by("b", rank("b")).alias("to"))
+        move = written(near.where(F.col("rank") < rank("node")).select("node", "to"), "moves")
+        moved = pairs
+        for end in ("a", "b"):
+            of = move.select(F.col("node").alias(f"{end}_was"), F.col("to").alias(f"{end}_to"))
+            moved = moved.join(of, F.col(end) == F.col(f"{end}_was"), "left").withColumn(end, F.coalesce(f"{end}_to", end)).select("a", "b")
+        moved = moved.where("a <> b").distinct().mapInArrow(_local_forest, shape)
+        after = written(moved, "edges")
+        dropped(pairs)
+        pairs = after
+        if place is None:
+            place = move
+            continue
+        later = move.select(F.col("node").alias("at"), F.col("to").alias("then"))
+        here = place.join(later, F.col("to") == F.col("at"), "left").select("node", F.coalesce("then", "to").alias("to"))
+        both = written(here.unionByName(move.join(place.select("node"), "node", "left_anti")), "places")
+        dropped(move, place)
+        place = both
+    else:
+        raise RuntimeError(f"components: not settled after {rounds} rounds")
+    dropped(pairs)
+    if place is None:
+        return written(edges.sparkSession.createDataFrame([], "node long, component long"), "components")
+    away = place.where("node <> to")  # a place that others moved to may be the last of all
+    smallest = away.groupBy("to").agg(F.least(F.min("node"), F.col("to")).alias("component"))
+    each = away.join(smallest, "to").select("node", "component")
+    out = written(each.unionByName(smallest.select(F.col("to").alias("node"), "component")), "components")
+    dropped(place)
+    return out
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Table]:
@@ -38,8 +91,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Tabl
 
     Only the run at hand is held, so its size is the caller's to bound.
     """
-    import numpy as np
-
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -76,3 +127,23 @@ class Forest:
         i, j = self.root(i), self.root(j)
         self.up[max(i, j)] = min(i, j)
         return i != j
+
+
+def spanning(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs (row, column) of a boolean matrix that join all that its true entries join, one fewer than the places joined."""
+    rows_left, columns_left = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)
+    for first in range(near.shape[0]):
+        if not rows_left[first]:
+            continue
+        rows_left[first] = False
+        rows = np.asarray([first])
+        while len(rows):
+            fresh = np.flatnonzero(columns_left & near[rows].any(axis=0))
+            if not len(fresh):
+                break
+            columns_left[fresh] = False
+            yield from zip(rows[near[np.ix_(rows, fresh)].argmax(axis=0)].tolist(), fresh.tolist(), strict=True)
+            more = np.flatnonzero(rows_left & near[:, fresh].any(axis=1))
+            rows_left[more] = False
+            yield from zip(more.tolist(), fresh[near[np.ix_(more, fresh)].argmax(axis=1)].tolist(), strict=True)
+            rows = more

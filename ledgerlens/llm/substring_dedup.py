@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, byte_values, groups_of_bytes, mix, small_batches, written
+from .common import WordHasher, byte_values, dropped, groups_of_bytes, mix, small_batches, written
 from .graph import components
-from .jaccard_join import BLOCK, _verify, candidate_edges, rows_with, set_node, text_key
+from .jaccard_join import candidate_groups, rows_with, set_node, text_key, verified
 
 K, SIMILARITY = 5, 0.8
 MIN_WORDS, MIN_DOCS = 25, 2
@@ -115,13 +115,11 @@ def prepare(docs: DataFrame) -> DataFrame:
 
 
 def _paragraphs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, h, line, component, node, copies, blocks, block) with the paragraph's text."""
-    per = wanted.groupBy(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")).agg(
-        F.collect_list(F.struct("line", "component", "node", "copies", "blocks", "block")).alias("lines")
-    )
-    found = rows_with(docs.select("doc_id", "text"), written(per, "paragraphs-wanted"), "inner").select("text", "lines")
-    names = ["component", "node", "copies", "blocks", "block"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    """wanted (doc_id, h, line, component, node, copies) with the paragraph's text."""
+    per = wanted.groupBy(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("line", "component", "node", "copies")).alias("lines"))
+    per = written(per, "paragraphs-wanted")
+    found = rows_with(docs.select("doc_id", "text"), per, "inner").select("text", "lines")
+    names = ["component", "node", "copies"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,10 +129,13 @@ def _paragraphs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for x in lines:
                     rows.append(x)
                     texts.append(split[x["line"]])
-            arrays = [pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)]
+            arrays = [pa.array([r[n] for r in rows], pa.int64()) for n in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, "text"])
 
-    return found.mapInArrow(cut, "component long, node long, copies long, blocks int, block int, text string")
+    cut_out = found.mapInArrow(cut, "component long, node long, copies long, text string")
+    out = written(cut_out.dropDuplicates(["node"]), "paragraphs-to-verify")  # rows that repeat a document bring its paragraphs again
+    dropped(per)
+    return out
 
 
 def clusters(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -144,20 +145,12 @@ def clusters(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     )
     sets = written(sets, "paragraph-sets")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    groups = components(candidate_edges(sets.select("node", "size", "sketch", bands.alias("keys"))))
-    placed = written(sets.select("node", "copies", "at.*").join(groups, "node"), "paragraphs-grouped")
-    sizes = placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = _paragraphs(docs, placed).dropDuplicates(["node"])  # rows that repeat a document bring its paragraphs again
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p")
-    spread = texts.select("component", "node", "copies", "text", "block", partner).select(
-        "component", F.least("block", "p").alias("i"), F.greatest("block", "p").alias("j"), "block", "node", "copies", "text"
-    )
-    by = ["component", "i", "j"]
-    checked = written(
-        spread.repartition(*by).sortWithinPartitions(*by).mapInArrow(_verify, "node long, other long, links long, texts long"), "paragraphs-verified"
-    )
-    return components(checked.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("component", "class")
+    groups = candidate_groups(sets.select("node", "size", "sketch", bands.alias("keys")), BANDS, 1)
+    checked = verified(_paragraphs(docs, sets.select("node", "copies", "at.*").join(groups, "node")))
+    dropped(sets, groups)
+    out = components(checked.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("component", "class")
+    dropped(checked)
+    return out
 
 
 def repeats(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

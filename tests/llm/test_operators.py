@@ -217,7 +217,7 @@ def test_jaccard_join(docs, none, rows):
 
 def test_jaccard_join_large_group_and_recall(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET", 20)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
     rng = random.Random(4)
     base, made = brute.text(rng, 150).split(), []
     for i in range(150):
@@ -268,17 +268,61 @@ def test_jaccard_join_excerpts_in_a_large_group(spark):
     assert all(out[i]["class_id"] == component[i] and out[i]["n_links"] == links[i] for i in range(len(made)))
 
 
-def test_buckets_still_large_at_the_last_level(spark, monkeypatch):
-    """Pairs unlike the pivot, in a bucket that no level makes small, are searched in pairs of blocks."""
-    monkeypatch.setattr(jaccard_join, "BUCKET", 20)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
-    monkeypatch.setattr(jaccard_join, "DEEPER", 0)
+def _twins(n):
+    """Pairs of equal sketches, unlike every other, all under one key."""
     rng, made = np.random.default_rng(3), []
-    for i in range(100):
+    for i in range(n):
         own = rng.integers(0, 2**16, jaccard_join.BINS, np.uint16)
         made += [(2 * i, 500, [1], own.tobytes()), (2 * i + 1, 500, [1], own.tobytes())]
-    edges = jaccard_join.candidate_edges(spark.createDataFrame(made, "node long, size int, keys array<long>, sketch binary")).collect()
-    assert {(min(e), max(e)) for e in edges} == {(2 * i, 2 * i + 1) for i in range(100)}
+    return made
+
+
+@pytest.mark.parametrize("splits", [0, 6])
+def test_large_buckets(spark, monkeypatch, splits):
+    """Pairs unlike the pivot are found, whether levels make their bucket small or it is searched whole in pairs of blocks."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 20)
+    monkeypatch.setattr(jaccard_join, "SPLITS", splits)
+    sets = spark.createDataFrame(_twins(100), "node long, size int, keys array<long>, sketch binary")
+    found = {r["node"]: r["component"] for r in jaccard_join.candidate_groups(sets, 1, 1).collect()}
+    assert all(found[2 * i] == found[2 * i + 1] == 2 * i for i in range(100))
+
+
+def test_bucket_that_needs_many_splits(spark, monkeypatch):
+    """Sketches that agree but for a few bins, so that each split sheds little: recall of likely pairs against brute force."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 16)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**16, jaccard_join.BINS, np.uint16)
+    sketches = []
+    for _ in range(40):
+        own = base.copy()
+        own[rng.permutation(jaccard_join.BINS)[:30]] = rng.integers(0, 2**16, 30, np.uint16)
+        for _ in range(4):
+            near = own.copy()
+            near[rng.permutation(jaccard_join.BINS)[:6]] = rng.integers(0, 2**16, 6, np.uint16)
+            sketches.append(near)
+    made = [(i, 500, [1], x.tobytes()) for i, x in enumerate(sketches)]
+    found = {r["node"]: r["component"] for r in jaccard_join.candidate_groups(spark.createDataFrame(made, "node long, size int, keys array<long>, sketch binary"), 1, 1).collect()}
+    n = range(len(sketches))
+    near = [(i, j) for i in n for j in range(i) if (sketches[i] == sketches[j]).mean() >= 0.7]
+    assert len(near) > 100 and sum(found.get(i, -1) == found.get(j, -2) for i, j in near) >= 0.98 * len(near)
+
+
+def test_verified_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(2)
+    base = brute.text(rng, 120).split()
+    made = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        made.append((i, " ".join(w)))
+    _, links = brute.classes(made)
+    from ledgerlens.llm.common import written
+
+    texts = spark.createDataFrame([(0, i, 1, t) for i, t in made], "component long, node long, copies long, text string")
+    out = jaccard_join.verified(written(texts, "test")).where("other IS NULL").groupBy("node").agg(F.sum("links").alias("n")).collect()
+    assert {r["node"]: r["n"] for r in out} == {i: links[i] for i in range(90)}
 
 
 def test_jaccard_stage_keeps_one_of_each_class(spark, docs, rows):
