@@ -45,14 +45,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Contraction: each node moves to that neighbour (or itself) which is first
     in the round's order, edges follow and loops go. Orders by hash shrink any
     shape by a constant share; those by number settle the stars that tasks make
-    of their edges first. Tables are dropped as their successors stand.
+    of their edges first, about _AT_ONCE edges a task. Tables are dropped as
+    their successors stand.
     """
     shape = "a long, b long"
-    pairs = written(edges.where("a <> b").mapInArrow(_local_forest, shape).distinct().mapInArrow(_local_forest, shape), "edges")
+    pairs = written(edges.where("a <> b").mapInArrow(_local_forest, shape), "edges")
     place = None
     for round_ in range(rounds):
-        if pairs.isEmpty():
+        left = pairs.count()
+        if not left:
             break
+        if round_ == 0:
+            fewer = written(pairs.coalesce(1 + left // _AT_ONCE).mapInArrow(_local_forest, shape), "edges")
+            dropped(pairs)
+            pairs = fewer
         rank = (lambda c: F.xxhash64(c, F.lit(round_))) if round_ % 2 else F.col  # noqa: B023
         both = pairs.union(pairs.select("b", "a"))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("rank"), F.min_by("b", rank("b")).alias("to"))
@@ -61,8 +67,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         for end in ("a", "b"):
             of = move.select(F.col("node").alias(f"{end}_was"), F.col("to").alias(f"{end}_to"))
             moved = moved.join(of, F.col(end) == F.col(f"{end}_was"), "left").withColumn(end, F.coalesce(f"{end}_to", end)).select("a", "b")
-        moved = moved.where("a <> b").distinct().mapInArrow(_local_forest, shape)
-        after = written(moved, "edges")
+        after = written(moved.where("a <> b").coalesce(1 + left // _AT_ONCE).mapInArrow(_local_forest, shape), "edges")
         dropped(pairs)
         pairs = after
         if place is None:

@@ -27,10 +27,11 @@ from .graph import components, runs, spanning
 K, SIMILARITY = 5, 0.8
 #: Samples of a set in a run, and runs at most. Of pairs at 0.8 one run misses 0.2 ** 4, or 0.0016, two 0.000003.
 PATHS, RUNS = 4, 3
-#: Of all joins, the share that a run may add for the runs before it to have met their target.
-RECALL = 0.995
+#: The target. Runs are alike and independent, so if one adds a share of all joins that those before it had missed,
+#: it misses no more itself, and together they miss no more than the square of that share.
+RECALL = 0.998
 #: Members of a bucket for brute force; texts, and their bytes, in a block of verification; bins of a sketch.
-BUCKET, BLOCK, BLOCK_BYTES, BINS = 1024, 2048, 8 << 20, 64
+BUCKET, BLOCK, BLOCK_BYTES, BINS = 4096, 2048, 8 << 20, 64
 #: Sketch similarity for a candidate, for sets of under FEW shingles, and (of sizes too) for leaving a large bucket.
 CANDIDATE, CANDIDATE_FEW, FEW, CLOSE = 0.55, 0.3, 128, 0.9
 #: Levels that large buckets are split, tokens sampled at each, and parts that a large bucket's pivot is sent to.
@@ -106,7 +107,7 @@ def set_node(tokens: np.ndarray) -> int:
 def alike(sketches: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which pairs of rows, left x right, could have Jaccard SIMILARITY, by sizes and sketches."""
     a, b = sketches[left], sketches[right]
-    if len(left) * len(right) <= 256:
+    if len(left) * len(right) <= 64:
         same = (a[:, None, :] == b[None, :, :]).sum(-1)
     else:
         a, b, same = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), np.zeros((len(left), len(right)), np.uint8)
@@ -170,8 +171,8 @@ def _pivoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stay = ~edge | (est < CLOSE) | (small < CLOSE * large)
         key = batch.column("key").to_numpy().view(np.uint64)
         keys = np.empty((BRANCH, len(key)), np.uint64)
-        for i in range(BRANCH):  # the same bins are sampled for all members of a bucket
-            at = (mix(key + np.uint64(i + 1)) % np.uint64(own.shape[1])).astype(np.int64)
+        for i in range(BRANCH):  # the same bins, no two alike, are sampled for all members of a bucket
+            at = ((mix(key) + np.uint64(i * (own.shape[1] // BRANCH))) % np.uint64(own.shape[1])).astype(np.int64)
             keys[i] = mix(key * np.uint64(5) + (at.astype(np.uint64) << np.uint64(16)) + own[np.arange(len(own)), at])
         nexts = [x if s else [] for x, s in zip(keys.T.view(np.int64).tolist(), stay, strict=True)]
         yield pa.RecordBatch.from_pydict({
@@ -181,7 +182,7 @@ def _pivoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, a (the pivot where there is an edge to it, else the node) and keys, for members (key, node, pivot) of large buckets.
+    """node (as b, too), a (the pivot where there is an edge to it, else the node) and keys, for members (key, node, pivot) of large buckets.
 
     A pivot goes to PARTS parts of its bucket, so that no task holds a bucket.
     """
@@ -189,7 +190,7 @@ def _split(large: DataFrame, sets: DataFrame) -> DataFrame:
     pivots = large.select("pivot").distinct().join(pivots, "pivot").withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
     dealt = large.join(sets.select("node", "size", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
     tried = dealt.join(pivots, ["pivot", "part"]).select("key", "node", "size", "sketch", "pivot", "pivot_size", "pivot_sketch")
-    return written(tried.mapInArrow(_pivoted, "node long, a long, keys array<long>"), "pivoted")
+    return written(tried.mapInArrow(_pivoted, "node long, a long, keys array<long>").withColumn("b", F.col("node")), "pivoted")
 
 
 def bucket_edges(members: DataFrame, sets: DataFrame, joined: DataFrame | None) -> list[DataFrame]:
@@ -199,30 +200,28 @@ def bucket_edges(members: DataFrame, sets: DataFrame, joined: DataFrame | None)
     one component already adds nothing. Those of up to BUCKET members are
     searched by brute force, larger ones compared with their pivot and split.
     """
-    found, own = [], None
+    found: list[DataFrame] = []
     for level in range(SPLITS + 1):
-        held = members.withColumn("component", F.col("node")) if joined is None else (
-            members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        often = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+        held = members.join(often, "key")
+        held = held.withColumn("component", F.col("node")) if joined is None else (
+            held.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         )
-        sized = held.groupBy("key").agg(
-            F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("pivot"),
-            F.min("component").alias("low"), F.max("component").alias("high"),
-        ).where("n > 1 AND low <> high")
+        sized = held.groupBy("key", "n").agg(
+            F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high")
+        ).where("low <> high")
         one = sized.groupBy("n", "who", "pivot").agg(F.min("key").alias("key"))
         kept = written(members.join(one.select("key", "n", "pivot"), "key"), "buckets")
-        if own is not None:
-            dropped(own)
+        dropped(often)
         last = level == SPLITS
         found.append(_search(kept if last else kept.where(F.col("n") <= BUCKET), sets))
         large = kept.where(F.col("n") > BUCKET)
         if last or large.isEmpty():
             dropped(kept)
             return found
-        tried = _split(large, sets)
+        found.append(_split(large, sets))
         dropped(kept)
-        found.append(tried.where("a <> node").select("a", F.col("node").alias("b")))
-        found[-1].written_to = tried.written_to
-        members = own = written(tried.select("node", F.explode("keys").alias("key")).distinct(), "split")
+        members = found[-1].select("node", F.explode("keys").alias("key"))
     return found
 
 
@@ -231,18 +230,18 @@ def candidate_groups(sets: DataFrame, per_run: int, most_runs: int) -> DataFrame
 
     A run takes `per_run` of the keys. From the second run on, the share of all
     joins of components that it has added is what the runs before it had
-    missed; runs end once that is within RECALL, or after most_runs.
+    missed; runs end once its square is within RECALL, or after most_runs.
     """
     joined, before = None, 0
     for run in range(most_runs):
         members = sets.select("node", F.explode(F.slice("keys", run * per_run + 1, per_run)).alias("key"))
         found = bucket_edges(members, sets, joined)
-        edges = _union([x.select("a", "b") for x in found])
+        edges = _union([x.select("a", "b") for x in found]).where("a <> b")
         after = components(edges if joined is None else edges.unionByName(joined.select(F.col("component").alias("a"), F.col("node").alias("b"))))
         dropped(*found, *([joined] if joined is not None else []))
         joined = after
         merged = joined.where("node <> component").count()
-        if run and merged - before <= (1 - RECALL) * merged:
+        if run and (merged - before) ** 2 <= (1 - RECALL) * merged**2:
             break
         before = merged
     return joined
@@ -342,7 +341,7 @@ def join(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     wanted = grouped.select(F.col("first.doc_id").alias("__doc"), F.col("first.h").alias("__h"), "component", "node", "copies")
     texts = rows_with(texts, wanted, "inner")
-    if _repeats(rows):
+    if repeated(rows):
         texts = texts.dropDuplicates(["node"])
     checked = verified(written(texts.select("component", "node", "copies", "text"), "texts-to-verify"))
     dropped(grouped)
@@ -378,7 +377,7 @@ def verified(texts: DataFrame) -> DataFrame:
     return out
 
 
-def _repeats(rows: DataFrame) -> bool:
+def repeated(rows: DataFrame) -> bool:
     """Whether any (doc_id, text) stands in more than one row."""
     return rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count() > 0
 
@@ -394,7 +393,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = found.where("node IS NOT NULL").join(one, found["class_id"].eqNullSafe(one["class_id"]))
     gone = marked.where(~F.struct("doc_id", "h").eqNullSafe(F.col("stays"))).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")).distinct()
     kept = rows_with(docs, written(gone, "not-first"), "left_anti")
-    if not _repeats(found.where("node IS NOT NULL")):
+    if not repeated(found.where("node IS NOT NULL")):
         return kept
     again = written(found.where("node IS NOT NULL").groupBy(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")).count().where("count > 1").drop("count"), "repeated")
     twice = rows_with(kept, again, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -19,17 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, byte_values, dropped, groups_of_bytes, mix, small_batches, written
 from .graph import components
-from .jaccard_join import candidate_groups, rows_with, set_node, text_key, verified
+from .jaccard_join import candidate_groups, repeated, rows_with, set_node, text_key, verified
 
 K, SIMILARITY = 5, 0.8
 MIN_WORDS, MIN_DOCS = 25, 2
-#: Of paragraphs at 0.8, 14 bands of 4 miss (1 - 0.8 ** 4) ** 14, or 0.0006.
-BANDS, ROWS = 14, 4
+#: Of paragraphs at 0.8, 7 bands of 2 miss (1 - 0.8 ** 2) ** 7, or 0.0008. VALUES serve to estimate likeness.
+BANDS, ROWS, VALUES = 7, 2, 32
 LONG, PASSAGE = 50, 20
 WINDOW = LONG - PASSAGE + 1
 
@@ -43,16 +43,22 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
-_SEEDS = [(mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)), mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))]
+_SEEDS = [(mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)), mix(np.arange(1001, VALUES + 1001, dtype=np.uint64))]
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """BANDS * ROWS MinHash values, 16 bits each."""
-    step, low = max(1, (1 << 20) // len(_SEEDS[0])), None
-    for i in range(0, len(tokens), step):
-        part = (tokens[None, i : i + step] * _SEEDS[0][:, None] + _SEEDS[1][:, None]).min(axis=1)
-        low = part if low is None else np.minimum(low, part)
-    return (mix(low) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+def signatures(tokens: list[np.ndarray]) -> list[bytes]:
+    """VALUES MinHash values of each set of tokens, 16 bits each."""
+    out, at = [], 0
+    while at < len(tokens):
+        to, n = at, 0
+        while to < len(tokens) and (to == at or n + len(tokens[to]) <= 1 << 16):
+            n, to = n + len(tokens[to]), to + 1
+        flat = np.concatenate(tokens[at:to])
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in tokens[at : to - 1]], dtype=np.int64)])
+        low = np.stack([np.minimum.reduceat(flat * a + b, begins) for a, b in zip(*_SEEDS, strict=True)], axis=1)
+        out += [x.tobytes() for x in (mix(low) & np.uint64(0xFFFF)).astype(np.uint16)]
+        at = to
+    return out
 
 
 def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -61,12 +67,12 @@ def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at + np.arange(len(at)))
 
 
-def line_pieces(place: int, starts: np.ndarray) -> list[tuple[int, int, int]]:
-    """line, first word in it and number of words for each line that the PASSAGE words from `place` on touch.
+def line_pieces(place: int, end: int, starts: np.ndarray) -> list[tuple[int, int, int]]:
+    """line, first word in it and number of words for each line that the words from `place` to `end` touch.
 
     starts: where each line's words begin, and the end, counted from the document's first word.
     """
-    out, end, n = [], place + PASSAGE, int(np.searchsorted(starts, place, side="right")) - 1
+    out, n = [], int(np.searchsorted(starts, place, side="right")) - 1
     while place < end:
         to = min(end, int(starts[n + 1]))
         if to > place:
@@ -75,41 +81,49 @@ def line_pieces(place: int, starts: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-_OUT = "doc_id long, h long, line int, first_word int, n_words int, node long, size int, sketch binary"
+_OUT = "doc_id long, h long, starts array<int>, places array<int>, anchors array<long>, paragraphs array<struct<line: int, n_words: int, node: long, size: int, sketch: binary>>"
 
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """Paragraphs (with size and sketch) and anchored passages (without), a row for each line they touch: see _OUT."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    names = [x.split()[0] for x in _OUT.split(", ")]
+    """A row a document, see _OUT: where its lines start, its anchored passages, and its paragraphs with size and sketch."""
+    paragraph = pa.struct([("line", pa.int32()), ("n_words", pa.int32()), ("node", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary())])
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(paragraph)]
+    names = ["doc_id", "h", "starts", "places", "anchors", "paragraphs"]
+
+    def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        flat = np.concatenate(parts) if parts else []
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind.value_type))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            ids, h = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = byte_values(batch.column(2))
             for a, b in groups_of_bytes(texts):
                 split = [(t or b"").split(b"\n") for t in texts[a:b]]
-                lines = [x for own in split for x in own]
-                words, bounds = hasher(lines)
+                words, bounds = hasher([x for own in split for x in own])
                 short, long = grams(words, K), grams(words, PASSAGE)
-                out, at = [], -1
-                for i, own in enumerate(split):
-                    starts = bounds[at + 1 : at + 2 + len(own)]
-                    first, last = int(starts[0]), int(starts[-1])
-                    if last - first >= LONG:
-                        found = long[first : last - PASSAGE + 1]
-                        for p in anchors(found, WINDOW).tolist():
-                            node = int(found[p].astype(np.int64))
-                            out += [(ids[a + i], h[a + i], n, q, m, node, None, None) for n, q, m in line_pieces(p, starts - first)]
-                    for n in range(len(own)):
-                        at += 1
-                        start, end = int(bounds[at]), int(bounds[at + 1])
-                        if end - start < MIN_WORDS:
-                            continue
-                        tokens = np.unique(short[start : end - K + 1])
-                        out.append((ids[a + i], h[a + i], n, 0, end - start, set_node(tokens), len(tokens), signature(tokens)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=names)
+                starts, places, found, per, tokens, lines, at = [], [], [], [], [], [], 0
+                for own in split:
+                    begins = bounds[at : at + 1 + len(own)]
+                    first, last = int(begins[0]), int(begins[-1])
+                    starts.append((begins - first).astype(np.int32))
+                    places.append(anchors(long[first : last - PASSAGE + 1], WINDOW).astype(np.int32) if last - first >= LONG else np.empty(0, np.int32))
+                    found.append(long[first + places[-1]].view(np.int64))
+                    full = np.flatnonzero(np.diff(begins) >= MIN_WORDS)
+                    per.append(len(full))
+                    for n in full.tolist():
+                        tokens.append(np.unique(short[begins[n] : begins[n + 1] - K + 1]))
+                        lines.append((n, int(begins[n + 1] - begins[n])))
+                    at += len(own)
+                held = [
+                    {"line": n, "n_words": m, "node": set_node(t), "size": len(t), "sketch": s}
+                    for (n, m), t, s in zip(lines, tokens, signatures(tokens), strict=True)
+                ]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
+                columns = [lists(x, k) for x, k in zip((starts, places, found), kinds[2:5], strict=True)]
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(held, paragraph)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), text_key().alias("h"), "text").mapInArrow(work, _OUT)
 
@@ -153,6 +167,30 @@ def clusters(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return out
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, starts, places, anchors and found (node, first, n, stays): the union of its shared passages, cut at line ends."""
+    for batch in batches:
+        rows = []
+        for doc, starts, places, nodes, found in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            of = {x["node"]: x for x in found}
+            runs: dict[bool, list] = {True: [], False: []}
+            for place, node in zip(places, nodes, strict=True):
+                if (x := of.get(node)) is None:
+                    continue
+                held, first = runs[x["stays"]], (x["first"] is not None, x["first"] or 0)
+                if held and place <= held[-1][1]:
+                    held[-1] = (held[-1][0], place + PASSAGE, min(first, held[-1][2]), max(x["n"], held[-1][3]))
+                else:
+                    held.append((place, place + PASSAGE, first, x["n"]))
+            starts = np.asarray(starts)
+            for stays, held in runs.items():
+                for place, end, (known, first), n in held:
+                    rows += [(doc, *piece, first if known else None, n, not stays) for piece in line_pieces(place, end, starts)]
+        names = ["doc_id", "line", "first_word", "n_words", "class_id", "n_docs", "removed"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+
 def repeats(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """A row for each repeated span: doc_id, kind, line, first_word, n_words, class_id, n_docs and removed.
 
@@ -166,41 +204,35 @@ def repeats(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     document; a null doc_id is below every other. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = written(prepare(docs), "paragraphs")
-    paragraphs = rows.where("sketch IS NOT NULL").dropDuplicates(["doc_id", "h", "line"])
-    named = paragraphs.select("doc_id", "h", "line", "first_word", "n_words", "node").join(clusters(docs, paragraphs), "node", "left")
-    named = written(named.withColumn("class", F.coalesce("class", "node")), "paragraphs-named")
-    per = named.groupBy("class").agg(F.count_distinct(F.struct("doc_id", "h")).alias("n_docs"), F.min(F.struct("doc_id", "h", "line")).alias("first"))
-    per = per.where(F.col("n_docs") >= min_docs)
-    whole = named.join(per, "class").select(
-        "doc_id", F.lit("paragraph").alias("kind"), "line", "first_word", "n_words", F.col("first.doc_id").alias("class_id"), "n_docs",
+    rows = written(prepare(docs), "pieces")
+    if repeated(rows):
+        once = written(rows.dropDuplicates(["doc_id", "h"]), "pieces")
+        dropped(rows)
+        rows = once
+    paragraphs = rows.select("doc_id", "h", F.explode("paragraphs").alias("p")).select("doc_id", "h", "p.*")
+    found = clusters(docs, paragraphs)
+    named = paragraphs.select("doc_id", "h", "line", "n_words", "node").join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    who = F.xxhash64("doc_id", "h")
+    shared = named.groupBy("class").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low <> high")  # in two documents at least
+    named = written(named.drop("node").join(shared.select("class"), "class"), "paragraphs-shared")
+    per = named.groupBy("class").agg(F.count_distinct(who).alias("n_docs"), F.min(F.struct("doc_id", "h", "line")).alias("first"))
+    whole = named.join(per.where(F.col("n_docs") >= min_docs), "class").select(
+        "doc_id", F.lit("paragraph").alias("kind"), "line", F.lit(0).alias("first_word"), "n_words", F.col("first.doc_id").alias("class_id"), "n_docs",
         (~F.struct("doc_id", "h", "line").eqNullSafe(F.col("first"))).alias("removed"),
     )
 
-    units = rows.where("sketch IS NULL").select("doc_id", "h", "line", "first_word", "n_words", "node")
-    often = units.groupBy("node").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("first"), F.max(F.struct("doc_id", "h")).alias("last")
-    ).where("n > 1 AND first <> last").select("node", "first")
-    shared = written(units.join(often, "node"), "passages-shared")
-    held = shared.groupBy("node").agg(F.count_distinct(F.struct("doc_id", "h")).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    marked = shared.join(held, "node").withColumn("removed", ~F.struct("doc_id", "h").eqNullSafe(F.col("first")))
-    order = Window.partitionBy("doc_id", "h", "line", "removed").orderBy("first_word")
-    past = F.max(F.col("first_word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col("first_word") <= past, 0).otherwise(1)
-    spans = (
-        marked.withColumn("fresh", fresh)
-        .withColumn("span", F.sum("fresh").over(order))
-        .groupBy("doc_id", "h", "line", "removed", "span")
-        .agg(
-            F.min("first_word").alias("from"), F.max(F.col("first_word") + F.col("n_words")).alias("past"),
-            F.min("first.doc_id").alias("class_id"), F.max("n_docs").alias("n_docs"),
-        )
-    )
-    part = spans.select(
-        "doc_id", F.lit("passage").alias("kind"), "line", F.col("from").alias("first_word"), (F.col("past") - F.col("from")).alias("n_words"),
-        "class_id", "n_docs", "removed",
-    )
-    return whole.unionByName(part)
+    # A document holds each of its passages once here, so that passages are counted by documents.
+    each = rows.select("doc_id", "h", F.explode(F.array_distinct("anchors")).alias("node"))
+    often = written(each.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, min_docs)), "passages-often")
+    passages = written(each.join(often, "node"), "passages-shared")
+    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    first = passages.groupBy("node").agg(F.min_by("doc_id", order).alias("first"), F.min_by("h", order).alias("first_h"))
+    marked = passages.join(first, "node").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h")))
+    per = marked.groupBy("doc_id", "h").agg(F.collect_list(F.struct("node", "first", "n", "stays")).alias("found"))
+    mine = per.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "found")
+    held = rows.join(mine, (F.col("h") == F.col("of_h")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "starts", "places", "anchors", "found")
+    part = held.mapInArrow(_spans, "doc_id long, line int, first_word int, n_words int, class_id long, n_docs long, removed boolean")
+    return whole.unionByName(part.withColumn("kind", F.lit("passage")))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

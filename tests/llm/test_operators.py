@@ -300,8 +300,8 @@ def test_bucket_that_needs_many_splits(spark, monkeypatch):
             near = own.copy()
             near[rng.permutation(jaccard_join.BINS)[:6]] = rng.integers(0, 2**16, 6, np.uint16)
             sketches.append(near)
-    made = [(i, 500, [1], x.tobytes()) for i, x in enumerate(sketches)]
-    found = {r["node"]: r["component"] for r in jaccard_join.candidate_groups(spark.createDataFrame(made, "node long, size int, keys array<long>, sketch binary"), 1, 1).collect()}
+    made = [(i, 500, [1, 2, 3], x.tobytes()) for i, x in enumerate(sketches)]
+    found = {r["node"]: r["component"] for r in jaccard_join.candidate_groups(spark.createDataFrame(made, "node long, size int, keys array<long>, sketch binary"), 1, 3).collect()}
     n = range(len(sketches))
     near = [(i, j) for i in n for j in range(i) if (sketches[i] == sketches[j]).mean() >= 0.7]
     assert len(near) > 100 and sum(found.get(i, -1) == found.get(j, -2) for i, j in near) >= 0.98 * len(near)
