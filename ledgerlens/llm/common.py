@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,19 @@ def dropped(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.written_to)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with `__rid`, a number of each row that later reads of it find again.
+
+    Rows of files have places there, whose hash it is (joins should add another
+    key, such as a checksum, as hashes of many rows can meet); any other table is
+    written and numbered.
+    """
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__rid"))
+    except AnalysisException:
+        return written(docs.withColumn("__rid", F.monotonically_increasing_id()), name)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps what a Python worker holds of its input to a few megabytes, whatever the length of texts.
 

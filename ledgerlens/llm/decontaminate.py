@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from .common import WORD, byte_values, small_batches, words_of
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton; a larger benchmark takes several, one after the other.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one automaton, which takes about 160 times as much of each Python worker's memory;
+#: a larger benchmark takes several, one after the other.
+BLOCK_BYTES = 1 << 20
 
 
 class Automaton:

@@ -26,8 +26,8 @@ UNKNOWN = "und"
 TEMPER = 0.3
 #: Documents that a broader level's prior counts for.
 KAPPA = 10.0
-#: Declared languages looked at, the most frequent first; they bound the model's size.
-MAX_LANGUAGES = 64
+#: Documents that declare a language for it to be a class; all such languages are, at BUCKETS numbers each.
+MIN_DECLARED = 3
 #: A document is rejected where "und" is at least this likely.
 REJECT_AT = 0.99
 #: Rejected documents of up to so many bytes of keys are broadcast; more are joined by a shuffle.
@@ -125,8 +125,8 @@ def _normal(logs: Column) -> Column:
 def identify(docs: DataFrame, declared: str = "lang", host: str = "source") -> DataFrame:
     """A row a document: doc_id, __key, lang, posterior, text_lang, declared and accepted.
 
-    Classes are the declared languages (primary subtags; the MAX_LANGUAGES most
-    frequent) and "und". A text without letters, null ones included, has no
+    Classes are the languages that MIN_DECLARED documents or more declare (primary
+    subtags) and "und". A text without letters, null ones included, has no
     language: "und", posterior 1. A null or unlisted declaration says nothing; a
     null host is a host of its own, of no suffix. Equal posteriors go to the
     language first by code.
@@ -138,12 +138,12 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source") -> D
     small_batches(docs.sparkSession)
     rows = docs.select(
         "doc_id",
-        key(docs).alias("__key"),
+        key(declared, host).alias("__key"),
         _primary(F.col(declared)).alias("declared"),
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         "text",
     )
-    heads = rows.where("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()
+    heads = rows.where("declared IS NOT NULL").groupBy("declared").count().where(F.col("count") >= MIN_DECLARED).collect()
     languages = sorted(r["declared"] for r in heads if r["declared"] != UNKNOWN)
     names = [*languages, UNKNOWN]
     model = train(rows.select("declared", "text"), languages)
@@ -183,9 +183,9 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source") -> D
     )
 
 
-def key(docs: DataFrame) -> Column:
+def key(declared: str = "lang", host: str = "source") -> Column:
     """Tells a document's row by content; rows that share it get the same verdict."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"), F.coalesce(F.col("lang"), F.lit("\0")), F.coalesce(F.col("source"), F.lit("\0")))
+    return F.xxhash64(F.col("doc_id"), F.col("text"), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (declared, host)])
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
@@ -196,4 +196,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without the rejected ones."""
     gone = written(identify(docs).where("NOT accepted").select(F.col("__key").alias("__gone")).distinct(), "langid-rejected")
     small = gone.count() * 16 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(gone) if small else gone, key(docs) == gone["__gone"], "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, key() == gone["__gone"], "left_anti")

@@ -57,11 +57,11 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, text
     """One row a document: `__rid`, its columns but the text, `scan_words`, and
     `spans`, an array of (label, base, start, votes, score) by start.
 
-    Null texts are empty: no words, no spans. Texts of fewer words than a
+    Columns named as one of these are replaced. Null texts are empty: no words, no spans. Texts of fewer words than a
     template can't hold it. Repeated rows each get their own row. The
     templates, a parameter, are all that is broadcast.
     """
-    spark, keep = docs.sparkSession, [c for c in docs.columns if c != text]
+    spark, keep = docs.sparkSession, [c for c in docs.columns if c not in (text, "__rid", "scan_words", "spans")]
     split = [(i, t, t.words.split()) for i, t in enumerate(templates)]
     names = "tid int, label string, base boolean, need double, gap int, n int, wanted array<string>"
     about = F.broadcast(
@@ -72,8 +72,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, text
         [*places, (-1, 0, 0, 0, _END, None)], "tid int, at int, len int, pad int, a string, b string"
     ).select("tid", "at", "len", "pad", F.xxhash64("a", "b").alias("gram"))
 
-    own = F.struct(*keep).alias("__own")
-    texts = docs.select(F.monotonically_increasing_id().alias("__rid"), own, native_words(F.col(text)).alias("ws"))
+    own = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("__own")
+    texts = docs.select(F.monotonically_increasing_id().alias("__rid"), own, native_words(F.col(f"`{text}`")).alias("ws"))
     grams = texts.select(
         "__rid", "__own", "ws", F.posexplode(F.concat("ws", F.array(F.lit(_END)))).alias("p", "w")
     ).withColumn("gram", F.xxhash64("w", F.get("ws", F.col("p") + 1)))
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, text
             F.max(F.when(F.col("tid") < 0, F.col("start"))).cast("long").alias("scan_words"),
             F.array_sort(F.collect_list(F.when((F.col("tid") >= 0) & holds, span))).alias("spans"),
         )
-        .select("__rid", "__own.*", "scan_words", "spans")
+        .select("__rid", *[F.col(f"__own.c{i}").alias(c) for i, c in enumerate(keep)], "scan_words", "spans")
     )
 
 

@@ -1,15 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A store holds runs: tables of (key, n, last), sorted by key, where n documents
-hold the key and last is the largest of their ids. Each batch of lines adds
-its own run at level 0; once a level holds `fanout` runs they are compacted
-into one of the next level. A batch's fresh keys, and the lines to drop, come
-from anti- and semi-joins with the runs.
+A store holds runs: tables of (key, n, last), bucketed and sorted by key, where
+n documents hold the key and last is the largest of their ids. A batch is
+summed by key and merge-anti-joined with all runs: keys that none of them holds
+are the batch's own run, so that a key is in one run only; what the batch adds
+to keys seen before is kept beside it as a tally. Once a level holds `fanout`
+runs, they and their tallies are compacted into one run of the next level. As
+all tables share their buckets, none of these joins and sums shuffles a run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_values, remove, small_batches, table_path, written
+from .common import dropped as forget
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 4
 _BLANKS = b" \t\n\r\x0b\x0c"
@@ -49,46 +53,81 @@ def line_keys(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs, in the session's shared folder."""
+    """The levelled runs, as bucketed tables whose files are in the session's shared folder."""
 
     SCHEMA = "key binary, n long, last long"
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
-
-    def _write(self, run: DataFrame, level: int) -> None:
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]  # runs, by level
+        self.tallies: list[list[str]] = [[]]  # what came to keys of other runs, at the level of the batch
+
+    def _read(self, names: list[str]) -> DataFrame:
+        out = self.spark.createDataFrame([], self.SCHEMA) if not names else self.spark.table(names[0])
+        for n in names[1:]:
+            out = out.unionByName(self.spark.table(n))
+        return out
+
+    def _write(self, rows: DataFrame, into: list[list[str]], level: int) -> None:
+        name = f"ledgerlens_lines_{uuid.uuid4().hex}"
         path = table_path(self.spark, f"lines-{level}")
-        run.sortWithinPartitions("key").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        rows.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        while len(into) <= level:
+            into.append([])
+        into[level].append(name)
+        self._paths = getattr(self, "_paths", {}) | {name: path}
+
+    def _drop(self, names: list[str]) -> None:
+        for n in names:
+            self.spark.sql(f"DROP TABLE {n}")
+            remove(self.spark, self._paths.pop(n))
 
     @staticmethod
     def _sum(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
+    def _names(self, of: list[list[str]]) -> list[str]:
+        return [n for level in of for n in level]
+
     def all(self) -> DataFrame:
-        """Every key once, over all runs."""
-        return self._sum(self._read([p for level in self.levels for p in level]))
+        """Every key once, over all runs and tallies."""
+        return self._sum(self._read(self._names(self.levels) + self._names(self.tallies)))
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """Lines whose key stands in no run yet: the merge anti-join."""
-        return lines.join(self._read([p for level in self.levels for p in level]).hint("merge"), "key", "left_anti")
+        """Lines whose key stands in no run yet: a merge anti-join with each."""
+        for name in self._names(self.levels):
+            lines = lines.join(self.spark.table(name).select("key").hint("merge"), "key", "left_anti")
+        return lines
 
     def add(self, lines: DataFrame) -> None:
-        """A batch (key, doc_id): its keys become a run; full levels are compacted."""
-        self._write(lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")), 0)
+        """A batch (key, doc_id): its fresh keys become a run, what it adds to others a tally; full levels are compacted."""
+        own = written(lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")), "lines-batch")
+        if any(self.levels):
+            fresh = written(self.unseen(own), "lines-fresh")
+            self._write(own.join(fresh.select("key").hint("merge"), "key", "left_anti"), self.tallies, 0)
+            self._write(fresh, self.levels, 0)
+            forget(fresh)
+        else:
+            self._write(own, self.levels, 0)
+        forget(own)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._write(self._sum(self._read(old)), level + 1)
-            for path in old:
-                remove(self.spark, path)
+            runs, self.levels[level] = self.levels[level], []
+            tallies = self.tallies[level] if level < len(self.tallies) else []
+            keys = self._sum(self._read(runs))  # a key of another level's run stays a tally
+            both = self._sum(self._read(runs + tallies)).join(keys.select("key").hint("merge"), "key", "left_semi")
+            rest = self._sum(self._read(tallies)).join(keys.select("key").hint("merge"), "key", "left_anti") if tallies else None
+            self._write(both, self.levels, level + 1)
+            if rest is not None:
+                self._write(rest, self.tallies, level + 1)
+                self.tallies[level] = []
+            self._drop(runs + tallies)
             level += 1
 
+    def close(self) -> None:
+        self._drop(self._names(self.levels) + self._names(self.tallies))
+
 
 def dedup(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT
@@ -96,7 +135,8 @@ def dedup(
     """docs with kept_text, n_lines and n_dropped.
 
     Keys of at least min_chars code points in at least min_docs documents lose
-    all their lines but those of the largest doc_id that holds them. A null or
+    all their lines but those of the largest doc_id that holds them. Documents
+    are rows: ids are taken to be unique, as in the SQL. A null or
     empty text is one empty line. A null doc_id is below every other. Rows that
     repeat a doc_id count as documents of their own and share its verdict.
     """
@@ -109,6 +149,7 @@ def dedup(
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select("key", "doc_id"))
     common = written(runs.all().where((F.col("n") >= min_docs) & F.col("last").isNotNull()).select("key", "last"), "lines-common")
+    runs.close()
     dropped = (
         lines.join(common, "key")
         .where("doc_id IS NULL OR doc_id < last")

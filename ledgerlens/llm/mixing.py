@@ -13,11 +13,11 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import cuts
-from .common import written
+from .common import dropped, written
 
 WEIGHTS, BUDGET, CAP = (3, 1, 2), Fraction(3, 2), 2
 
@@ -88,6 +88,15 @@ def solve(hist: DataFrame, stats: dict[int, tuple[int, int, float]], rounds: int
     return out
 
 
+def _measured(docs: DataFrame, rid: Column, *more: Column) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        rid.alias("__rid"), "doc_id", "source",
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
+        F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double").alias("h"), *more,
+    )
+
+
 def copies(docs: DataFrame, max_sources: int = 100_000) -> DataFrame:
     """A row a document: __rid, doc_id, source, size, source_size, target, rate and copies (0 to 2).
 
@@ -99,16 +108,17 @@ def copies(docs: DataFrame, max_sources: int = 100_000) -> DataFrame:
     rate's fraction, so that reruns agree. Sources are metadata: their number is
     bounded by max_sources (more raise an error); an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = written(
-        docs.select(
-            "__rid", "doc_id", "source",
-            F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-            F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double").alias("h"),
-        ),
-        "mix-sizes",
-    )
+    rows = written(_measured(docs, F.col("__rid")), "mix-sizes")
+    return mixer(rows, max_sources)(rows)
+
+
+def mixer(rows: DataFrame, max_sources: int = 100_000):
+    """From measured rows, what adds source_size, target, rate and copies to any rows so measured.
+
+    Only tables of a row a source are joined, so that texts may stay where they
+    are. Rows that __rid doesn't tell apart, of one id and text, are taken alike.
+    """
+    spark = rows.sparkSession
     hist = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
     sums = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
@@ -123,17 +133,26 @@ def copies(docs: DataFrame, max_sources: int = 100_000) -> DataFrame:
     numbered = lambda df: df.join(F.broadcast(named), df["source"].eqNullSafe(named["source"])).drop(named["source"])
     solved = solve(numbered(hist).select("node", "size", "n"), stats)
     rates = spark.createDataFrame([(n, *x) for n, x in solved.items()], "node int, lam double, mean double, full boolean")
-    rated = numbered(rows).join(F.broadcast(rates), "node").withColumn("rate", _rate())
-    rated = rated.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
-    rated = written(rated.withColumn("k0", F.try_divide(F.col("h") / float(1 << 53), F.col("part"))), "mix-rates")
 
+    def rated_of(measured: DataFrame) -> DataFrame:
+        out = numbered(measured).join(F.broadcast(rates), "node").withColumn("rate", _rate())
+        out = out.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
+        return out.withColumn("k0", F.try_divide(F.col("h") / float(1 << 53), F.col("part")))
+
+    rated = written(rated_of(rows), "mix-rates")
     got = {r["node"]: r["w"] for r in rated.groupBy("node").agg(F.sum(F.col("whole") * F.col("size")).alias("w")).collect()}
     moving = rated.where("part > 0 AND size > 0").select("node", F.col("size").alias("w"), "k0", F.col("h").alias("k1"), F.col("__rid").cast("double").alias("k2"))
     found = cuts.find(moving, ["k0", "k1", "k2"], {n: stats[n][2] - w for n, w in got.items()})
     extra = F.when((F.col("part") > 0) & (F.col("size") > 0) & cuts.before([F.col("k0"), F.col("h"), F.col("__rid")]), 1).otherwise(0)
-    return rated.join(F.broadcast(cuts.table(spark, found, 3)), "node", "left").select(
-        "__rid", "doc_id", "source", "size", "source_size", "target", "rate", (F.col("whole") + extra).cast("int").alias("copies")
-    )
+    dropped(rated)
+    cut = cuts.table(spark, found, 3)
+
+    def apply(measured: DataFrame, *keep: str) -> DataFrame:
+        return rated_of(measured).join(F.broadcast(cut), "node", "left").select(
+            "__rid", "doc_id", "source", "size", "source_size", "target", "rate", (F.col("whole") + extra).cast("int").alias("copies"), *keep
+        )
+
+    return apply
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -144,7 +163,9 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it."""
-    rows = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-docs")
-    taken = copies(rows).where("copies > 0").select("__rid", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
-    return rows.join(taken, "__rid").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Pipeline stage: every document as often as the mix takes it; rows that repeat id and text are taken alike."""
+    rows = written(_measured(docs, F.lit(0)), "mix-sizes")
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("own")
+    taken = mixer(rows)(_measured(docs, F.lit(0), whole), "own").where("copies > 0")
+    copied = taken.select("own", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return copied.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(docs.columns)])

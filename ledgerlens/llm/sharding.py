@@ -2,7 +2,9 @@
 
 A node of the tree is split across its widest metadata dimension at the
 weighted median, found by distributed histograms, until every leaf holds one
-shard's bytes. Only a narrow table of metadata takes part.
+shard's bytes. Only a narrow table of metadata takes part. Dimensions are the
+source and the language; copies of a text share those of one of them, so that
+they stay neighbours in every order.
 """
 
 from __future__ import annotations
@@ -11,12 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import cuts
-from .common import written
+from .common import numbered, written
 
 SHARDS = 40
 OVERHEAD = 16
-#: A node is not split by size where its largest document has more than this share of a shard.
-COARSE = 0.25
 
 
 def _as_unit(x: Column) -> Column:
@@ -25,7 +25,10 @@ def _as_unit(x: Column) -> Column:
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """__rid, doc_id, size, text_crc32, the dimensions d0 (log of size), d1 (source), d2 (language) and the tie keys."""
+    """__rid, doc_id, size, text_crc32, the dimensions d0 (source) and d1 (language) and the tie keys.
+
+    The dimensions are the smallest of all rows that share the text's checksum and size.
+    """
     names = set(docs.columns)
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     part = docs.select(
@@ -33,41 +36,37 @@ def metadata(docs: DataFrame) -> DataFrame:
         "doc_id",
         (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        *[_as_unit(F.col(c)).alias(d) if c in names else F.lit(0.0).alias(d) for c, d in (("source", "d1"), ("lang", "d2"))],
+        *[_as_unit(F.col(c)).alias(d) if c in names else F.lit(0.0).alias(d) for c, d in (("source", "d0"), ("lang", "d1"))],
     )
+    part = written(part, "kd-rows")
+    copies = part.groupBy("text_crc32", "size").agg(F.count("*").alias("n"), F.min("d0").alias("c0"), F.min("d1").alias("c1")).where("n > 1").drop("n")
+    part = part.join(copies, ["text_crc32", "size"], "left").withColumns({"d0": F.coalesce("c0", "d0"), "d1": F.coalesce("c1", "d1")})
     return part.select(
-        "*",
-        F.log2("size").alias("d0"),
+        "__rid", "doc_id", "size", "text_crc32", "d0", "d1",
         F.col("text_crc32").cast("double").alias("k1"),
         F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double").alias("k2"),
         F.col("__rid").cast("double").alias("k3"),
-    )
+    )
 
 
 def tree(meta: DataFrame, shards: int) -> DataFrame:
     """meta with `node`, the shard: leaves 0 to shards - 1.
 
     A node is named by its first shard. Equal dimension values go by the text's
-    checksum, then the id, so equal texts with equal metadata stay neighbours
-    and are parted only where a cut runs through their group.
+    checksum, then the id, so a text's copies are parted only where a cut runs
+    through them. A cut is off its target by half of one document at most, so a
+    shard's bytes are off the mean by less than one of the largest documents.
     """
-    spark, dims = meta.sparkSession, ["d0", "d1", "d2"]
+    spark, dims = meta.sparkSession, ["d0", "d1"]
     rows, wide, level = meta.withColumn("node", F.lit(0)), {0: shards}, 0
-    span: dict[str, float] = {}
     while any(m > 1 for m in wide.values()):
         stats = rows.groupBy("node").agg(
             F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))]
         ).collect()
-        if not stats:
-            break
-        if not span:
-            span = {d: (stats[0][f"max_{d}"] - stats[0][f"min_{d}"]) or 1.0 for d in dims}
         split, targets = [], {}
         for r in stats:
             if (m := wide[r["node"]]) > 1:
-                coarse = 2 ** r["max_d0"] > COARSE * r["w"] / m  # by size, the few largest would end up alone
-                width = [0.0 if i == 0 and coarse else (r[f"max_{d}"] - r[f"min_{d}"]) / span[d] for i, d in enumerate(dims)]
-                widest = max(range(len(dims)), key=lambda i: (width[i], i if coarse else -i))
+                widest = max(range(len(dims)), key=lambda i: (r[f"max_{dims[i]}"] - r[f"min_{dims[i]}"], -i))
                 split.append((r["node"], widest, r["node"] + m // 2))
                 targets[r["node"]] = r["w"] * (m // 2) / m
         if not split:
@@ -118,7 +117,7 @@ def assign(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | Non
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("__rid", F.monotonically_increasing_id())
+    docs = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"), "kd-docs")
     return assign(docs).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
@@ -126,7 +125,9 @@ def op5_sharding(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with shard, slot and size, in place of columns of those names."""
-    rows = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "kd-docs")
-    placed = assign(rows).select("__rid", "shard", "slot", "size")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in placed.columns]
-    return rows.select("__rid", *own).join(placed, "__rid").drop("__rid")
+    rows = numbered(docs, "kd-docs")
+    placed = assign(rows).select(F.col("__rid").alias("__of"), F.col("text_crc32").alias("__crc"), "shard", "slot", "size")
+    crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot", "size", "__rid")]
+    kept = rows.select("__rid", crc.alias("__own_crc"), *own)
+    return kept.join(placed, (F.col("__rid") == F.col("__of")) & (F.col("__own_crc") == F.col("__crc"))).drop("__rid", "__own_crc", "__of", "__crc")

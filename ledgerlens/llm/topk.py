@@ -2,14 +2,16 @@
 
 Vectors are made integer, dealt into shards of bounded size, and every shard
 is indexed once by a ball tree, stored as one row in the shared folder. Queries
-come in blocks. A first pass looks into each shard's most promising leaf only;
-the best k-th score that any shard then has is shared with all, and the second
-pass orders each tree's leaves by the upper bound q.c + |q| r and leaves out
-those below it.
+come in blocks. A query walks a tree from its root by a heap of nodes, the
+largest upper bound q.c + |q| r first, and ends where that bound falls below
+its k-th score. A first pass goes down to each shard's most promising leaves
+only; the best k-th score that any shard then has is shared with all, and the
+second pass starts from it.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections.abc import Iterator
 
@@ -27,37 +29,40 @@ SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK = 8192, 128, 2048
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, v (array of long) and dim; without vectors or ids that are null, empty vectors,
-    and vectors that hold null or non-finite components."""
+    and vectors that hold null or non-finite components. A finite component that
+    leaves the range of long when scaled ends the query with an error."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    whole = lambda e: F.when(F.abs(e * scale) >= float(1 << 63), F.raise_error(F.lit("a vector's component leaves the range of long"))).otherwise(F.floor(e * scale)).cast("long")
     return vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size(x) > 0) & fine).select(
-        F.col("vec_id").cast("long"), F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"), F.size(x).alias("dim")
+        F.col("vec_id").cast("long"), F.transform(x, whole).alias("v"), F.size(x).alias("dim")
     )
 
 
 def build(ids: np.ndarray, v: np.ndarray, leaf: int) -> dict:
-    """A ball tree's leaves: rows in leaf order, where each leaf begins, its centre and radius.
+    """A ball tree: rows in leaf order and, for each node, its range of rows, centre, radius and children (-1 for leaves).
 
-    Nodes are cut at the median of their widest component until a leaf is
-    small; branch and bound needs the leaves' balls alone, as inner balls only
-    group them.
+    Nodes are cut at the median of their widest component until a leaf is small.
     """
-    order, todo, starts = np.arange(len(ids)), [(0, len(ids))], []
+    order, nodes, todo = np.arange(len(ids)), [], [(0, len(ids), -1, 0)]
+    children: list[list[int]] = []
     while todo:
-        a, b = todo.pop()
+        a, b, parent, side = todo.pop()
+        if parent >= 0:
+            children[parent][side] = len(nodes)
+        nodes.append((a, b))
+        children.append([-1, -1])
         if b - a <= leaf:
-            starts.append(a)
             continue
         part = order[a:b]
         dim = int(np.argmax(np.ptp(v[part], axis=0)))
         mid = (b - a) // 2
         order[a:b] = part[np.argpartition(v[part, dim], mid)]
-        todo += [(a, a + mid), (a + mid, b)]
-    starts = np.sort(np.asarray(starts, np.int64))
-    v = v[order].astype(np.float64)
-    centre = np.add.reduceat(v, starts, axis=0) / np.diff(np.append(starts, len(ids)))[:, None]
-    spread = np.sqrt(((v - np.repeat(centre, np.diff(np.append(starts, len(ids))), axis=0)) ** 2).sum(1))
-    return {"ids": ids[order], "v": v, "starts": starts, "centre": centre, "radius": np.maximum.reduceat(spread, starts)}
+        todo += [(a, a + mid, len(nodes) - 1, 0), (a + mid, b, len(nodes) - 1, 1)]
+    real = v[order].astype(np.float64)
+    centre = np.stack([real[a:b].mean(axis=0) for a, b in nodes])
+    radius = np.asarray([np.sqrt(((real[a:b] - c) ** 2).sum(axis=1).max()) for (a, b), c in zip(nodes, centre, strict=True)])
+    return {"ids": ids[order], "v": v[order], "nodes": nodes, "children": children, "centre": centre, "radius": radius}
 
 
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -80,41 +85,60 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEA
     return written(dealt.groupBy("dim", "shard").applyInArrow(grow, "dim int, shard int, tree binary"), "ball-trees")
 
 
-def _exact(products: np.ndarray) -> np.ndarray:
-    return np.rint(products).astype(np.int64)
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact integer inner products: in doubles where they stay below 2**53, else in Python's integers.
+
+    OverflowError where one leaves the range of long.
+    """
+    most = float(np.abs(rows.astype(np.float64)).max(initial=0)) * float(np.abs(query.astype(np.float64)).max(initial=0)) * len(query)
+    if most < 2.0**53:
+        return np.rint(rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+    own = [int(x) for x in query]
+    sums = [sum(a * b for a, b in zip(own, map(int, r), strict=True)) for r in rows]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in sums):
+        raise OverflowError("an inner product leaves the range of long")
+    return np.asarray(sums, np.int64)
 
 
 class Search:
-    """A block of queries against trees. Scores are integers, exact in doubles while below 2**53."""
+    """A block of queries against trees; `visited` counts the nodes looked into."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, floor: np.ndarray | None) -> None:
-        self.ids, self.v, self.k, self.floor = ids, v.astype(np.float64), k, floor
-        self.norm = np.sqrt((self.v**2).sum(1))
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, floor: dict[int, int]) -> None:
+        self.ids, self.v, self.k, self.floor, self.visited = ids, v, k, floor, 0
+        self.real = v.astype(np.float64)
+        self.norm = np.sqrt((self.real**2).sum(1))
 
     def best(self, tree: dict, first_leaf_only: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per query: its number, ids and scores of the k best of this tree that can matter."""
-        starts, n = tree["starts"], len(tree["ids"])
-        ends = np.append(starts[1:], n)
-        bound = self.v @ tree["centre"].T + self.norm[:, None] * tree["radius"][None, :]
-        bound += 1e-6 * (np.abs(bound) + 1)  # what rounding may have taken off
-        order = np.argsort(-bound, axis=1)
+        bound = self.real @ tree["centre"].T + self.norm[:, None] * tree["radius"][None, :]
+        # What rounding may have taken off, of products as large as these.
+        size = np.sqrt((tree["centre"] ** 2).sum(1)) + tree["radius"]
+        bound += 1e-9 * self.norm[:, None] * size[None, :] + 1
         for q in range(len(self.ids)):
-            low = -np.inf if self.floor is None else self.floor[q]
-            ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-            for leaf in order[q]:
-                if bound[q, leaf] < low:
+            low, above = self.floor.get(q), bound[q]
+            ids, scores, heap = np.empty(0, np.int64), np.empty(0, np.int64), [(-above[0], 0)]
+            while heap:
+                up, node = heapq.heappop(heap)
+                if low is not None and -up < low:
                     break
-                a, b = starts[leaf], ends[leaf]
-                s = _exact(tree["v"][a:b] @ self.v[q])
-                keep = (s >= low) & (tree["ids"][a:b] != self.ids[q])
+                self.visited += 1
+                left, right = tree["children"][node]
+                if left >= 0:
+                    heapq.heappush(heap, (-above[left], left))
+                    heapq.heappush(heap, (-above[right], right))
+                    continue
+                a, b = tree["nodes"][node]
+                s = products(tree["v"][a:b], self.v[q])
+                keep = tree["ids"][a:b] != self.ids[q]
+                keep &= True if low is None else s >= low
                 ids, scores = np.concatenate([ids, tree["ids"][a:b][keep]]), np.concatenate([scores, s[keep]])
                 if len(ids) > self.k:
-                    top = np.lexsort((ids, -scores))[: self.k]
+                    top = np.lexsort((ids, ~scores))[: self.k]  # ~ turns the order and can't overflow
                     ids, scores = ids[top], scores[top]
                 if len(ids) >= self.k:
-                    low = max(low, scores.min())
-                if first_leaf_only and len(ids) >= self.k:
-                    break
+                    low = int(scores.min()) if low is None else max(low, int(scores.min()))
+                    if first_leaf_only:
+                        break
             yield q, ids, scores
 
 
@@ -124,6 +148,7 @@ def search(vectors: DataFrame, trees: DataFrame, is_query, k: int = K, block: in
     vectors as integer_vectors() gives them, trees from index() over them.
     Queries and rows of other dimensions don't meet. Ties go to the smaller
     vec_id; repeated rows count each; a query with fewer others gets them all.
+    Scores are exact; one that leaves the range of long ends the query with an error.
     Queries reach the executors in blocks of a bounded size.
     """
     spark = trees.sparkSession
@@ -149,16 +174,14 @@ def _block(spark, trees: DataFrame, queries: list, dim: int, k: int) -> DataFram
     v = np.asarray([r[1] for r in queries], np.int64).reshape(len(ids), dim)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Search(ids, v, k, None)
+        s = Search(ids, v, k, {})
         for batch in batches:
             for tree in batch.column("tree"):
                 got = [(q, int(scores.min())) for q, _, scores in s.best(pickle.loads(tree.as_py()), True) if len(scores) >= k]
                 yield pa.RecordBatch.from_pydict({"q": pa.array([x[0] for x in got], pa.int32()), "low": pa.array([x[1] for x in got], pa.int64())})
 
     shared = trees.select("tree").mapInArrow(first, "q int, low long").groupBy("q").agg(F.max("low").alias("low")).collect()
-    floor = np.full(len(ids), -np.inf)
-    for r in shared:
-        floor[r["q"]] = r["low"]
+    floor = {r["q"]: r["low"] for r in shared}
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Search(ids, v, k, floor)

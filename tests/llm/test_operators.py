@@ -57,6 +57,12 @@ def test_language_id_held_out(spark):
     assert n > 100 and right >= 0.97 * n
 
 
+def test_language_id_of_other_columns(spark):
+    made = [(i, f"the and with {i}", "en", "a.com") for i in range(5)]
+    out = language_id.identify(spark.createDataFrame(made, "doc_id long, text string, tag string, address string"), declared="tag", host="address")
+    assert {r["lang"] for r in out.collect()} == {"en"}
+
+
 def test_language_stage_keeps_columns(spark, docs):
     kept = language_id.stage(spark, docs, "")
     assert kept.columns == docs.columns and kept.where("text IS NULL").count() == 0
@@ -145,6 +151,12 @@ def test_license_scan(spark, docs, none, rows):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "cc by", "x", "y", "z", "q")], ["doc_id", "text", "scan_words", "spans", "a.b", "own"])
+    found = license_scan.scan(df)
+    assert sorted(found.columns) == ["__rid", "a.b", "doc_id", "own", "scan_words", "spans"] and license_scan.digest(found).first()["n_words"] == 2
+
+
 # ---------------------------------------------------------------- 4
 @pytest.mark.parametrize("block", [32 << 20, 300])
 def test_decontamination(spark, docs, rows, none, block):
@@ -183,6 +195,18 @@ def test_sharding_is_even_with_a_hot_group(spark):
     assert len(by) == 40 and max(by) - min(by) < 0.05 * sum(by) / 40
 
 
+def test_sharding_keeps_copies_together(spark):
+    """A text's copies from all sources stand in one shard, but for those that a cut runs through; shards are off by less than a document."""
+    made = [(i, f"text {i % 300} " * (5 + i % 7), ["en", "de"][i % 2], f"s{i % 11}") for i in range(3000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string").withColumn("__rid", F.monotonically_increasing_id())
+    out, by, shards = sharding.assign(docs, 40).collect(), Counter(), defaultdict(set)
+    for r in out:
+        by[r["shard"]] += r["size"]
+        shards[r["text_crc32"], r["size"]].add(r["shard"])
+    mean = sum(by.values()) / 40
+    assert sum(len(x) - 1 for x in shards.values()) <= 39 and all(abs(x - mean) <= max(r["size"] for r in out) for x in by.values())
+
+
 def test_cuts_by_brute_force(spark):
     rng = random.Random(2)
     made = [(rng.randrange(3), rng.randrange(1, 50), float(rng.choice([1, 1, 1, 2, 5, rng.random()])), float(rng.randrange(4)), float(i)) for i in range(3000)]
@@ -350,6 +374,15 @@ def test_topk(spark, monkeypatch):
         s = sorted((-sum(a * b for a, b in zip(held[q], v, strict=True)), i) for i, v in held.items() if i != q and len(v) == len(held[q]))
         want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s[:10])]
     assert out == sorted(want, key=repr)
+    tree = topk.build(np.arange(2000), np.random.default_rng(1).integers(-500, 500, (2000, 3)), 16)
+    near = topk.Search(np.asarray([-1]), np.asarray([[900, 5, -3]]), 10, {})
+    assert len(next(near.best(tree, False))[1]) == 10 and near.visited < len(tree["nodes"]) / 2
+    big = spark.createDataFrame([(0, [2.0**31 + 1, 1.0]), (1, [2.0**31 + 3, 1.0]), (2, [2.0**31 + 3, 2.0])], "vec_id long, embedding array<double>")
+    whole = topk.integer_vectors(big, 1)
+    assert got(topk.search(whole, topk.index(whole), F.col("vec_id") == 0, k=2), "rank", "vec_id", "score") == [(1, 2, (2**31 + 1) * (2**31 + 3) + 2), (2, 1, (2**31 + 1) * (2**31 + 3) + 1)]
+    for wrong in (topk.integer_vectors(big), topk.integer_vectors(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"))):
+        with pytest.raises(Exception, match="leaves the range of long"):
+            topk.search(wrong, topk.index(wrong), F.col("vec_id") == 0).collect()
     empty = topk.integer_vectors(df.where("false"))
     assert topk.search(empty, topk.index(empty), F.lit(True)).count() == 0
 
@@ -378,6 +411,10 @@ def test_mixing(spark, docs, none, rows):
     assert sorted(r["size"] for r in odd) == sorted(len((r[1] or "").encode().split()) for r in rows)
     assert mixing.copies(none.withColumn("__rid", F.lit(0).cast("long"))).count() == 0
     assert mixing.stage(spark, docs, "").columns == docs.columns
+    clash = docs.withColumn("__rid", F.lit("x")).withColumn("__copy", F.lit("y")).withColumn("h", F.lit("z")).withColumn("a.b", F.lit("w"))
+    mixed = mixing.stage(spark, clash, "")
+    assert mixed.columns == clash.columns and {(r["__rid"], r["__copy"], r["h"], r["a.b"]) for r in mixed.collect()} == {("x", "y", "z", "w")}
+    assert mixing.stage(spark, none, "").count() == 0
 
 
 # ---------------------------------------------------------------- 9

@@ -26,6 +26,12 @@ def test_pipeline(spark, tmp_path):
     assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot", "size"}
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, shard string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run_on_test_data(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.where("shard NOT BETWEEN 0 AND 39").count() == 0
