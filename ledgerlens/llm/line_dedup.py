@@ -5,8 +5,8 @@ n documents hold the key and last is the largest of their ids. A batch is
 summed by key and merge-anti-joined with all runs: keys that none of them holds
 are the batch's own run, so that a key is in one run only; what the batch adds
 to keys seen before is kept beside it as a tally. Once a level holds `fanout`
-runs, they and their tallies are compacted into one run of the next level. As
-all tables share their buckets, none of these joins and sums shuffles a run.
+runs, they and their tallies are compacted into one run of the next level. The
+runs' buckets and order spare the anti-joins a shuffle of them.
 """
 
 from __future__ import annotations
@@ -62,12 +62,12 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]  # runs, by level
         self.tallies: list[list[str]] = [[]]  # what came to keys of other runs, at the level of the batch
+        self._paths: dict[str, str] = {}
 
     def _read(self, names: list[str]) -> DataFrame:
-        out = self.spark.createDataFrame([], self.SCHEMA) if not names else self.spark.table(names[0])
-        for n in names[1:]:
-            out = out.unionByName(self.spark.table(n))
-        return out
+        """All rows of these tables, by their files: a union of bucketed scans is no bucketed scan."""
+        paths = [self._paths[n] for n in names]
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
     def _write(self, rows: DataFrame, into: list[list[str]], level: int) -> None:
         name = f"ledgerlens_lines_{uuid.uuid4().hex}"
@@ -76,7 +76,7 @@ class LineRuns:
         while len(into) <= level:
             into.append([])
         into[level].append(name)
-        self._paths = getattr(self, "_paths", {}) | {name: path}
+        self._paths[name] = path
 
     def _drop(self, names: list[str]) -> None:
         for n in names:
