@@ -65,35 +65,78 @@ def cloud_confidence(average: Column, lowest: Column, validation: Column) -> Col
     return F.coalesce(average, F.lit(0.5)) * 0.5 + F.coalesce(lowest, F.lit(0.5)) * 0.2 + F.coalesce(validation, F.lit(0.5)) * 0.3
 
 
-def calibrated(base: Column, repairs: Column, is_placeholder: Column, ambiguous: Column, anchors: Column) -> Column:
-    """FN-15: struct(value and each penalty): up to .2 for repairs and for anchor conflicts, .35 placeholder, .15 ambiguity."""
-    r = F.least(F.lit(0.2), repairs * 0.05)
-    p = F.when(is_placeholder, 0.35).otherwise(0.0)
-    a = F.when(ambiguous, 0.15).otherwise(0.0)
-    c = F.least(F.lit(0.2), anchors * 0.1)
-    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - r - p - a - c))
-    return F.struct(value.alias("value"), r.alias("repairs"), p.alias("placeholder"), a.alias("ambiguity"), c.alias("anchors"))
-
-
-def corruption_risk(parser: Column, conflicts: Column, placeholders: Column, ambiguous: Column, gaps: Column) -> Column:
-    """AGG-17: struct(score, level) of capped parts 40, 30, 15, 15 and 5."""
-    score = F.least(F.lit(100), F.least(F.lit(40), parser) + F.least(F.lit(30), conflicts * 10) + F.least(F.lit(15), placeholders * 3) + F.least(F.lit(15), ambiguous * 5) + F.least(F.lit(5), gaps))
+def field_criticality(field_id: Column, critical: list[str]) -> Column:
+    """FN-15: critical if listed, major for names of batches, records and products, else minor."""
+    is_major = field_id.rlike("batch|bpcr|mpcr|product")
+    return F.when(field_id.isin(critical), "critical").when(is_major, "major").otherwise("minor")
+
+
+def calibrated(base: Column, parser: Column, is_placeholder: Column, allowed: Column, ambiguous: Column, field_id: Column, anchors: Column) -> Column:
+    """FN-15: struct(value and each penalty), to four places.
+
+    Up to .2 for a parser score of 0 to 10, .35 for a placeholder that isn't
+    allowed, .15 for ambiguity in a yes_no_na field, .07 an anchor issue up to
+    .2. A null or zero base counts .5.
+    """
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    start = F.when(base.isNull() | (base == 0), 0.5).otherwise(base.cast("double"))
+    r = unit(F.coalesce(parser, F.lit(0)) / 10.0) * 0.2
+    p = F.when(is_placeholder & ~F.coalesce(allowed, F.lit(False)), 0.35).otherwise(0.0)
+    a = F.when(ambiguous & F.contains(field_id, F.lit("yes_no_na")), 0.15).otherwise(0.0)
+    c = F.least(F.lit(0.2), F.coalesce(anchors, F.lit(0)) * 0.07)
+    names = (("value", unit(start - r - p - a - c)), ("base", start), ("parser", r), ("placeholder", p), ("ambiguity", a), ("anchors", c))
+    return F.struct(*[F.round(x, 4).alias(n) for n, x in names])
+
+
+def corruption_risk(parser: Column, confidence: Column, ambiguous: Column, anchors: Column, handwritten: Column) -> Column:
+    """AGG-17, a page: struct(score, level), to two places.
+
+    40 for a parser score of 10 and more, 30 as confidence falls from .8 to 0,
+    15 for ambiguity, 7.5 an anchor issue up to 15, 5 from 20 handwritten items on. A null confidence counts .5.
+    """
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    score = F.round(
+        unit(F.coalesce(parser, F.lit(0)) / 10.0) * 40
+        + unit((0.8 - unit(F.coalesce(confidence, F.lit(0.5)))) / 0.8) * 30
+        + F.when(ambiguous, 15.0).otherwise(0.0)
+        + F.least(F.lit(15.0), F.coalesce(anchors, F.lit(0)) * 7.5)
+        + F.when(handwritten >= 20, 5.0).otherwise(0.0),
+        2,
+    )
     return F.struct(score.alias("score"), F.when(score >= 70, "high").when(score >= 40, "medium").otherwise("low").alias("level"))
 
 
-def review_priority(confidence: Column, weight: Column, parser: Column, anchors: Column, discrepancy: Column) -> Column:
-    """TOP-1: (1 - confidence) * 70 * weight, plus parser (<= 20), anchors (<= 10) and 15 for a discrepancy; at most 100."""
-    raw = (1 - confidence) * 70 * weight + F.least(F.lit(20), parser) + F.least(F.lit(10), anchors) + F.when(discrepancy, 15).otherwise(0)
-    return F.least(F.lit(100.0), raw)
+def review_priority(confidence: Column, criticality: Column, parser: Column, anchors: Column, discrepancy: Column) -> Column:
+    """TOP-1, a field: struct(score, reason), at most 100, to two places.
+
+    (1 - confidence) * 70 by criticality (critical 1, major .7, minor .4,
+    observation .2, others .6), twice the parser score up to 20, 4 an anchor
+    issue up to 10, 15 for a page with a discrepancy. A null or zero confidence counts .5, a null criticality is major.
+    """
+    kind, sure = F.coalesce(criticality, F.lit("major")), F.when(confidence.isNull() | (confidence == 0), 0.5).otherwise(confidence)
+    weight = F.when(kind == "critical", 1.0).when(kind == "major", 0.7).when(kind == "minor", 0.4).when(kind == "observation", 0.2).otherwise(0.6)
+    raw = (1 - sure) * 70 * weight + F.least(F.lit(20.0), parser * 2.0) + F.least(F.lit(10.0), anchors * 4.0) + F.when(discrepancy, 15.0).otherwise(0.0)
+    return F.struct(F.round(F.least(F.lit(100.0), raw), 2).alias("score"), F.concat(kind, F.lit("_field_low_confidence")).alias("reason"))
+
+
+def fieldless_priority(parser: Column, discrepancy: Column) -> Column:
+    """TOP-1, a page without fields: struct(score, reason): 30, three times the parser score up to 25, 20 for a discrepancy."""
+    raw = F.lit(30.0) + F.least(F.lit(25.0), parser * 3.0) + F.when(discrepancy, 20.0).otherwise(0.0)
+    return F.struct(F.round(F.least(F.lit(100.0), raw), 2).alias("score"), F.lit("no_structured_fields").alias("reason"))
 
 
 def status_bucket(status: Column, hitl: Column) -> Column:
-    """FN-29: action_required, needs_attention or compliant; null for what isn't reported."""
+    """FN-29: action_required, needs_attention or compliant; null for what doesn't apply.
+
+    Approval by a reviewer makes non_compliant and uncertain compliant, never an error; an unknown status needs attention.
+    """
+    s = F.lower(F.trim(F.coalesce(status, F.lit(""))))
     return (
-        F.when(hitl.isin("user_approved", "resolved"), "compliant")
-        .when(status == "non_compliant", "action_required")
-        .when(status.isin("uncertain", "error"), "needs_attention")
-        .when(status == "compliant", "compliant")
+        F.when(s == "not_applicable", None)
+        .when((hitl == "user_approved") & s.isin("non_compliant", "uncertain"), "compliant")
+        .when(s == "compliant", "compliant")
+        .when(s == "non_compliant", "action_required")
+        .otherwise("needs_attention")
     )
 
 
@@ -123,9 +166,11 @@ def signature_evidence(mark: Column, ink: Column, label: Column) -> Column:
     return F.struct(score.alias("score"), (score >= 0.55).alias("signed"))
 
 
-def rollback(error_rate: Column, latency: Column, delta: Column, limits=(0.05, 2000.0, -0.02)) -> Column:
-    """CLS-13: the reasons to roll a canary back."""
-    return F.array_compact(F.array(F.when(error_rate > limits[0], "error_rate"), F.when(latency > limits[1], "latency"), F.when(delta < limits[2], "quality")))
+def rollback(quality: Column, latency: Column, cost: Column, limits=(-0.01, 150.0, 0.02)) -> Column:
+    """CLS-13: the reasons to roll a canary back, from its deltas: quality below its limit, latency or cost above theirs."""
+    return F.array_compact(F.array(
+        F.when(quality < limits[0], "quality_regression"), F.when(latency > limits[1], "latency_budget_exceeded"), F.when(cost > limits[2], "cost_budget_exceeded")
+    ))
 
 
 def canary(key: Column, percent: int) -> Column:

@@ -79,11 +79,14 @@ def sanitise(text: Column, repairs: list[tuple[str, str, str]]) -> Column:
 
 
 def repair_severity(tags: Column, heavy: list[str], middle: list[str], weights=(40, 18, 8)) -> Column:
-    """FN-18: struct(score, level) of repair tags; every other tag weighs least; at most 100."""
+    """FN-18: struct(score, level) of repair tags; every other tag weighs least; at most 100.
+
+    Any heavy tag, or 55 and more, is high; any middle one, or 25 and more, medium.
+    """
     lit = lambda x: F.array(*map(F.lit, x))
     h, m = F.size(F.array_intersect(tags, lit(heavy))), F.size(F.array_intersect(tags, lit(middle)))
     score = F.least(F.lit(100), h * weights[0] + m * weights[1] + (F.size(tags) - h - m) * weights[2])
-    return F.struct(score.alias("score"), F.when(score >= 70, "high").when(score >= 35, "medium").when(score > 0, "low").otherwise("none").alias("level"))
+    return F.struct(score.alias("score"), F.when((h > 0) | (score >= 55), "high").when((m > 0) | (score >= 25), "medium").when(score > 0, "low").otherwise("none").alias("level"))
 
 
 def edit_criticality(before: Column, after: Column) -> Column:

@@ -167,3 +167,10 @@ def pending(findings: DataFrame, resolutions: DataFrame, keys: list[str]) -> Dat
     j = findings.join(resolutions.select("finding_id", "action", "stale").dropDuplicates(["finding_id"]), "finding_id", "left")
     a = j.groupBy(*keys).agg(F.count_if(F.col("blocking") & F.col("action").isNull()).alias("pending"), F.count_if(F.coalesce("stale", F.lit(False))).alias("stale"))
     return a.withColumn("gate", export_gate(F.col("pending"), F.col("stale")))
+
+
+def packet_risk(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG-17, a packet: max_score, the count of pages of each level, and status. pages: keys, score and level."""
+    counts = [F.count_if(F.col("level") == x).alias(x) for x in ("low", "medium", "high")]
+    out = pages.groupBy(*keys).agg(F.max("score").alias("max_score"), *counts)
+    return out.withColumn("status", F.when(F.col("high") > 0, "needs_attention").when(F.col("medium") > 0, "monitor").otherwise("stable"))

@@ -180,10 +180,15 @@ def latest_active(log: DataFrame, key: str, id_: str, supersedes: str, at: str)
     return live.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+_SPACE = " \t\r\n\f\x0b"
+
+
 def repeating_headers(pages: DataFrame, keys: list[str], first: int = 3, longer: int = 5, least: int = 3) -> DataFrame:
-    """WIN-13: lines among a page's first `first` of more than `longer` characters, on `least` pages or more, with their count."""
-    head = F.slice(F.split("text", "\n"), 1, first)
-    lines = pages.select(*keys, "page", F.explode(F.array_distinct(F.transform(head, lambda x: F.trim(x)))).alias("line"))
+    """WIN-13: lines among the first `first` of a page's trimmed text, without heading marks, of more than `longer`
+    characters, that occur `least` times or more, with their count. pages: keys and text."""
+    trim = lambda x, what: F.btrim(x, F.lit(what))
+    head = F.slice(F.split(trim(F.col("text"), _SPACE), "\n"), 1, first)
+    lines = pages.select(*keys, F.explode(head).alias("line")).withColumn("line", trim(trim(trim(F.col("line"), _SPACE), "#"), _SPACE))
     return lines.where(F.length("line") > longer).groupBy(*keys, "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 

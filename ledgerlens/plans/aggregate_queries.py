@@ -156,9 +156,9 @@ def _(t):
     return A.consensus(v, ["user_id"], 0.5).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("agg16_conflicts", "SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS values, min(o_orderpriority) AS expected FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
+@query("agg16_conflicts", "SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS values, min(o_orderpriority) AS expected FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
 def _(t):
-    return A.conflicts(t.orders.where("o_orderstatus = 'P'").select("o_custkey", F.col("o_orderpriority").alias("value")), ["o_custkey"])
+    return A.conflicts(t.orders.select("o_custkey", F.col("o_orderpriority").alias("value")), ["o_custkey"])
 
 
 @query(
@@ -170,14 +170,26 @@ def _(t):
     return A.last_gap(r, ["user_id"], "view", "click").withColumn("gap", F.round("gap", 6))
 
 
+_RISK = "SELECT doc_id, source, s AS score, CASE WHEN s >= 70 THEN 'high' WHEN s >= 40 THEN 'medium' ELSE 'low' END AS level FROM (SELECT doc_id, source, round(least(1.0, (doc_id % 13) / 10.0) * 40 + greatest(0.0, (0.8 - (doc_id % 10) / 10.0) / 0.8) * 30 + CASE WHEN lang = 'en' THEN 15 ELSE 0 END + least(15.0, (doc_id % 4) * 7.5) + CASE WHEN n_chars >= 2000 THEN 5 ELSE 0 END, 2)::DOUBLE AS s FROM documents)"
+
+
+def _page_risks(t):
+    d = F.col("doc_id")
+    r = S.corruption_risk(d % 13, (d % 10) / 10.0, F.col("lang") == "en", d % 4, F.floor(F.col("n_chars") / 100))
+    return t.documents.select("doc_id", "source", r["score"].alias("score"), r["level"].alias("level"))
+
+
+@query("agg17_corruption_risk", _RISK)
+def _(t):
+    return _page_risks(t)
+
+
 @query(
-    "agg17_corruption_risk",
-    "SELECT doc_id, s AS score, CASE WHEN s >= 70 THEN 'high' WHEN s >= 40 THEN 'medium' ELSE 'low' END AS level FROM (SELECT doc_id, CAST(least(100, least(40, n_chars // 100) + least(30, doc_id % 5 * 10) + least(15, doc_id % 7 * 3) + least(15, doc_id % 4 * 5) + least(5, doc_id % 9)) AS BIGINT) AS s FROM documents)",
+    "agg17_packet_risk",
+    f"SELECT source, max(score) AS max_score, count(*) FILTER (WHERE level = 'low') AS low, count(*) FILTER (WHERE level = 'medium') AS medium, count(*) FILTER (WHERE level = 'high') AS high, CASE WHEN count(*) FILTER (WHERE level = 'high') > 0 THEN 'needs_attention' WHEN count(*) FILTER (WHERE level = 'medium') > 0 THEN 'monitor' ELSE 'stable' END AS status FROM ({_RISK}) GROUP BY 1",
 )
 def _(t):
-    d = F.col("doc_id")
-    r = S.corruption_risk(F.floor(F.col("n_chars") / 100), d % 5, d % 7, d % 4, d % 9)
-    return t.documents.select("doc_id", r["score"].cast("long").alias("score"), r["level"].alias("level"))
+    return A.packet_risk(_page_risks(t), ["source"])
 
 
 @query("agg18_field_confidence", "SELECT event_type, count(*) AS n, round(CAST(avg(CAST(value AS DECIMAL(18,6))) AS DOUBLE), 4) AS mean, count(*) FILTER (WHERE value < 65) AS low FROM events GROUP BY 1")

@@ -16,9 +16,9 @@ def _(t):
     return t.part.select("p_partkey", X.normalise_name(F.col("p_name"), True, "#-").alias("name"), X.normalise_name(F.col("p_brand"), False, "#-").alias("brand"))
 
 
-@query("fn2_slug", "SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents WHERE lang = 'en'")
+@query("fn2_slug", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents")
 def _(t):
-    return t.documents.where("lang = 'en'").select("doc_id", X.slug(F.substring("text", 1, 80)).alias("slug"))
+    return t.documents.select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query("fn3_dates", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS a, strftime(o_orderdate, '%d/%m/%Y') AS b, CAST(NULL AS VARCHAR) AS c FROM orders")
@@ -76,11 +76,12 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", g["grade"].alias("grade"))
 
 
-@query("fn15_calibrated", "SELECT event_id, round(greatest(0.0, least(1.0, value / 100 - least(0.2, (event_id % 7) * 0.05) - CASE WHEN event_type = 'view' THEN 0.35 ELSE 0 END - CASE WHEN event_type = 'click' THEN 0.15 ELSE 0 END - least(0.2, (event_id % 4) * 0.1))), 6)::DOUBLE AS c FROM events")
+@query("fn15_calibrated", """SELECT event_id, round(greatest(0.0, least(1.0, value / 100 - least(1.0, (event_id % 13) / 10.0) * 0.2 - CASE WHEN event_type = 'view' AND event_id % 2 = 1 THEN 0.35 ELSE 0 END
+ - CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 0.15 ELSE 0 END - least(0.2, (event_id % 4) * 0.07))), 4)::DOUBLE AS c, CASE WHEN event_id % 3 = 0 THEN 'critical' ELSE 'major' END AS criticality FROM events WHERE value > 0""")
 def _(t):
-    e = F.col("event_id")
-    c = S.calibrated(F.col("value") / 100, e % 7, F.col("event_type") == "view", F.col("event_type") == "click", e % 4)
-    return t.events.select("event_id", F.round(c["value"], 6).alias("c"))
+    e, field = F.col("event_id"), F.when(F.col("event_id") % 3 == 0, "yes_no_na_1").otherwise("batch_no")
+    c = S.calibrated(F.col("value") / 100, e % 13, F.col("event_type") == "view", e % 2 == 0, F.col("event_type") == "click", field, e % 4)
+    return t.events.where("value > 0").select("event_id", c["value"].alias("c"), S.field_criticality(field, ["yes_no_na_1"]).alias("criticality"))
 
 
 _REPAIRS = [("marks", r"(###|%%%|\$\$\$|&&&|\*\*\*)", ""), ("shout", "!!", "!"), ("bars", r" \| ", " ")]
@@ -96,7 +97,7 @@ def _(t):
     return t.documents.select("doc_id", F.md5(s["text"]).alias("text"), s["tags"].alias("tags"))
 
 
-@query("fn18_repair_severity", "SELECT doc_id, CAST(s AS INTEGER) AS score, CASE WHEN s >= 70 THEN 'high' WHEN s >= 35 THEN 'medium' WHEN s > 0 THEN 'low' ELSE 'none' END AS level FROM (SELECT doc_id, least(100, CASE WHEN contains(text, '###') THEN 40 ELSE 0 END + CASE WHEN contains(text, '!!') THEN 18 ELSE 0 END + CASE WHEN contains(text, ' | ') THEN 8 ELSE 0 END) AS s FROM documents)")
+@query("fn18_repair_severity", "SELECT doc_id, CAST(s AS INTEGER) AS score, CASE WHEN s >= 40 THEN 'high' WHEN s >= 18 THEN 'medium' WHEN s > 0 THEN 'low' ELSE 'none' END AS level FROM (SELECT doc_id, least(100, CASE WHEN contains(text, '###') THEN 40 ELSE 0 END + CASE WHEN contains(text, '!!') THEN 18 ELSE 0 END + CASE WHEN contains(text, ' | ') THEN 8 ELSE 0 END) AS s FROM documents)")
 def _(t):
     tags = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(x)), x) for x in ("###", "!!", " | ")]))
     s = X.repair_severity(tags, ["###"], ["!!"])
@@ -105,11 +106,11 @@ def _(t):
 
 @query(
     "fn19_edit_criticality",
-    "SELECT a.item_id, CASE WHEN levenshtein(x, y) <= 2 THEN 'minor' ELSE 'major' END AS c, levenshtein(x, y)::INTEGER AS d FROM (SELECT item_id, trim(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40)) AS x FROM benchmark) a JOIN (SELECT item_id - 1 AS item_id, trim(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40)) AS y FROM benchmark) b ON a.item_id = b.item_id",
+    "SELECT a.item_id, CASE WHEN levenshtein(x, y) <= 2 THEN 'minor' ELSE 'major' END AS c, levenshtein(x, y)::INTEGER AS d FROM (SELECT item_id, trim(regexp_replace(text, '[^ -~]', '', 'g')) AS x FROM benchmark) a JOIN (SELECT item_id - 1 AS item_id, trim(regexp_replace(text, '[^ -~]', '', 'g')) AS y FROM benchmark) b ON a.item_id = b.item_id",
 )
 def _(t):
-    a = t.benchmark.select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40).alias("x"))
-    b = t.benchmark.select((F.col("item_id") - 1).alias("item_id"), F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40).alias("y"))
+    a = t.benchmark.select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("x"))
+    b = t.benchmark.select((F.col("item_id") - 1).alias("item_id"), F.regexp_replace("text", "[^ -~]", "").alias("y"))
     j = a.join(b, "item_id")
     return j.select("item_id", X.edit_criticality(F.col("x"), F.col("y")).alias("c"), F.levenshtein(F.trim("x"), F.trim("y")).alias("d"))
 
@@ -133,10 +134,11 @@ def _(t):
     return t.orders.select("o_orderkey", p["x"].alias("x"), p["y"].alias("y"), p["confidence"].alias("confidence"))
 
 
-@query("fn29_status_bucket", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'compliant' WHEN o_orderstatus = 'F' THEN 'action_required' WHEN o_orderstatus = 'P' THEN 'needs_attention' ELSE NULL END AS bucket FROM orders")
+@query("fn29_status_bucket", "SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'needs_attention' WHEN o_orderstatus = 'O' THEN NULL WHEN o_orderpriority = '1-URGENT' THEN 'compliant' WHEN o_orderstatus = 'F' THEN 'action_required' ELSE 'needs_attention' END AS bucket FROM orders")
 def _(t):
-    s = F.when(F.col("o_orderstatus") == "F", "non_compliant").when(F.col("o_orderstatus") == "P", "uncertain").otherwise("not_applicable")
-    h = F.when(F.col("o_orderpriority") == "1-URGENT", "resolved").otherwise("needs_review")
+    s = F.when(F.col("o_orderstatus") == "F", " Non_Compliant").when(F.col("o_orderstatus") == "P", "uncertain").otherwise("not_applicable")
+    s = F.when(F.col("o_orderpriority") == "5-LOW", "error").otherwise(s)
+    h = F.when(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), "user_approved").otherwise("needs_review")
     return t.orders.select("o_orderkey", S.status_bucket(s, h).alias("bucket"))
 
 
@@ -182,9 +184,9 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(S.iou(a, [q, n, q + 10, n + 10]), 6).alias("iou"))
 
 
-@query("fn42_table_grid", "SELECT p_partkey, r::INTEGER AS r, c::INTEGER AS c, (c * 10.0 / 3)::DOUBLE AS x1, (r * 6.0 / 2)::DOUBLE AS y1 FROM part, range(0, 2) a(r), range(0, 3) b(c) WHERE p_size > 45")
+@query("fn42_table_grid", "SELECT p_partkey, r::INTEGER AS r, c::INTEGER AS c, (c * 10.0 / 3)::DOUBLE AS x1, (r * 6.0 / 2)::DOUBLE AS y1 FROM part, range(0, 2) a(r), range(0, 3) b(c)")
 def _(t):
-    p = t.part.where("p_size > 45").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("r"))
+    p = t.part.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("r"))
     p = p.select("p_partkey", "r", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
     return p.select("*", (F.col("c") * 10.0 / 3).alias("x1"), (F.col("r") * 6.0 / 2).alias("y1"))
 

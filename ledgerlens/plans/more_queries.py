@@ -64,13 +64,13 @@ def _(t):
     return t.events.where("event_type = 'click' AND value > 10").orderBy("event_id").offset(20).limit(200).select("event_id")
 
 
-@query("flt12_feedback_samples", "SELECT event_id FROM events WHERE event_type = 'error' AND user_id % 2 = 0")
+@query("flt12_feedback_samples", "SELECT event_id FROM events WHERE event_type = 'error'")
 def _(t):
     filters = {"event_type": "error", "run": None}
     rows = t.events
     for name, value in filters.items():
         rows = rows.where(F.col(name) == value) if value is not None else rows
-    return rows.where("user_id % 2 = 0").select("event_id")
+    return rows.select("event_id")
 
 
 @query("agg23_correction_stats", "SELECT event_type AS context, count(*) AS n, count(DISTINCT user_id) AS docs FROM events GROUP BY 1")
@@ -96,10 +96,10 @@ def _(t):
     return c.select("c_custkey", F.coalesce("canonical", F.lit("unknown")).alias("kind"), F.col("canonical").isNull().alias("drift"))
 
 
-@query("fn27_sole_owner", "SELECT p_type, any_value(p_brand) AS owner FROM (SELECT DISTINCT p_type, p_brand FROM part WHERE p_size > 20) GROUP BY 1 HAVING count(*) = 1")
+@query("fn27_sole_owner", "SELECT l_orderkey, any_value(l_returnflag) AS owner FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem) GROUP BY 1 HAVING count(*) = 1")
 def _(t):
-    owners = t.part.where("p_size > 20").select("p_type", "p_brand").distinct()
-    return owners.groupBy("p_type").agg(F.count("*").alias("n"), F.first("p_brand").alias("owner")).where("n = 1").drop("n")
+    owners = t.lineitem.select("l_orderkey", "l_returnflag").distinct()
+    return owners.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.first("l_returnflag").alias("owner")).where("n = 1").drop("n")
 
 
 @query("fn28_type_slugs", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
@@ -126,16 +126,16 @@ def _(t):
     return t.events.select("event_id", F.explode(M.json_pairs(F.col("props"))).alias("x")).select("event_id", "x.*")
 
 
-@query("fn39_derived_rows", "SELECT l_orderkey, 'line' AS key, CAST(l_linenumber AS VARCHAR) AS value FROM lineitem WHERE l_quantity = 50 UNION ALL SELECT l_orderkey, 'attested', 'yes' FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'")
+@query("fn39_derived_rows", "SELECT l_orderkey, 'line' AS key, CAST(l_linenumber AS VARCHAR) AS value FROM lineitem UNION ALL SELECT l_orderkey, 'attested', 'yes' FROM lineitem WHERE l_returnflag = 'R'")
 def _(t):
-    l = t.lineitem.where("l_quantity = 50")
+    l = t.lineitem
     base = l.select("l_orderkey", F.lit("line").alias("key"), F.col("l_linenumber").cast("string").alias("value"))
     return base.unionByName(l.where("l_returnflag = 'R'").select("l_orderkey", F.lit("attested").alias("key"), F.lit("yes").alias("value")))
 
 
-@query("fn40_polygon_boxes", "SELECT l_orderkey, l_linenumber, l_linenumber AS page, l_quantity AS x1, l_quantity + 10 AS x2 FROM lineitem WHERE l_quantity < 10")
+@query("fn40_polygon_boxes", "SELECT l_orderkey, l_linenumber, l_linenumber AS page, l_quantity AS x1, l_quantity + 10 AS x2 FROM lineitem")
 def _(t):
-    l = t.lineitem.where("l_quantity < 10")
+    l = t.lineitem
     q = F.col("l_quantity").cast("string")
     js = F.concat(F.lit('{"page": '), F.col("l_linenumber").cast("string"), F.lit(', "items": [{"type": "t", "polygon": ['), q, F.lit(", 0, "), (F.col("l_quantity") + 10).cast("string"), F.lit(", 5]}]}"))
     b = F.col("b")[0]
@@ -202,10 +202,10 @@ def _(t):
     return p.withColumn("n", n).where("n <= 2").select("conv_id", "turn", X.shorten(F.col("text"), 100).alias("text"))
 
 
-@query("rul18_discoveries", "SELECT p_partkey, round(p_size * 0.85 / 50, 6)::DOUBLE AS confidence FROM part WHERE lower(trim(p_type)) NOT IN (SELECT lower(trim(p_type)) FROM part WHERE p_size = 7)")
+@query("rul18_discoveries", "SELECT p_partkey, round(p_size * 0.85 / 50, 6)::DOUBLE AS confidence FROM part WHERE lower(trim(p_type)) NOT IN (SELECT lower(trim(p_type)) FROM part WHERE p_size = 7 AND p_brand = 'Brand#11')")
 def _(t):
     found = t.part.select("p_partkey", F.col("p_type").alias("description"), (F.col("p_size") / 50).alias("confidence"))
-    return E.discoveries(found, t.part.where("p_size = 7").select(F.upper("p_type").alias("description"))).select("p_partkey", F.round("confidence", 6).alias("confidence"))
+    return E.discoveries(found, t.part.where("p_size = 7 AND p_brand = 'Brand#11'").select(F.upper("p_type").alias("description"))).select("p_partkey", F.round("confidence", 6).alias("confidence"))
 
 
 @query(

@@ -202,9 +202,9 @@ def _(t):
     return J.overlay(t.customer.select("c_custkey", "c_name", "c_mktsegment"), _log(t), "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@query("jn15_orphans", f"WITH {_LOG} SELECT key AS c_custkey, seq, field, value FROM log WHERE key NOT IN (SELECT c_custkey FROM customer)")
+@query("jn15_orphans", f"WITH {_LOG} SELECT key AS c_custkey, seq, field, value FROM log WHERE key NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def _(t):
-    return J.orphans(t.customer, _log(t), "c_custkey")
+    return J.orphans(t.customer.where("c_acctbal > 0"), _log(t), "c_custkey")
 
 
 @query(
@@ -218,11 +218,11 @@ def _(t):
 
 @query(
     "jn19_pages_of_findings",
-    "SELECT page, list_sort(list(o_orderkey)) AS findings FROM (SELECT DISTINCT l_linenumber AS page, o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 300000 AND l_linenumber <= 3) GROUP BY 1",
+    "SELECT page, list_sort(list(o_orderkey)) AS findings FROM (SELECT DISTINCT l_linenumber AS page, o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey ) GROUP BY 1",
 )
 def _(t):
     pages = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_linenumber").alias("pages"))
-    f = t.orders.where("o_totalprice > 300000").join(pages, "o_orderkey").select("o_orderkey", F.explode("pages").alias("page")).where("page <= 3")
+    f = t.orders.join(pages, "o_orderkey").select("o_orderkey", F.explode("pages").alias("page"))
     return f.groupBy("page").agg(F.array_sort(F.collect_list("o_orderkey")).alias("findings"))
 
 
@@ -384,10 +384,10 @@ def _(t):
 
 @query(
     "cls4_canonical_role",
-    "SELECT c_nationkey, CASE WHEN count(*) = 1 THEN 'canonical' ELSE 'DUPLICATE_CANONICAL' END AS mark FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 8000 GROUP BY 1",
+    "SELECT c_nationkey, CASE WHEN count(*) = 1 THEN 'canonical' ELSE 'DUPLICATE_CANONICAL' END AS mark FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1",
 )
 def _(t):
-    c = t.customer.where("c_mktsegment = 'BUILDING' AND c_acctbal > 8000")
+    c = t.customer.where("c_mktsegment = 'BUILDING'")
     return c.groupBy("c_nationkey").agg(F.when(F.count("*") == 1, "canonical").otherwise("DUPLICATE_CANONICAL").alias("mark"))
 
 
@@ -456,18 +456,18 @@ def _(t):
 
 @query(
     "cls13_rollback",
-    "SELECT event_type, list_filter([CASE WHEN e > 0.05 THEN 'error_rate' END, CASE WHEN v > 50 THEN 'latency' END, CASE WHEN d < -0.02 THEN 'quality' END], lambda x: x IS NOT NULL) AS reasons FROM (SELECT event_type, avg(CASE WHEN value > 95 THEN 1.0 ELSE 0 END) AS e, avg(value) AS v, avg(value) / 100 - 0.5 AS d FROM events GROUP BY 1)",
+    "SELECT event_type, list_filter([CASE WHEN d < 0.0 THEN 'quality_regression' END, CASE WHEN v > 50 THEN 'latency_budget_exceeded' END, CASE WHEN e > 0.05 THEN 'cost_budget_exceeded' END], lambda x: x IS NOT NULL) AS reasons FROM (SELECT event_type, avg(CASE WHEN value > 95 THEN 1.0 ELSE 0 END) AS e, avg(value) AS v, avg(value) / 100 - 0.5 AS d FROM events GROUP BY 1)",
 )
 def _(t):
     a = t.events.groupBy("event_type").agg(F.avg(F.when(F.col("value") > 95, 1.0).otherwise(0.0)).alias("e"), F.avg("value").alias("v"))
-    return a.select("event_type", S.rollback(F.col("e"), F.col("v"), F.col("v") / 100 - 0.5, (0.05, 50.0, -0.02)).alias("reasons"))
+    return a.select("event_type", S.rollback(F.col("v") / 100 - 0.5, F.col("v"), F.col("e"), (0.0, 50.0, 0.05)).alias("reasons"))
 
 
 # ---------------------------------------------------------------- filters
-@query("flt1_tag_filter", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'BRASS')")
+@query("flt1_tag_filter", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'PROMO')")
 def _(t):
     pages = t.part.select("p_partkey", F.split("p_type", " ").alias("tags"))
-    return C.select_pages(pages, "by_tag", ["p_partkey"], tag="BRASS").select("p_partkey")
+    return C.select_pages(pages, "by_tag", ["p_partkey"], tag="PROMO").select("p_partkey")
 
 
 for _sel, _where in (("first_page", "n = 1"), ("last_page", "m = 1"), ("by_index", "turn IN (0, 3)")):

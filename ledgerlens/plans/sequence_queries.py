@@ -167,10 +167,10 @@ def _(t):
 
 @query(
     "win13_repeating_headers",
-    "SELECT source, line, count(*) AS n FROM (SELECT DISTINCT source, doc_id, trim(line) AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))[1:3]) AS line FROM documents)) WHERE length(line) > 5 GROUP BY 1, 2 HAVING count(*) >= 3",
+    """SELECT source, line, count(*) AS n FROM (SELECT source, trim(trim(trim(line, w), '#'), w) AS line FROM (SELECT source, E' \\t\\r\\n\\f\\x0b' AS w, unnest(string_split(trim(text, E' \\t\\r\\n\\f\\x0b'), chr(10))[1:3]) AS line FROM documents)) WHERE length(line) > 5 GROUP BY 1, 2 HAVING count(*) >= 3""",
 )
 def _(t):
-    return W.repeating_headers(t.documents.select("source", F.col("doc_id").alias("page"), "text"), ["source"])
+    return W.repeating_headers(t.documents.select("source", "text"), ["source"])
 
 
 @query(
@@ -203,12 +203,19 @@ def _(t):
 # ---------------------------------------------------------------- top-k and sets
 @query(
     "top1_review_priority",
-    "SELECT l_orderkey, l_linenumber, round(least(100.0, (1 - (0.5 + l_discount)) * 70 * (CASE WHEN l_returnflag = 'R' THEN 1.5 ELSE 1.0 END) + least(20, l_linenumber * 4) + least(10, l_linenumber) + CASE WHEN l_linestatus = 'F' THEN 15 ELSE 0 END), 6) AS priority FROM lineitem",
+    """SELECT l_orderkey, l_linenumber, round(least(100.0, (1 - (0.5 + l_discount)) * 70 * CASE l_returnflag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.4 ELSE 0.6 END + least(20.0, l_linenumber * 2.0) + least(10.0, (l_linenumber % 4) * 4.0) + CASE WHEN l_linestatus = 'F' THEN 15 ELSE 0 END), 2)::DOUBLE AS priority,
+CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'minor' ELSE l_returnflag END || '_field_low_confidence' AS reason FROM lineitem
+UNION ALL SELECT o_orderkey, 0, round(least(100.0, 30 + least(25.0, (o_orderkey % 12) * 3.0) + CASE WHEN o_orderstatus = 'F' THEN 20 ELSE 0 END), 2)::DOUBLE, 'no_structured_fields' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
 )
 def _(t):
-    w = F.when(F.col("l_returnflag") == "R", 1.5).otherwise(1.0)
-    p = S.review_priority(0.5 + F.col("l_discount"), w, F.col("l_linenumber") * 4, F.col("l_linenumber"), F.col("l_linestatus") == "F")
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(p, 6).alias("priority"))
+    kind = F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "minor").otherwise(F.col("l_returnflag"))
+    n = F.col("l_linenumber")
+    p = S.review_priority(0.5 + F.col("l_discount"), kind, n, n % 4, F.col("l_linestatus") == "F")
+    fields = t.lineitem.select("l_orderkey", "l_linenumber", p["score"].alias("priority"), p["reason"].alias("reason"))
+    bare = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    p = S.fieldless_priority(F.col("o_orderkey") % 12, F.col("o_orderstatus") == "F")
+    rest = bare.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), p["score"].alias("priority"), p["reason"].alias("reason"))
+    return fields.unionByName(rest).orderBy(F.desc("priority"), "l_orderkey", "l_linenumber")
 
 
 @query("top2_report_order", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey) AS INTEGER) AS place FROM orders QUALIFY place <= 100")
@@ -265,9 +272,9 @@ def _(t):
     return a.unionByName(t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind")), allowMissingColumns=True)
 
 
-@query("set2_uncovered", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set2_uncovered", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").distinct()
+    return t.customer.select("c_custkey").join(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").distinct()
 
 
 @query("set3_missing_section_types", "SELECT n.n_nationkey, s.segment FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment AS segment FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n.n_nationkey AND c_mktsegment = s.segment AND c_acctbal > 9000)")
@@ -277,9 +284,9 @@ def _(t):
     return t.nation.select("n_nationkey").join(F.broadcast(kinds), how="cross").join(have, ["n_nationkey", "segment"], "left_anti")
 
 
-@query("set4_unused_checks", "SELECT p_type FROM part EXCEPT SELECT p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 49")
+@query("set4_unused_checks", "SELECT p_type FROM part EXCEPT SELECT p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08")
 def _(t):
-    used = t.part.join(t.lineitem.where("l_quantity >= 49"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("p_type")
+    used = t.part.join(t.lineitem.where("l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("p_type")
     return t.part.select("p_type").subtract(used)
 
 

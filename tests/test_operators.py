@@ -238,3 +238,36 @@ def test_ports(spark):
     assert len(got) == 10 and got["r5"][0] is None and got["r5"][1] and all(got[f"r{i}"][1] is None for i in range(10) if i != 5)
     good, bad = external.split_results(external.call(df, port, size=5))
     assert good.count() == 9 and bad.count() == 1
+
+
+# ---------------------------------------------------------------- values worked out by hand
+def test_rules_by_hand(spark):
+    """Weights and thresholds as plain numbers, so that a query and its SQL can't be wrong together."""
+    from ledgerlens.functions import scoring as S
+    from ledgerlens.functions import text as X
+
+    one = spark.range(1)
+    lit = F.lit
+
+    def value(column):
+        return one.select(column.alias("x")).first()["x"]
+
+    # 0.9 - 5/10 * 0.2 - 2 * 0.07; a placeholder of 0.35 unless allowed; ambiguity in yes_no_na fields alone
+    cal = lambda ok, field: value(S.calibrated(lit(0.9), lit(5), lit(True), lit(ok), lit(True), lit(field), lit(2))["value"])
+    assert (cal(True, "lot"), cal(False, "lot"), cal(True, "yes_no_na_3")) == (0.66, 0.31, 0.51)
+    assert [value(S.field_criticality(lit(x), ["lot"])) for x in ("lot", "batch_no", "note")] == ["critical", "major", "minor"]
+    risk = lambda *x: tuple(value(S.corruption_risk(*map(lit, x))))
+    assert risk(10, 0.0, True, 2, 20) == (100 + 5.0, "high") and risk(5, 0.4, False, 1, 19) == (42.5, "medium") and risk(0, 0.8, False, 0, 0) == (0.0, "low")
+    severity = lambda *x: tuple(value(X.repair_severity(F.array(*map(lit, x)), ["h"], ["m"])))
+    assert severity("h") == (40, "high") and severity("m") == (18, "medium") and severity("a", "b", "c") == (24, "low") and severity("a", "b", "c", "d") == (32, "medium")
+    assert value(S.rollback(lit(-0.02), lit(150.0), lit(0.03))) == ["quality_regression", "cost_budget_exceeded"]
+    assert tuple(value(S.review_priority(lit(0.5), lit("minor"), lit(3), lit(1), lit(True)))) == (39.0, "minor_field_low_confidence")
+    assert tuple(value(S.fieldless_priority(lit(4), lit(True)))) == (62.0, "no_structured_fields")
+    bucket = lambda s, h: value(S.status_bucket(lit(s), lit(h)))
+    assert [bucket(s, "user_approved") for s in ("error", "uncertain", "non_compliant", "not_applicable", "odd")] == ["needs_attention", "compliant", "compliant", None, "needs_attention"]
+    assert bucket("non_compliant", "resolved") == "action_required"
+    assert value(X.sanitise(lit("a!!b | c"), [("shout", "!!", "!"), ("none", "zz", ""), ("bars", r" \| ", " ")])) == ("a!b c", ["shout", "bars"])
+    pages = spark.createDataFrame([("p", "\n# Title line \nx\n\nTitle line"), ("p", "## Title line"), ("p", "Title line\nTitle line")], "k string, text string")
+    from ledgerlens.operators import sequences
+
+    assert [tuple(r) for r in sequences.repeating_headers(pages, ["k"]).collect()] == [("p", "Title line", 4)]
