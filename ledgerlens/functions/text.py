@@ -162,3 +162,29 @@ def line_kind(line: Column) -> Column:
     heading, bold = line.rlike(r"^\s{0,3}#{1,6}\s"), line.rlike(r"^\s*\*\*.+\*\*\s*$")
     bare = F.regexp_replace(F.regexp_replace(line, r"^\s{0,3}#{1,6}\s+", ""), r"\*\*", "")
     return F.struct(fold_spaces(bare).alias("text"), heading.alias("heading"), (heading | bold).alias("emphasised"))
+
+
+# What a page's dates and quantities look like.
+_DATE = r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})\b"
+_QUANTITY = r"(?i)(?:qty|quantity|weight|volume)[:\s]*(-?[\d,.]+)\s*(?:kg|g|ml|l|mg)\b"
+
+
+def validated(page: Column, year: int) -> Column:
+    """FN-9: struct(checked, passed, failures) of three checks of a page's text: dates from 2000 to the year after
+    `year` (two digits below 50 are 20xx), quantities from 0 to a million, over 20 characters.
+
+    failures: rule and value (the year, the quantity, the length), in that order. A null page is empty.
+    """
+    text = F.coalesce(page, F.lit(""))
+    century = lambda y: F.when(F.length(y) > 2, 0).when(y.cast("int") < 50, 2000).otherwise(1900)
+    years = F.transform(F.regexp_extract_all(text, F.lit(_DATE), F.lit(3)), lambda y: (y.cast("int") + century(y)).cast("double"))
+    amounts = F.transform(F.regexp_extract_all(text, F.lit(_QUANTITY), F.lit(1)), lambda q: F.replace(q, F.lit(","), F.lit("")).try_cast("double"))
+    length = F.length(F.btrim(text, F.lit(" \t\r\n\f\x0b"))).cast("double")
+    checks = (
+        ("date", F.filter(years, lambda y: (y < 2000) | (y > year + 1))),
+        ("quantity", F.filter(amounts, lambda q: (q < 0) | (q > 1_000_000))),
+        ("length", F.filter(F.array(length), lambda n: n <= 20)),
+    )
+    failed = [F.transform(bad, lambda x, r=rule: F.struct(F.lit(r).alias("rule"), x.alias("value"))) for rule, bad in checks]
+    passed = sum((F.when(F.size(bad) == 0, 1).otherwise(0) for _, bad in checks), F.lit(0))
+    return F.struct(F.lit(3).alias("checked"), passed.alias("passed"), F.concat(*failed).alias("failures"))

@@ -95,3 +95,13 @@ def supersede(old: DataFrame, new: DataFrame) -> DataFrame:
     """JN-23: old findings with the id that replaces each: the first new one of the rule on the same evidence, by id."""
     n = new.groupBy("rule_id", "evidence").agg(F.min("finding_id").alias("superseded_by"))
     return old.join(n, ["rule_id", "evidence"], "left")
+
+
+def unevaluated(rules: DataFrame, summary: Column) -> DataFrame:
+    """RUL-6: a finding for each rule (rule_id, version) that nothing could be evaluated for; its evidence is the rule itself.
+
+    The reserved document __rule__ marks such evidence; a rule without a version counts as 0.0.0.
+    """
+    note = F.concat(F.lit("rule:"), F.coalesce("rule_id", F.lit("<unknown>")), F.lit("@"), F.coalesce("version", F.lit("0.0.0")))
+    evidence = F.struct(F.lit("__rule__").alias("doc_id"), F.lit(1).alias("page"), F.lit("rule_source").alias("field"), note.alias("note"))
+    return rules.select("rule_id", "version", F.lit("unevaluated").alias("status"), summary.alias("summary"), evidence.alias("evidence"))
