@@ -454,6 +454,67 @@ def test_tree_matching():
     assert html_extract.match(a, b) == 3 and html_extract.match(a, a) == 4 and html_extract.match(a, s("e", [])) == 0
 
 
+def test_tree_matching_by_brute_force():
+    """Kinds, equal ends and halved tables find what the plain recursion finds, and pairs that keep order and parents."""
+
+    def plain(a, b):
+        if a.tag != b.tag:
+            return 0
+        best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children):
+            for j, y in enumerate(b.children):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain(x, y))
+        return best[-1][-1] + 1
+
+    rng = random.Random(9)
+
+    def tree(depth):
+        return html_extract.Slot(rng.choice("pqr"), [], [tree(depth - 1) for _ in range(rng.randrange(5) if depth else 0)])
+
+    for cells in (1 << 20, 2):
+        html_extract.CELLS, before = cells, html_extract.CELLS
+        try:
+            for _ in range(150):
+                a, b = tree(3), tree(3)
+                b.tag = a.tag
+                pairs = list(html_extract.Matching().pairs(a, b))
+                assert len(pairs) == html_extract.match(a, b) == plain(a, b)
+                assert all(x.tag == y.tag and places == sorted(places) and len({i for i, _ in places}) == len(places) for x, y, places in pairs)
+                whole = html_extract._slots(html_extract._bare(a))
+                html_extract.merge(whole, html_extract._slots(html_extract._bare(b)))
+                assert html_extract.match(whole, a) == len(html_extract._preorder(a)) and html_extract.match(whole, b) == len(html_extract._preorder(b))
+                assert len(html_extract._preorder(whole)) == len(html_extract._preorder(a)) + len(html_extract._preorder(b)) - len(pairs)
+        finally:
+            html_extract.CELLS = before
+
+
+def test_html_wrapper_of_all_pages(spark, monkeypatch):
+    """A host's wrapper needs no good first page, holds blocks that it lacks, and outlives copies and several rounds of merging."""
+    monkeypatch.setattr(html_extract, "MERGED", 3)
+    made = [(0, "http://h.org/0", None), (1, "http://h.org/1", page("<p>Error"))]
+    for i in range(2, 24):
+        notice = "<section><ul><li>Offer of the week</ul></section>" if i % 4 else ""
+        body = f"<div>{notice}<div><h2>Story {i}</h2>" + f"<p>It goes on {i}.</p><ul><li>and on {i}</ul>" * (i % 5) + f"</div><div><ol><li>About us {{0}}</ol></div></div>"
+        made.append((i, f"http://h.org/{i}", page(body.format("and terms"))))
+    made += [(100 + i, "http://copies.org/", page("<div><p>One story.</p></div><div><ol><li>One end</ol></div>")) for i in range(9)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert out[0] == "" and out[1] == "Error"
+    assert all(out[i] == " ".join([f"Story {i}"] + [f"It goes on {i}. and on {i}"] * (i % 5)) for i in range(2, 24))
+    assert all(out[100 + i] == "One story. One end" for i in range(9))
+
+
+def test_html_deep_and_wide_pages():
+    deep = "<div>" * 3000 + "<aside>no</aside><article>yes <div><nav>no</nav>and</div></article>" + "</div>" * 3000 + "<p>after"
+    assert html_extract.extract_page(page(deep), None, {}) == "yes and"
+    plain = "<div>" * 3000 + "<aside>no</aside>in" + "</div>" * 3000 + "<p>after"
+    tree = html_extract.shape(html_extract.parse(page(plain)))
+    assert html_extract.extract_page(page(plain), html_extract._bare(tree), {}) == "in after"
+    assert html_extract.extract_page(page("<p>no<b><article>yes</article>"), None, {}) == "yes"
+    wide = [page("".join(f"<p>{i}</p><ul><li>{i}</li></ul>" + "<h2>x</h2>" * (i % k == 0) for i in range(3000))) for k in (3, 7)]
+    a, b = (html_extract.shape(html_extract.parse(w)) for w in wide)
+    assert html_extract.match(a, b) > 6000
+
+
 # ---------------------------------------------------------------- 10
 def test_line_dedup(spark, docs, none, rows):
     long = "This line has at least forty code points, yes"
