@@ -3,8 +3,8 @@
 An integer vector is cut into equal parts, and each part is coded by the nearest
 of its position's entries. Entries are sorted by norm once. By the triangle
 inequality an entry nearer than the best one known has a norm within that
-distance of the part's own, so the entry nearest in norm is measured first, the
-interval of norms its distance allows is found by binary search, both ends
+distance of the part's own, so the entries nearest in norm are measured first, the
+interval of norms their best distance allows is found by binary search, both ends
 included, and only the entries of that annulus are measured, exactly. Codebooks
 are trained by rounds of assignment and componentwise means: each task sums what
 it assigns, Spark adds up the tasks' sums (entries times parts rows), and the
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 SCALE, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
+#: Entries measured for a first distance.
+NEAR = 12
 #: Scaled components stay below it, so that squared distances of up to 4096 dimensions fit a long.
 RANGE = 1 << 24
 
@@ -64,14 +66,14 @@ class Annuli:
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each row of x, the nearest entry's index (the lowest of ties) and squared distance, both exact."""
-        n = len(x)
+        n, k = len(x), len(self.norms)
         norms = np.sqrt((x * x).sum(1).astype(np.float64))
-        right = np.minimum(np.searchsorted(self.norms, norms), len(self.norms) - 1)
-        left = np.maximum(right - 1, 0)
-        first = np.where(norms - self.norms[left] <= self.norms[right] - norms, left, right)
-        away = x - self.entries[first]
+        near = min(NEAR, k)
+        first = np.clip(np.searchsorted(self.norms, norms) - near // 2, 0, k - near)[:, None] + np.arange(near)
+        away = x[:, None] - self.entries[first]
+        best = (away * away).sum(2).min(1) if n else norms
         # Slack for the rounding of square roots keeps both ends in.
-        reach = np.sqrt((away * away).sum(1).astype(np.float64)) * (1 + 1e-9) + 1e-3
+        reach = np.sqrt(best.astype(np.float64)) * (1 + 1e-9) + 1e-3
         low, high = np.searchsorted(self.norms, norms - reach, "left"), np.searchsorted(self.norms, norms + reach, "right")
         width = high - low
         begin = np.cumsum(width) - width
