@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import multimatch as M
+
 
 def glob_regex(glob: Column) -> Column:
     """A file-name glob (* and ?) as an anchored, case-blind regular expression."""
@@ -14,13 +16,14 @@ def glob_regex(glob: Column) -> Column:
 
 def filename_scores(docs: DataFrame, globs: DataFrame, name: str, doc: str = "doc_id") -> DataFrame:
     """CLS-1: doc, role and score 1.0 for each role one of whose globs matches. globs: role, glob, a manifest's few."""
-    return docs.join(F.broadcast(globs), F.rlike(F.col(name), glob_regex(F.col("glob")))).groupBy(doc, "role").agg(F.lit(1.0).alias("score"))
+    found = M.globs_found(F.col(name), [tuple(r) for r in M.manifest(globs, "role", "glob")])
+    return docs.select(doc, F.explode(found).alias("x")).groupBy(doc, F.col("x.name").alias("role")).agg(F.lit(1.0).alias("score"))
 
 
 def header_scores(docs: DataFrame, words: DataFrame, text: str, doc: str = "doc_id", enough: int = 3) -> DataFrame:
     """CLS-2: doc, role and hits over `enough`, at most 1; roles without hits left out. words: role, word."""
-    hits = docs.join(F.broadcast(words), F.contains(F.lower(F.col(text)), F.lower(F.col("word"))))
-    return hits.groupBy(doc, "role").agg(F.least(F.lit(1.0), F.count_distinct("word") / enough).alias("score"))
+    found = M.words_found(F.col(text), [tuple(r) for r in M.manifest(words, "role", "word")])
+    return docs.select(doc, F.explode(found).alias("x")).groupBy(doc, F.col("x.name").alias("role")).agg(F.least(F.lit(1.0), F.count_distinct("x.pattern") / enough).alias("score"))
 
 
 def hybrid(names: DataFrame, headers: DataFrame, doc: str = "doc_id", weights=(1.0, 0.8), least: float = 0.55, margin: float = 0.15) -> DataFrame:
@@ -45,9 +48,10 @@ def cardinality(roles: DataFrame, docs: DataFrame, package: str) -> DataFrame:
 
     roles: role, cardinality - a manifest's few, so packages times roles is small. docs: package, role.
     """
-    packages = docs.select(package).distinct()
+    wanted = F.array(*[F.struct(F.lit(r["role"]).alias("role"), F.lit(r["cardinality"]).alias("cardinality")) for r in M.manifest(roles, "role", "cardinality")])
+    packages = docs.select(package).distinct().select(package, F.inline(wanted))
     n = docs.groupBy(package, "role").agg(F.count("*").alias("n"))
-    j = packages.join(F.broadcast(roles), how="cross").join(n, [package, "role"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    j = packages.join(n, [package, "role"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     issue = F.when((F.col("cardinality") == "exactly_one") & (F.col("n") != 1), F.when(F.col("n") == 0, "MISSING").otherwise("TOO_MANY")).when(
         (F.col("cardinality") == "at_least_one") & (F.col("n") == 0), "MISSING"
     )
@@ -80,16 +84,18 @@ def route_strategy(pages: DataFrame, doc: str, families: list[str]) -> DataFrame
     return s.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def resolve_family(docs: DataFrame, words: DataFrame, doc: str, text: str) -> DataFrame:
-    """CLS-10: +1 for each keyword that the text holds, +.45 where it holds one of its words; the highest score, the
-    first declared of equal ones; confidence min(1, score / 2.5), or .2 without any. words: family, ordinal, word."""
-    t = F.lower(F.col(text))
-    tokens = F.split(F.lower(F.col("word")), r"\s+")
-    j = docs.select(doc, text).join(F.broadcast(words), how="cross")
-    part = F.when(F.contains(t, F.lower(F.col("word"))), 1.0).when(F.exists(tokens, lambda x: F.contains(t, x)), 0.45).otherwise(0.0)
-    s = j.groupBy(doc, "family", "ordinal").agg(F.sum(part).alias("score"))
-    best = s.groupBy(doc).agg(F.max_by(F.struct("family", "score"), F.struct("score", -F.col("ordinal"))).alias("b"))
-    return best.select(doc, F.col("b.family").alias("family"), F.when(F.col("b.score") > 0, F.least(F.lit(1.0), F.col("b.score") / 2.5)).otherwise(0.2).alias("confidence"))
+def resolve_family(docs: DataFrame, words: DataFrame, doc: str, text: str, fallback: str | None = None) -> DataFrame:
+    """CLS-10: doc, family, confidence and reason: +1 for each keyword that the text holds, +.45 where it has half of a
+    keyword's words; the highest score, the first declared (by ordinal) of equal ones. confidence: min(1, score / 2.5),
+    .2 for the fallback, 0 for blank texts. words: family, ordinal, word."""
+    rows = sorted((r["ordinal"], r["family"], r["word"]) for r in M.manifest(words, "family", "ordinal", "word"))
+    best = docs.select(doc, F.trim(F.coalesce(F.col(text), F.lit(""))).alias("__t"), M.best_family(F.col(text), [(f, w) for _, f, w in rows], fallback).alias("b"))
+    none = F.col("b.score") == 0
+    return best.select(
+        doc, F.col("b.family").alias("family"),
+        F.when(F.col("__t") == "", 0.0).when(none, 0.2).otherwise(F.least(F.lit(1.0), F.round(F.col("b.score") / 2.5, 3))).alias("confidence"),
+        F.when(F.col("__t") == "", "empty").when(none, "fallback").otherwise(F.concat(F.lit("matched:"), F.col("b.matched").cast("string"))).alias("reason"),
+    )
 
 
 def skip_reason(rule: dict[str, Column], page: dict[str, Column]) -> Column:

@@ -14,17 +14,18 @@ def _cell(x: Column, width: float) -> Column:
     return F.floor(x / F.lit(width)).cast("long")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], width: float) -> DataFrame:
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], width: float, height: float | None = None) -> DataFrame:
     """JN-21: each point (keys, x, y, ...) with each box (keys, x1, y1, x2, y2, ...) of its keys that holds it, borders included.
 
-    A point has one cell, so no pair comes twice. width: a cell's side, about that of a common box; any width is
-    right, but one far smaller than the boxes copies them to many cells, and one far larger compares what is far
-    apart. Rows with null coordinates or keys meet nothing; a box turned inside out is empty.
+    A point has one cell, so no pair comes twice. width and height (the same if not given): a cell's, about those of
+    a common box; any are right, but far smaller ones copy boxes to many cells, and far larger ones compare what is
+    far apart. Rows with null coordinates or keys meet nothing; a box turned inside out is empty.
     """
-    span = lambda a, b: F.explode(F.sequence(_cell(F.col(a), width), _cell(F.col(b), width)))
+    height = height or width
+    span = lambda a, b, side: F.explode(F.sequence(_cell(F.col(a), side), _cell(F.col(b), side)))
     good = boxes.where("x1 <= x2 AND y1 <= y2")
-    b = good.select("*", span("x1", "x2").alias("__i")).select("*", span("y1", "y2").alias("__j"))
-    p = points.select("*", _cell(F.col("x"), width).alias("__i"), _cell(F.col("y"), width).alias("__j"))
+    b = good.select("*", span("x1", "x2", width).alias("__i")).select("*", span("y1", "y2", height).alias("__j"))
+    p = points.select("*", _cell(F.col("x"), width).alias("__i"), _cell(F.col("y"), height).alias("__j"))
     inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
     return p.join(b, [*keys, "__i", "__j"]).where(inside).drop("__i", "__j")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_name
+from .grid import points_in_boxes
 
 FALLBACK = {"flag_as_unevaluated": "unevaluated", "flag_as_indeterminate": "indeterminate", "treat_as_pass": "pass"}
 
@@ -140,6 +141,6 @@ def gold_and_predictions(gold: DataFrame, predicted: DataFrame, key: list[str])
     return g.join(p, key, "left").select(*key, "gold", "predicted", outcome.alias("outcome")).unionByName(extra)
 
 
-def inside(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """JN-21: points (x, y) in boxes (x1, y1, x2, y2) of the same keys, edges included."""
-    return points.join(boxes, keys).where("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")
+def inside(points: DataFrame, boxes: DataFrame, keys: list[str], width: float = 100.0, height: float | None = None) -> DataFrame:
+    """JN-21: points (x, y) in boxes (x1, y1, x2, y2) of the same keys, edges included, by the cells of a grid."""
+    return points_in_boxes(points, boxes, keys, width, height)

@@ -21,16 +21,6 @@ _FILES = [
 ]
 
 
-@query("src19_bank_reports", "SELECT * FROM (VALUES ('a.json', 'present', true, 0), ('a.json', 'sum', true, 0), ('a.json', 'odd', false, 1), ('b.json', 'all', false, 1), ('c.json', NULL, false, 1), ('d.json', 'old', false, 1), ('e.json', 'all', true, 0)) t(path, rule_id, ok, n)")
-def _(t):
-    return B.reports(t.spark, B.load(_FILES)).select("path", "rule_id", "ok", F.size("errors").alias("n"))
-
-
-@query("src20_cascade", "SELECT * FROM (VALUES ('present', 'same_page', 'major', ''), ('sum', 'page_aggregate', 'major', 'sum'), ('all', 'synthesis', 'minor', '')) t(id, scope, severity, aggregation)")
-def _(t):
-    return t.values([(r.id, r.scope, r.severity, r.aggregation) for r in B.load(_FILES).rules], "id string, scope string, severity string, aggregation string")
-
-
 def _packet(t):
     doc = F.col("l_orderkey").cast("string").alias("doc_id")
     page, ordinal = F.col("l_linenumber").alias("page"), F.col("l_partkey").cast("int").alias("ordinal")
@@ -91,7 +81,7 @@ def _(t):
     return pages.select("id", v["checked"].alias("checked"), v["passed"].alias("passed"), F.size(v["failures"]).alias("failures"))
 
 
-@query("top3_section_order", "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END, CAST(c_custkey AS VARCHAR)) AS INTEGER) AS place FROM customer")
+@query("top3_ranked_sections", "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END, CAST(c_custkey AS VARCHAR)) AS INTEGER) AS place FROM customer")
 def _(t):
     rank = S.rank(F.col("c_mktsegment"), {"BUILDING": 0, "MACHINERY": 1})
     order = Window.partitionBy("c_nationkey").orderBy(F.when(rank < 0, 2).otherwise(rank), F.col("c_custkey").cast("string"))
@@ -116,33 +106,3 @@ def _(t):
 def _(t):
     g = S.quality_grade([F.col("value") / 100, F.lit(0.9)])
     return t.events.select("event_id", F.round(g["mean"], 6).alias("mean"), g["grade"].alias("grade"))
-
-
-_BANK = [
-    dsl.Rule("a", "1.0", "same_page", source_field="x", deprecated=True, superseded_by="b"), dsl.Rule("b", "1.0", "same_page", source_field="x", deprecated=True, superseded_by="c"),
-    dsl.Rule("c", "1", "nowhere", deprecated=True, superseded_by="a"), dsl.Rule("d", "1.0", "cross_document", tol_kind="absolute"), dsl.Rule("e", "1.0", "synthesis"),
-]
-
-
-@query("dsl3_validation", "SELECT * FROM (VALUES ('c', 0, 'version'), ('c', 1, 'scope'), ('d', 0, 'tolerance must be positive'), ('d', 1, 'cross_document needs source and target fields'), ('e', 0, 'synthesis needs parts')) t(id, n, error)")
-def _(t):
-    return t.values([(r.id, n, e) for r in _BANK for n, e in enumerate(dsl.validate(r))], "id string, n int, error string")
-
-
-@query("dsl4_cycles", "SELECT * FROM (VALUES ('a,b,c')) t(cycle)")
-def _(t):
-    return t.values([(",".join(c),) for c in dsl.supersession_cycles(_BANK)], "cycle string")
-
-
-@query("dsl5_diff", "SELECT * FROM (VALUES ('a', 'removed', ''), ('d', 'tolerance', 'loosened'), ('d', 'severity', 'minor -> major'), ('z', 'added', '')) t(id, what, detail)")
-def _(t):
-    from dataclasses import replace
-
-    new = [r if r.id != "d" else replace(r, tolerance=2.0, severity="major") for r in _BANK if r.id != "a"] + [dsl.Rule("z", "1.0", "same_page", source_field="x")]
-    return t.values(dsl.diff(_BANK, new), "id string, what string, detail string")
-
-
-@query("fn45_content_hash", "SELECT true AS alike, true AS other")
-def _(t):
-    a, b, c = (dsl.Rule("r", "1.0", "same_page", source_field="x", tolerance=x) for x in (2, 2.0, 3))
-    return t.values([(dsl.content_hash(a) == dsl.content_hash(b), dsl.content_hash(a) != dsl.content_hash(c))], "alike boolean, other boolean")

@@ -27,6 +27,8 @@ def query(name: str, sql: str | None = None):
     """Registers a function of Tables under a name; without SQL its rows are tested by brute force."""
 
     def register(f):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
             SQL[name] = sql

@@ -233,7 +233,7 @@ def _(t):
 def _(t):
     pts = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
     boxes = t.part.select("p_partkey", (F.col("p_size") - 5).alias("x1"), (F.col("p_size") + 5).alias("x2"), F.lit(0.02).alias("y1"), F.lit(0.06).alias("y2"))
-    return J.inside(pts, boxes, ["p_partkey"]).select("l_orderkey", "l_linenumber", "p_partkey")
+    return J.inside(pts, boxes, ["p_partkey"], 10.0, 0.04).select("l_orderkey", "l_linenumber", "p_partkey")
 
 
 @query(
@@ -431,12 +431,12 @@ def _(t):
 
 @query(
     "cls10_resolve_family",
-    "WITH k(family, o, word) AS (VALUES ('metal', 1, 'STEEL'), ('metal', 1, 'BRASS'), ('big', 2, 'LARGE BURNISHED'), ('other', 3, 'NICKEL')), s AS (SELECT p_partkey, family, o, sum(CASE WHEN contains(lower(p_type), lower(word)) THEN 1.0 WHEN len(list_filter(string_split(lower(word), ' '), lambda x: contains(lower(p_type), x))) > 0 THEN 0.45 ELSE 0 END) AS score FROM part CROSS JOIN k GROUP BY 1, 2, 3) "
-    "SELECT p_partkey, family, round(CASE WHEN score > 0 THEN least(1.0, score / 2.5) ELSE 0.2 END, 6)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, o) AS n FROM s) WHERE n = 1",
+    "WITH k(family, o, word) AS (VALUES ('cold', 1, 'cold'), ('cold', 1, 'small cold rod'), ('long', 2, 'green ring'), ('long', 2, 'HOT ring bolt'), ('odd', 3, 'large red widget extra')), s AS (SELECT p_partkey, family, o, sum(CASE WHEN contains(p_name, lower(word)) THEN 1.0 WHEN len(list_intersect(string_split(lower(word), ' '), string_split(p_name, ' '))) >= greatest(1, len(string_split(word, ' ')) // 2) THEN 0.45 ELSE 0 END) AS score FROM part CROSS JOIN k GROUP BY 1, 2, 3) "
+    "SELECT p_partkey, CASE WHEN score > 0 THEN family ELSE 'generic' END AS family, CASE WHEN score > 0 THEN round(least(1.0, score / 2.5), 3) ELSE 0.2 END::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, o) AS n FROM s) WHERE n = 1",
 )
 def _(t):
-    words = t.values([("metal", 1, "STEEL"), ("metal", 1, "BRASS"), ("big", 2, "LARGE BURNISHED"), ("other", 3, "NICKEL")], "family string, ordinal int, word string")
-    return C.resolve_family(t.part, words, "p_partkey", "p_type").withColumn("confidence", F.round("confidence", 6))
+    words = t.values([("cold", 1, "cold"), ("cold", 1, "small cold rod"), ("long", 2, "green ring"), ("long", 2, "HOT ring bolt"), ("odd", 3, "large red widget extra")], "family string, ordinal int, word string")
+    return C.resolve_family(t.part, words, "p_partkey", "p_name", "generic").drop("reason")
 
 
 @query(
