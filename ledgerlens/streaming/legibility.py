@@ -120,7 +120,8 @@ class Gate(StatefulProcessor):
 def gated(events: DataFrame, patience_ms: int | None = None) -> DataFrame:
     """STR-6: OUTCOMES of a stream of events. Runs stay in state, so a restart from the checkpoint goes on where it stood.
 
-    A run that has waited patience_ms is said to be overdue once, and goes on waiting. Needs the RocksDB state store
+    A run that has waited patience_ms is said to be overdue once, and goes on waiting; timers want a query with a
+    processing-time trigger, as one that stops once all is read never does with them. Needs the RocksDB state store
     (spark.sql.streaming.stateStore.providerClass). A run's events of one micro-batch are put in order by seq.
     """
     mode = "processingTime" if patience_ms is not None else "none"

@@ -1,6 +1,7 @@
 """STR-6: a stream that pauses, restarts from its checkpoint, resumes, and refuses changed packages; tables by the same rule."""
 
 import random
+import time
 
 from ledgerlens.streaming import legibility as L
 
@@ -26,15 +27,15 @@ def random_events(rnd, runs=150):
 
 
 class Stream:
-    def __init__(self, spark, folder, patience=None):
-        self.spark, self.folder, self.patience = spark, folder, patience
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
 
     def add(self, events):
         self.spark.createDataFrame(events, L.EVENTS).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
 
     def run(self):
         """A new query each time: all it knows of the past is in the checkpoint."""
-        out = L.gated(self.spark.readStream.schema(L.EVENTS).parquet(f"{self.folder}/in"), self.patience)
+        out = L.gated(self.spark.readStream.schema(L.EVENTS).parquet(f"{self.folder}/in"))
         out.writeStream.format("parquet").option("path", f"{self.folder}/out").option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start().awaitTermination(120)
         return sorted(map(tuple, self.spark.read.schema(L.OUTCOMES).parquet(f"{self.folder}/out").collect()), key=str)
 
@@ -69,11 +70,20 @@ def test_streams_agree_with_tables(spark, tmp_path):
 
 def test_overdue(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    s = Stream(spark, tmp_path, patience=0)
+    s = Stream(spark, tmp_path)
     s.add([event("a", 0, "start", needs_review=True), event("b", 0, "start", needs_review=True), event("b", 1, "decision", action="proceed")])
-    s.run()
-    s.add([event("c", 0, "start", needs_review=False)])
-    assert [r[0] for r in s.run() if r[2] == L.OVERDUE] == ["a"]
+    out = L.gated(spark.readStream.schema(L.EVENTS).parquet(f"{tmp_path}/in"), patience_ms=0)
+    q = out.writeStream.format("memory").queryName("overdue").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(120):
+            rows = spark.table("overdue").where(f"status = '{L.OVERDUE}'").collect()
+            if rows:
+                break
+            time.sleep(0.5)
+        time.sleep(1)
+    finally:
+        q.stop()
+    assert [r["run_id"] for r in spark.table("overdue").where(f"status = '{L.OVERDUE}'").collect()] == ["a"]
 
 
 def test_snapshots(spark):
