@@ -30,10 +30,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def once(df: DataFrame, name: str) -> DataFrame:
-    """df as it stands now: written, and read again by whatever needs it. Its lineage ends here; it goes when the driver ends."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; what is there goes when the driver ends."""
     path = f"{shared_dir(spark)}/ledgerlens/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    return path
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df as it stands now: written, and read again by whatever needs it. Its lineage ends here; it goes when the driver ends."""
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
