@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,14 +70,23 @@ def placeholder(value: Column, words: list[str], allowed: list[str]) -> Column:
     return F.struct(is_.alias("is_placeholder"), (is_ & v.isin([w.lower() for w in allowed])).alias("allowed"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it: a lambda's variable can't be inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _step(state: Column, change: Callable[[Column], Column], tag: str) -> Column:
+    """struct(text, tags) after a change of the text; the tag is added where it changed something."""
+    changed = lambda s: lambda after: F.struct(after.alias("text"), F.when(after != s["text"], F.array_append(s["tags"], F.lit(tag))).otherwise(s["tags"]).alias("tags"))
+    return let(state, lambda s: let(change(s["text"]), changed(s)))
+
+
 def sanitise(text: Column, repairs: list[tuple[str, str, str]]) -> Column:
-    """FN-17: ordered (tag, pattern, replacement) repairs; struct(text, tags of those that changed something)."""
-    tags, now = [], text
+    """FN-17: ordered (tag, pattern, replacement) repairs, folded over the text; struct(text, tags of those that changed something)."""
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("tags"))
     for tag, pattern, to in repairs:
-        after = F.regexp_replace(now, pattern, to)
-        tags.append(F.when(after != now, tag))
-        now = after
-    return F.struct(now.alias("text"), F.array_compact(F.array(*tags)).alias("tags"))
+        state = _step(state, lambda t, pattern=pattern, to=to: F.regexp_replace(t, pattern, to), tag)
+    return state
 
 
 def repair_severity(tags: Column, heavy: list[str], middle: list[str], weights=(40, 18, 8)) -> Column:
@@ -102,12 +113,21 @@ def edit_criticality(before: Column, after: Column) -> Column:
 
 
 def replace_literals(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """FN-21: literal replacements, the longest pattern first; struct(text, patterns applied)."""
-    now, applied = text, []
+    """FN-21: literal replacements, the longest pattern first, folded over the text; struct(text, patterns applied)."""
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("applied"))
     for old, new in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
-        applied.append(F.when(F.contains(now, F.lit(old)), old))
-        now = F.replace(now, F.lit(old), F.lit(new))
-    return F.struct(now.alias("text"), F.array_compact(F.array(*applied)).alias("applied"))
+
+        def applied(s: Column, old: str = old, new: str = new) -> Column:
+            hit = F.contains(s["text"], F.lit(old))
+            done = F.struct(F.replace(s["text"], F.lit(old), F.lit(new)).alias("text"), F.array_append(s["applied"], F.lit(old)).alias("applied"))
+            return F.when(hit, done).otherwise(s)
+
+        state = let(state, _unary(applied))
+    return state
+
+
+def _unary(f: Callable[..., Column]) -> Callable[[Column], Column]:
+    return lambda x: f(x)
 
 
 def page_of(text: Column, first: int = 200) -> Column:
@@ -188,3 +208,26 @@ def validated(page: Column, year: int) -> Column:
     failed = [F.transform(bad, lambda x, r=rule: F.struct(F.lit(r).alias("rule"), x.alias("value"))) for rule, bad in checks]
     passed = sum((F.when(F.size(bad) == 0, 1).otherwise(0) for _, bad in checks), F.lit(0))
     return F.struct(F.lit(3).alias("checked"), passed.alias("passed"), F.concat(*failed).alias("failures"))
+
+
+# Lines of a page that say nothing about its section.
+_NO_HEADER = r"^(format no|printed by|printed on|this document is electronically issued)"
+_COUNTER = r"(?i)\bpage\s+(\d+)\s+of\s+(\d+)\b"
+_LINES = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+
+
+def plain_line(line: Column) -> Column:
+    """WIN-3: a line without tags, Markdown marks and anything but letters, digits and :/.-, in lower case, spaces folded."""
+    bare = F.regexp_replace(F.regexp_replace(line, "<[^>]+>", " "), "[^A-Za-z0-9:/.-]+", " ")
+    return F.lower(F.trim(bare))
+
+
+def packet_page(text: Column) -> Column:
+    """WIN-3: struct(x, y, lines, tokens, heading) of a page: its counter "page x of y", its first three header lines of
+    the first 24 (without counters and printers' notes), their words of over two letters, and its first "#" line of 20."""
+    raw = F.split(F.coalesce(text, F.lit("")), _LINES)
+    lines = F.slice(F.filter(F.transform(F.slice(raw, 1, 24), plain_line), lambda x: (x != "") & ~x.rlike(_NO_HEADER) & ~x.rlike(_COUNTER)), 1, 3)
+    tokens = F.filter(F.array_distinct(F.flatten(F.transform(lines, lambda x: F.split(x, " ")))), lambda x: F.length(x) > 2)
+    number = lambda n: F.regexp_extract(F.coalesce(text, F.lit("")), _COUNTER, n).try_cast("int")
+    heading = F.get(F.filter(F.transform(F.slice(raw, 1, 20), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("#"))), F.lit(0))
+    return F.struct(number(1).alias("x"), number(2).alias("y"), lines.alias("lines"), tokens.alias("tokens"), F.nullif(plain_line(heading), F.lit("")).alias("heading"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import packet_page
+
 
 def _order(keys: list[str], by: str):
     return Window.partitionBy(*keys).orderBy(by)
@@ -59,20 +61,42 @@ def clamp(ranges: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def decompose(pages: DataFrame, keys: list[str], least: float = 0.22, tokens: int = 3) -> DataFrame:
-    """WIN-3: section numbers and why each begins: "first", "counter" (a page counter that falls back) or "header"
-    (header token sets of `tokens` and more with Jaccard similarity under `least`). pages: page, counter, header array."""
+    """WIN-3: pages with why a section begins at them (else null), how sure that is, and the section's number.
+
+    pages: page, x and y (the page's counter "x of y", null without), lines (its header's) and tokens (their words).
+    The first page begins one ("initial_section", 1); so does a counter that is 1 again after one beyond 1, or with
+    another total ("page_counter_reset", .92); and a header of `tokens` and more words whose likeness to the last
+    header before it (as sets; an empty one is like none) is under `least` ("header_signature_shift", .76).
+    """
     w = _order(keys, "page")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last_counter = F.last("counter", ignorenulls=True).over(before)
-    last_header = F.last(F.when(F.size("header") > 0, F.col("header")), ignorenulls=True).over(before)
-    both = F.size(F.array_intersect("header", last_header))
-    union = F.size(F.array_union("header", last_header))
+    last = F.last(F.when(F.col("x").isNotNull(), F.struct("x", "y")), ignorenulls=True).over(before)
+    header = F.coalesce(F.last(F.when(F.size("lines") > 0, F.col("tokens")), ignorenulls=True).over(before), F.array().cast("array<string>"))
+    p = pages.withColumns({"__nth": F.row_number().over(w), "__last": last, "__header": header})
+    alike = F.coalesce(F.try_divide(F.size(F.array_intersect("tokens", "__header")), F.size(F.array_union("tokens", "__header"))), F.lit(1.0))
     why = (
-        F.when(F.row_number().over(w) == 1, "first")
-        .when(F.col("counter").isNotNull() & (F.col("counter") <= last_counter), "counter")
-        .when((F.size("header") >= tokens) & (F.size(last_header) >= tokens) & (F.try_divide(both, union) < least), "header")
+        F.when(F.col("__nth") == 1, "initial_section")
+        .when((F.col("x") == 1) & ((F.col("__last.x") > 1) | (F.col("__last.y") != F.col("y"))), "page_counter_reset")
+        .when((F.size("tokens") >= tokens) & (alike < least), "header_signature_shift")
     )
-    return pages.select("*", why.alias("why")).withColumn("section", F.sum(F.when(F.col("why").isNotNull(), 1).otherwise(0)).over(w))
+    sure = F.when(F.col("why") == "initial_section", 1.0).when(F.col("why") == "page_counter_reset", 0.92).when(F.col("why") == "header_signature_shift", 0.76)
+    p = p.withColumn("why", why).withColumn("confidence", sure)
+    return p.withColumn("section", F.count("why").over(w)).drop("__nth", "__last", "__header")
+
+
+def packet_sections(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """WIN-3: keys, section, section_id, name, start_page, end_page, confidence and why of packets' pages (keys, page, text).
+
+    A section is named after its first page's heading, else its first header line, else its number.
+    """
+    read = pages.select(*keys, "page", packet_page(F.col(text)).alias("p")).select(*keys, "page", "p.*")
+    cut = decompose(read, keys)
+    first = F.min_by(F.struct("heading", F.get("lines", F.lit(0)).alias("line"), "confidence", "why"), "page").alias("f")
+    s = cut.groupBy(*keys, "section").agg(F.min("page").alias("start_page"), F.max("page").alias("__last"), first)
+    end = F.coalesce(F.lead("start_page").over(_order(keys, "section")) - 1, F.col("__last"))
+    number = F.lpad(F.col("section").cast("string"), 3, "0")
+    name = F.substring(F.coalesce("f.heading", "f.line", F.concat(F.lit("section_"), number)), 1, 120)
+    return s.select(*keys, "section", F.concat(F.lit("pkt_sec_"), number).alias("section_id"), name.alias("name"), "start_page", end.alias("end_page"), "f.confidence", "f.why")
 
 
 def boundary_units(pages: DataFrame, keys: list[str]) -> DataFrame:

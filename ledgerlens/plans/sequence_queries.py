@@ -40,14 +40,21 @@ def _(t):
 
 
 @query(
-    "win3_decompose",
-    """WITH p AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS page, CAST(event_id % 6 AS INTEGER) AS c FROM events)
-SELECT user_id, page, CASE WHEN page = 1 THEN 'first' WHEN c <= lag(c) OVER (PARTITION BY user_id ORDER BY page) THEN 'counter' END AS why FROM p""",
+    "win3_packet_sections",
+    _P
+    + """, q AS (SELECT conv_id, page, 'Page ' || (page % 3 + 1) || ' of ' || (page // 5 + 3) || chr(10) || CASE WHEN page % 7 = 2 THEN '# ' ELSE '' END || text AS text FROM p),
+ln AS (SELECT conv_id, page, list_filter(list_transform(regexp_split_to_array(text, '\\n')[1:24], lambda x: lower(trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[^A-Za-z0-9:/.-]+', ' ', 'g'), ' '))), lambda x: x <> '' AND NOT regexp_matches(x, '\\bpage\\s+(\\d+)\\s+of\\s+(\\d+)\\b'))[1:3] AS l, CASE WHEN page % 7 = 2 THEN lower(trim(regexp_replace(string_split(text, chr(10))[2], '[^A-Za-z0-9:/.-]+', ' ', 'g'), ' ')) END AS h FROM q),
+t AS (SELECT conv_id, page, page % 3 + 1 AS x, page // 5 + 3 AS y, l, nullif(h, '') AS h, list_distinct(list_filter(flatten(list_transform(l, lambda x: string_split(x, ' '))), lambda x: length(x) > 2)) AS k FROM ln),
+w AS (SELECT *, lag(x) OVER r AS px, lag(y) OVER r AS py, row_number() OVER r AS nth, coalesce(last_value(CASE WHEN len(l) > 0 THEN k END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS pk FROM t WINDOW r AS (PARTITION BY conv_id ORDER BY page)),
+y AS (SELECT *, CASE WHEN nth = 1 THEN 'initial_section' WHEN x = 1 AND (px > 1 OR py <> y) THEN 'page_counter_reset' WHEN len(k) >= 3 AND len(list_intersect(k, pk)) < 0.22 * len(list_distinct(list_concat(k, pk))) THEN 'header_signature_shift' END AS why FROM w),
+s AS (SELECT *, count(why) OVER (PARTITION BY conv_id ORDER BY page) AS section FROM y),
+z AS (SELECT conv_id, section, min(page) AS a, max(page) AS b, arg_min(coalesce(h, l[1], 'section_' || lpad(CAST(section AS VARCHAR), 3, '0')), page) AS name, arg_min(why, page) AS why FROM s GROUP BY 1, 2)
+SELECT conv_id, section, 'pkt_sec_' || lpad(CAST(section AS VARCHAR), 3, '0') AS section_id, substr(name, 1, 120) AS name, a AS start_page, CAST(coalesce(lead(a) OVER (PARTITION BY conv_id ORDER BY section) - 1, b) AS INTEGER) AS end_page, CAST(CASE why WHEN 'initial_section' THEN 1.0 WHEN 'page_counter_reset' THEN 0.92 ELSE 0.76 END AS DOUBLE) AS confidence, why FROM z""",
 )
 def _(t):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    p = t.events.select("user_id", n.alias("page"), (F.col("event_id") % 6).cast("int").alias("counter"), F.array().cast("array<string>").alias("header"))
-    return W.decompose(p, ["user_id"]).select("user_id", "page", "why")
+    page = F.col("page")
+    head = F.concat(F.lit("Page "), (page % 3 + 1).cast("string"), F.lit(" of "), (F.floor(page / 5) + 3).cast("string"), F.lit("\n"), F.when(page % 7 == 2, "# ").otherwise(""))
+    return W.packet_sections(_pages(t).select("conv_id", "page", F.concat(head, "text").alias("text")), ["conv_id"])
 
 
 @query(
