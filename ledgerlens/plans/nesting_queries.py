@@ -9,6 +9,7 @@ from ..functions import edits as E
 from ..functions import signatures as G
 from ..operators import requirements as R
 from ..operators import sections as S
+from ..operators import segmentation as M
 from ..operators import subsections as U
 from ..sources import batches as B
 from ..streaming import legibility as L
@@ -222,3 +223,49 @@ def _(t):
     B.write_requests(B.request_lines(asked, "judge"), path, 1000)
     x = F.from_json("line", "method string, body struct<model: string, messages: array<struct<role: string, content: string>>>")
     return B.read_requests(t.spark, path).select("custom_id", x["method"].alias("method"), x["body"]["model"].alias("model"), F.size(x["body"]["messages"]).alias("messages"), F.element_at(x["body"]["messages"], -1)["content"].alias("last"))
+
+
+# ---------------------------------------------------------------- DSL-16, DSL-18
+_PROFILES = M.Profiles((M.Profile("f", ("o",), (M.Expected("1_urgent", ("2_high",), True), M.Expected("5_low"))), M.Profile("p", (), (M.Expected("5_low", (), True),))))
+_RAW = "r AS (SELECT o_custkey AS d, o_orderkey AS o, CAST(o_orderkey % 50 - 3 AS INTEGER) AS a, CAST(o_orderkey % 50 - 3 + o_orderkey % 9 AS INTEGER) AS b, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN '1_urgent' WHEN o_orderpriority = '5-LOW' THEN '5_low' ELSE 'unknown' END AS k, lower(o_orderstatus) AS doc FROM orders)"
+
+
+def _segmentations(t):
+    a = (F.col("o_orderkey") % 50 - 3).cast("int")
+    s = t.orders.select(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("section_id"), F.col("o_orderpriority").alias("name"),
+        F.col("o_orderpriority").alias("section_type"), F.lower("o_orderstatus").alias("document_type"), a.alias("start_page"), (a + F.col("o_orderkey") % 9).cast("int").alias("end_page"),
+    )
+    return s, t.orders.select(F.col("o_custkey").alias("doc_id"), F.lit(40).alias("total")).distinct()
+
+
+@query(
+    "dsl18_segmentation_issues",
+    f"WITH {_RAW}"
+    + """, e AS (SELECT DISTINCT o_custkey AS d, l_linenumber * 7 AS page FROM lineitem JOIN orders ON o_orderkey = l_orderkey), c AS (SELECT DISTINCT o_custkey AS d, unnest(range(1, 41)) AS page FROM orders),
+m AS (SELECT d, page FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.d = c.d AND c.page BETWEEN r.a AND r.b)), g AS (SELECT d, min(page) AS a, max(page) AS b FROM (SELECT *, page - row_number() OVER (PARTITION BY d ORDER BY page) AS i FROM m) GROUP BY d, i),
+x AS (
+  SELECT r.d, 'overlap' AS kind, least(r.b, y.b) - greatest(r.a, y.a) + 1 AS n FROM r JOIN r y ON y.d = r.d AND (r.a, r.b, r.o) < (y.a, y.b, y.o) AND y.a <= r.b
+  UNION ALL SELECT d, 'gap', b - a + 1 FROM g
+  UNION ALL SELECT d, 'missing_required_section', NULL FROM (SELECT DISTINCT d, doc FROM r WHERE doc = 'f' OR doc = 'p') q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.d = q.d AND r.doc = q.doc AND r.k = CASE q.doc WHEN 'f' THEN '1_urgent' ELSE '5_low' END)
+  UNION ALL SELECT d, 'no_kv_evidence', b - a + 1 FROM r WHERE b - a >= 2 AND k <> 'unknown' AND EXISTS (SELECT 1 FROM e WHERE e.d = r.d) AND NOT EXISTS (SELECT 1 FROM e WHERE e.d = r.d AND e.page BETWEEN r.a AND r.b)
+  UNION ALL SELECT d, 'type_mismatch', b - a + 1 FROM r WHERE doc = 'p' AND k = '1_urgent'
+  UNION ALL SELECT d, 'unknown_section_type', NULL FROM r WHERE k = 'unknown')
+SELECT d AS doc_id, kind, count(*) AS n, CAST(coalesce(sum(n), 0) AS BIGINT) AS pages FROM x GROUP BY 1, 2""",
+)
+def _(t):
+    s, total = _segmentations(t)
+    pages = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc_id"), (F.col("l_linenumber") * 7).alias("page"))
+    found = M.issues(M.stamped(M.canonical(s, _PROFILES), _PROFILES, [], ""), _PROFILES, total, pages)
+    return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("end_page") - F.col("start_page") + 1), F.lit(0)).alias("pages"))
+
+
+@query(
+    "dsl16_mended_segmentations",
+    f"WITH {_RAW}"
+    + """, c AS (SELECT d, o, greatest(a, 1) AS a, least(b, 40) AS b, k, doc FROM r WHERE greatest(a, 1) <= least(b, 40)), x AS (SELECT d, k, doc, greatest(a, coalesce(max(b) OVER (PARTITION BY d ORDER BY a, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, a)) AS a, b FROM c), y AS (SELECT * FROM x WHERE a <= b),
+p AS (SELECT DISTINCT o_custkey AS d, CAST(unnest(range(1, 41)) AS INTEGER) AS page FROM orders), m AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.d = p.d AND p.page BETWEEN y.a AND y.b)), i AS (SELECT *, page - row_number() OVER (PARTITION BY d ORDER BY page) AS g FROM m)
+SELECT d AS doc_id, a AS start_page, b AS end_page, k AS section_type, doc AS document_type FROM y UNION ALL SELECT d, min(page), max(page), 'unknown', '' FROM i GROUP BY d, g""",
+)
+def _(t):
+    return M.mended(*_segmentations(t), _PROFILES, [], "").select("doc_id", "start_page", "end_page", "section_type", "document_type")
