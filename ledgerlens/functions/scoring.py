@@ -9,7 +9,7 @@ from .text import numeral
 
 #: Ranks of both severity vocabularies, and of rule statuses from best to worst.
 SEVERITY = {"observation": 0, "info": 1, "minor": 2, "major": 3, "critical": 4}
-STATUS = {"not_applicable": 0, "compliant": 1, "uncertain": 2, "error": 3, "non_compliant": 4}
+STATUS = {"not_applicable": 0, "compliant": 1, "error": 2, "uncertain": 3, "non_compliant": 4}
 
 
 def rank(value: Column, ranks: dict[str, int]) -> Column:

@@ -57,8 +57,8 @@ def _(t):
 
 
 _EV = """WITH e AS (SELECT l_suppkey, l_returnflag AS rule, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS o, CASE l_linestatus WHEN 'F' THEN CASE WHEN l_quantity > 45 THEN 'non_compliant' ELSE 'compliant' END ELSE CASE WHEN l_quantity < 3 THEN 'error' WHEN l_quantity < 6 THEN 'uncertain' ELSE 'compliant' END END AS status, l_discount AS c FROM lineitem),
-r AS (SELECT *, CASE status WHEN 'not_applicable' THEN 0 WHEN 'compliant' THEN 1 WHEN 'uncertain' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS k FROM e), m AS (SELECT l_suppkey, rule, max(k) AS w FROM r GROUP BY 1, 2),
-a AS (SELECT r.l_suppkey, r.rule, ['not_applicable', 'compliant', 'uncertain', 'error', 'non_compliant'][any_value(w) + 1] AS status, min(c) AS confidence, min(o) AS first, count(*) AS n FROM r JOIN m ON r.l_suppkey = m.l_suppkey AND r.rule = m.rule AND r.k = m.w GROUP BY 1, 2)
+r AS (SELECT *, CASE status WHEN 'not_applicable' THEN 0 WHEN 'compliant' THEN 1 WHEN 'error' THEN 2 WHEN 'uncertain' THEN 3 ELSE 4 END AS k FROM e), m AS (SELECT l_suppkey, rule, max(k) AS w FROM r GROUP BY 1, 2),
+a AS (SELECT r.l_suppkey, r.rule, ['not_applicable', 'compliant', 'error', 'uncertain', 'non_compliant'][any_value(w) + 1] AS status, min(c) AS confidence, min(o) AS first, count(*) AS n FROM r JOIN m ON r.l_suppkey = m.l_suppkey AND r.rule = m.rule AND r.k = m.w GROUP BY 1, 2)
 """
 
 

@@ -330,7 +330,7 @@ def _(t):
 
 
 for _mode, _pick in (("text_vision", "CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN ra > rb THEN a ELSE b END"), ("text_primary", "CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN rb > ra THEN b ELSE a END")):
-    _rk = "CASE {0} WHEN 'not_applicable' THEN 0 WHEN 'compliant' THEN 1 WHEN 'uncertain' THEN 2 WHEN 'error' THEN 3 WHEN 'non_compliant' THEN 4 END"
+    _rk = "CASE {0} WHEN 'not_applicable' THEN 0 WHEN 'compliant' THEN 1 WHEN 'error' THEN 2 WHEN 'uncertain' THEN 3 WHEN 'non_compliant' THEN 4 END"
 
     @query(
         f"rul19_merge_{_mode}",
