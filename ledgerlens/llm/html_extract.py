@@ -60,7 +60,11 @@ MARKED = re.compile(
     r"site-header|page-header|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|pagination|pager|toolbar|masthead|"
     r"complementary|contentinfo|skip|widget)(?:$|[\s_-])"
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Attributes as the HTML standard reads them: only a value's first character may open quotes, and quotes that
+#: nothing closes are characters of a name. Nothing is tried twice, so broken tags cost no more than sound ones.
+_ATTRIBUTES = r"""(?>[\s/]++|[^\s/>=]++(?>\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+|=[^\s/>=]*+)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>", re.S)
+_ENDS_IN_VALUE = re.compile(r"""=\s*[^\s"'>][^\s>]*\Z""")
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -68,20 +72,22 @@ _MARKS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"
 class Node:
     tag: str
     children: list = field(default_factory=list)  # nodes and strings in page order
-    barred: bool = False
+    barred: str = ""  # by its "tag" or by its "words", or not
     article_in: bool = False
 
 
-def _barred(tag: str, attributes: str, inside_article: bool) -> bool:
+def _barred(tag: str, attributes: str, inside_article: bool) -> str:
     if tag in NEVER or tag == "header" and not inside_article:
-        return True
+        return "tag"
     if tag in ARTICLE or tag in ("html", "body"):
-        return False
+        return ""
     for m in _MARKS.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or MARKED.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return "tag"
+        if MARKED.search(value):
+            return "words"
+    return ""
 
 
 def parse(source: str) -> Node:
@@ -131,10 +137,13 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
             node.children.append(source[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in VOID and not (m[3].rstrip().endswith("/") and not _ENDS_IN_VALUE.search(m[3])):
             if tag in ARTICLE:
+                outermost = opened["article"] + opened["main"] == 0
                 for x in stack:
                     x.article_in = True
+                    if outermost and x.barred == "words":  # class words of what holds the article say nothing of the article
+                        x.barred = ""
             opened[tag] += 1
             stack.append(node)
     return root

@@ -274,3 +274,24 @@ def test_regression_is_calibrated():
     assert np.abs(w - [0.5, 2.0, -1.0]).max() < 0.25
     separable = Q.fitted(np.c_[np.ones(4), [-2.0, -1, 1, 2]], np.array([0.0, 0, 1, 1]), np.ones(4))
     assert np.isfinite(separable).all() and separable[1] > 0
+
+
+# ---------------------------------------------------------------- HTML: tags as the standard reads them
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<article><p title=it's>Hello, don't stop</p><p>next</p></article>", "Hello, don't stop next"),
+        ("<article><form action=/search/>SEARCH FORM</form>x</article>", "x"),
+        ('<article>a <a title="foo>link</a> b</article>', "a link b"),
+        ('<div class="article-alert side"><article><p>text</p></article></div>', "text"),
+        ('<article>t<div class="related"><article>teaser</article></div></article>', "t"),
+        ('<article>a<br/>b<img src=/a/b/ />c<p class = "x" id=y/>d</article>', "a b c d"),
+        ("<aside class=x><article>teaser</article></aside><article>real</article>", "real"),
+        ("<article>1 < 2 <b =x a='>'>c</b> 3 > 2</article>", "1 < 2 c 3 > 2"),
+        ('<article><p a="b>c\'d">x</p>' + '<p a="' * 3000 + "</article>", "x"),
+    ],
+)
+def test_tags(source, text):
+    from ledgerlens.llm.html_extract import extract_page
+
+    assert extract_page(source, None, {}) == text
