@@ -133,14 +133,6 @@ def _(t):
     return l.select("l_orderkey", sev.alias("severity"), _hitl().alias("hitl")).groupBy("l_orderkey").agg(A.penalty_score().cast("long").alias("score"))
 
 
-@query("agg13_adjusted_score", "SELECT n_nationkey, round(CASE WHEN sum(CASE WHEN c_acctbal > 0 THEN c_custkey % 5 END) > 0 THEN sum(c_acctbal * (c_custkey % 5)) FILTER (WHERE c_acctbal > 0) / sum(c_custkey % 5) FILTER (WHERE c_acctbal > 0) ELSE avg(c_acctbal) END, 4) AS score FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
-def _(t):
-    w = F.when(F.col("c_acctbal") > 0, F.col("c_custkey") % 5)
-    j = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"))
-    score = F.when(F.sum(w) > 0, F.try_divide(F.sum(F.col("c_acctbal") * w), F.sum(w))).otherwise(F.avg("c_acctbal"))
-    return j.groupBy("n_nationkey").agg(F.round(score, 4).alias("score"))
-
-
 @query("agg14_hitl_summary", f"SELECT l_suppkey, count(*) FILTER (WHERE h = 'needs_review') AS needs_review, count(*) FILTER (WHERE h = 'user_rejected') AS user_rejected, count(*) FILTER (WHERE h = 'auto_approved') AS auto_approved, count(*) FILTER (WHERE h IS NULL) AS unknown FROM (SELECT l_suppkey, {_HITL} AS h FROM lineitem) GROUP BY 1")
 def _(t):
     h = t.lineitem.select("l_suppkey", F.coalesce(_hitl(), F.lit("unknown")).alias("h"))
@@ -348,9 +340,3 @@ def _(t):
 def _(t):
     n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     return t.part.select("p_partkey", "p_brand", F.floor((n - 1) / 15).alias("batch"))
-
-
-@query("dsl13_feedback_seeds", "SELECT event_id, sha256(event_type || '|' || user_id) AS seed FROM events WHERE event_type IN ('error', 'purchase')")
-def _(t):
-    e = t.events.where(F.col("event_type").isin("error", "purchase"))
-    return e.select("event_id", F.sha2(F.concat_ws("|", "event_type", "user_id"), 256).alias("seed"))

@@ -166,11 +166,6 @@ def _(t):
     return t.events.select("event_id", X.cell_kind(v).alias("kind"))
 
 
-@query("fn37_marks", "SELECT page_id, len(regexp_extract_all(html, '<p>'))::INTEGER AS paragraphs, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))::INTEGER AS links FROM pages")
-def _(t):
-    return t.pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).alias("paragraphs"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("links"))
-
-
 @query("fn38_json_pairs", "SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def _(t):
     kv = F.from_json("props", "map<string,bigint>")
@@ -184,13 +179,6 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(S.iou(a, [q, n, q + 10, n + 10]), 6).alias("iou"))
 
 
-@query("fn42_table_grid", "SELECT p_partkey, r::INTEGER AS r, c::INTEGER AS c, (c * 10.0 / 3)::DOUBLE AS x1, (r * 6.0 / 2)::DOUBLE AS y1 FROM part, range(0, 2) a(r), range(0, 3) b(c)")
-def _(t):
-    p = t.part.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("r"))
-    p = p.select("p_partkey", "r", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
-    return p.select("*", (F.col("c") * 10.0 / 3).alias("x1"), (F.col("r") * 6.0 / 2).alias("y1"))
-
-
 @query("fn44_cleanup", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS text FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.md5(X.cleanup(F.col("text"))).alias("text"))
@@ -207,12 +195,6 @@ def _(t):
     return t.orders.groupBy("o_custkey").agg(F.sha2(F.array_join(F.transform(x, lambda r: F.concat_ws(":", r["o_orderkey"], r["o_orderstatus"])), ","), 256).alias("digest"))
 
 
-@query("fn48_blocking", "SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN false ELSE o_orderstatus = 'F' END AS blocking FROM orders")
-def _(t):
-    override = F.broadcast(t.values([("5-LOW", False)], "o_orderpriority string, override boolean"))
-    return t.orders.join(override, "o_orderpriority", "left").select("o_orderkey", F.coalesce("override", F.col("o_orderstatus") == "F").alias("blocking"))
-
-
 @query("fn51_redact", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}', '[ip]', 'g'), '[0-9a-f]{40}', '[token]', 'g')) AS text FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.md5(X.redact(F.col("text"), {"ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "token": "[0-9a-f]{40}"})).alias("text"))

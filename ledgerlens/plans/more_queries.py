@@ -83,12 +83,6 @@ def _(t):
     return A.grouping_counts(t.conversations, ["role", "turn"])
 
 
-@query("fn16_selection_semantics", "SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS selected, count(*) FILTER (WHERE l_returnflag <> 'R') AS unselected, count(*) FILTER (WHERE l_returnflag = 'R') > 1 AS ambiguous FROM lineitem GROUP BY 1")
-def _(t):
-    yes = F.count_if(F.col("l_returnflag") == "R")
-    return t.lineitem.groupBy("l_orderkey").agg(yes.alias("selected"), F.count_if(F.col("l_returnflag") != "R").alias("unselected"), (yes > 1).alias("ambiguous"))
-
-
 @query("fn26_canonical_types", "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'vehicle' WHEN 'MACHINERY' THEN 'vehicle' WHEN 'BUILDING' THEN 'building' ELSE 'unknown' END AS kind, c_mktsegment NOT IN ('AUTOMOBILE', 'MACHINERY', 'BUILDING') AS drift FROM customer")
 def _(t):
     alias = t.values([("AUTOMOBILE", "vehicle"), ("MACHINERY", "vehicle"), ("building", "building")], "variant string, canonical string")
@@ -208,17 +202,6 @@ def _(t):
     return E.discoveries(found, t.part.where("p_size = 7 AND p_brand = 'Brand#11'").select(F.upper("p_type").alias("description"))).select("p_partkey", F.round("confidence", 6).alias("confidence"))
 
 
-@query(
-    "rul21_arbitrated",
-    "SELECT o_orderkey, CASE WHEN a = b THEN a WHEN o_orderkey % 2 = 0 THEN 'uncertain' WHEN a = 'non_compliant' OR b = 'non_compliant' THEN 'non_compliant' ELSE 'compliant' END AS status, a <> b AS conflict FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'non_compliant' ELSE 'compliant' END AS a, CASE WHEN o_totalprice > 200000 THEN 'non_compliant' ELSE 'compliant' END AS b FROM orders)",
-)
-def _(t):
-    a = F.when(F.col("o_orderstatus") == "F", "non_compliant").otherwise("compliant")
-    b = F.when(F.col("o_totalprice") > 200000, "non_compliant").otherwise("compliant")
-    arbiter = F.when(F.col("o_orderkey") % 2 == 0, "uncertain")  # the odd ones' arbiter failed: the worse of the two
-    return t.orders.select("o_orderkey", F.when(a == b, a).otherwise(F.coalesce(arbiter, S.worse(a, b))).alias("status"), (a != b).alias("conflict"))
-
-
 @query("src1_document_digests", "SELECT doc_id, sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
@@ -284,17 +267,6 @@ def _(t):
     return t.part.join(t.part.where("p_size = 50").select("p_brand"), "p_brand", "left_anti").select("p_type").distinct()
 
 
-@query("dsl12_quarantine", "SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'price' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status' END AS reason FROM orders WHERE o_totalprice < 1000 OR o_orderstatus NOT IN ('F', 'O')")
-def _(t):
-    reason = F.when(F.col("o_totalprice") < 1000, "price").when(~F.col("o_orderstatus").isin("F", "O"), "status")
-    return t.orders.select("o_orderkey", reason.alias("reason")).where("reason IS NOT NULL")
-
-
-@query("dsl14_component_decisions", "SELECT l_orderkey, l_linenumber, arg_max(l_returnflag, l_partkey * 100000 + l_suppkey) AS decision FROM lineitem GROUP BY 1, 2")
-def _(t):
-    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_returnflag", F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("decision"))
-
-
 @query(
     "dsl16_segmentation_chain",
     """WITH r AS (SELECT o_custkey, o_orderkey AS ordinal, greatest(CAST(o_orderkey % 50 - 3 AS INTEGER), 1) AS a, least(CAST(o_orderkey % 50 - 3 + o_orderkey % 9 AS INTEGER), 40) AS b FROM orders), c AS (SELECT * FROM r WHERE a <= b),

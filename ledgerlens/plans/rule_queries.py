@@ -137,17 +137,6 @@ def _(t):
     return t.part.join(typed, "p_type", "left_semi").select("p_partkey").unionByName(bare.select("p_partkey"))
 
 
-@query(
-    "jn10_rule_groups",
-    "WITH r AS (SELECT l_partkey, arg_max(l_orderkey, struct_pack(a := l_orderkey, b := l_linenumber)) AS o FROM lineitem GROUP BY 1), g AS (SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))), ',') AS ids FROM lineitem GROUP BY 1) "
-    "SELECT ids, count(*) AS n FROM r JOIN g ON r.o = g.l_orderkey GROUP BY 1",
-)
-def _(t):
-    last = t.lineitem.groupBy("l_partkey").agg(F.max_by("l_orderkey", F.struct("l_orderkey", "l_linenumber")).alias("o"))
-    g = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), ",").alias("ids"))
-    return last.join(g, F.col("o") == F.col("l_orderkey")).groupBy("ids").agg(F.count("*").alias("n"))
-
-
 def _snapshots(t):
     old = t.customer.where("c_custkey % 5 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_mktsegment")).alias("value"), ((F.col("c_custkey") % 10) / 10.0).alias("confidence"))
     new = t.customer.where("c_custkey % 3 <> 0").select("c_custkey", F.lower("c_mktsegment").alias("value"), ((F.col("c_custkey") % 9) / 9.0).alias("confidence"))
