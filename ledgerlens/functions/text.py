@@ -231,3 +231,11 @@ def packet_page(text: Column) -> Column:
     number = lambda n: F.regexp_extract(F.coalesce(text, F.lit("")), _COUNTER, n).try_cast("int")
     heading = F.get(F.filter(F.transform(F.slice(raw, 1, 20), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("#"))), F.lit(0))
     return F.struct(number(1).alias("x"), number(2).alias("y"), lines.alias("lines"), tokens.alias("tokens"), F.nullif(plain_line(heading), F.lit("")).alias("heading"))
+
+
+def normalised_record(key: Column, value: Column, words: list[str], allowed: list[str]) -> Column:
+    """FN-7: struct(key, value, reasons, is_placeholder, allowed) of a key-value pair: its key as a slug (FN-2), its value
+    as the key suggests (FN-5), and whether that is a placeholder (FN-6)."""
+    v = normalise_field(key, value)
+    p = placeholder(v["value"], words, allowed)
+    return F.struct(slug(key).alias("key"), v["value"].alias("value"), v["reasons"].alias("reasons"), p["is_placeholder"].alias("is_placeholder"), p["allowed"].alias("allowed"))
