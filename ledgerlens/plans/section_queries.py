@@ -65,7 +65,16 @@ def _(t):
     return S.in_section_order(rows, ["MACHINERY", "BUILDING"])
 
 
-@query("str3_throttled_progress")
+@query(
+    "str3_throttled_progress",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id AS seq, CAST(floor(value) AS INTEGER) AS percent, event_type AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL),
+r AS (SELECT * FROM (WITH RECURSIVE w AS (
+  SELECT key, k, epoch_us(ts) AS t0, percent AS peak, true AS passes FROM e WHERE k = 1
+  UNION ALL SELECT key, k, CASE WHEN p THEN t1 ELSE t0 END, CASE WHEN p THEN greatest(peak, percent) ELSE peak END, p
+  FROM (SELECT e.key, e.k, w.t0, w.peak, e.percent, epoch_us(e.ts) AS t1, e.percent = 100 OR e.percent >= w.peak + 5 OR epoch_us(e.ts) - w.t0 >= 3600000000 AS p FROM w JOIN e ON e.key = w.key AND e.k = w.k + 1))
+SELECT * FROM w))
+SELECT e.key, ts, seq, percent, label FROM e JOIN r ON r.key = e.key AND r.k = e.k WHERE passes""",
+)
 def _(t):
     percent = F.floor(F.col("value")).cast("int")
     return P.throttled(t.events.select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").cast("long").alias("seq"), percent.alias("percent"), F.col("event_type").alias("label")), 3600.0)

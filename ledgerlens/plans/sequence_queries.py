@@ -31,7 +31,16 @@ def _(t):
     return W.assemble_spans(p, ["conv_id"]).drop("span")
 
 
-@query("win2_pick_candidates")
+@query(
+    "win2_pick_candidates",
+    _P
+    + """, o AS (SELECT conv_id, page, role AS s, 0.9 AS c, 1 AS r FROM p UNION ALL SELECT conv_id, page, 'alt-' || (length(text) % 3), (length(text) % 10) / 10.0, 2 FROM p),
+g AS (SELECT conv_id, page, list(s ORDER BY c DESC, r) AS ss, list(c ORDER BY c DESC, r) AS cs, row_number() OVER (PARTITION BY conv_id ORDER BY page) AS k FROM o GROUP BY conv_id, page)
+SELECT conv_id, page, s AS section_id FROM (WITH RECURSIVE w AS (
+  SELECT conv_id, k, page, ss[1] AS s FROM g WHERE k = 1
+  UNION ALL SELECT g.conv_id, g.k, g.page, CASE WHEN g.ss[1] = w.s AND g.ss[2] <> w.s AND g.cs[2] >= 0.6 THEN g.ss[2] ELSE g.ss[1] END FROM w JOIN g ON g.conv_id = w.conv_id AND g.k = w.k + 1)
+SELECT * FROM w)""",
+)
 def _(t):
     p = _pages(t)
     a = p.select("conv_id", "page", F.col("role").alias("section_id"), F.lit(0.9).alias("confidence"), F.lit(1).alias("rank"))
