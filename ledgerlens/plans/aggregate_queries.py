@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import rules as R
@@ -259,12 +258,6 @@ def _(t):
     return r.select("field", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("agg27_gates", "SELECT l_suppkey, avg(l_discount) >= 0.05 AS gate_a, count(*) >= 30 AS gate_b, avg(l_discount) >= 0.05 AND count(*) >= 30 AS accepted FROM (SELECT l_suppkey, CAST(l_discount AS DECIMAL(18,6)) AS l_discount FROM lineitem) GROUP BY 1")
-def _(t):
-    g = t.lineitem.groupBy("l_suppkey").agg((F.avg(F.col("l_discount").cast("decimal(18,6)")) >= 0.05).alias("gate_a"), (F.count("*") >= 30).alias("gate_b"))
-    return g.withColumn("accepted", F.col("gate_a") & F.col("gate_b"))
-
-
 @query(
     "agg28_document_quality",
     "SELECT doc_id, round(s, 6)::DOUBLE AS severity, CASE WHEN s >= 0.6 THEN 'block' WHEN s >= 0.3 THEN 'warn' ELSE 'ok' END AS verdict FROM (SELECT doc_id, CASE WHEN n_chars < 200 THEN 0.35 ELSE 0 END + CASE WHEN contains(text, '###') THEN 0.25 ELSE 0 END + CASE WHEN contains(text, '!!') THEN 0.25 ELSE 0 END + CASE WHEN contains(text, ' | ') THEN 0.15 ELSE 0 END AS s FROM documents)",

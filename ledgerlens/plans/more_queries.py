@@ -9,7 +9,6 @@ from ..functions import markup as M
 from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import aggregates as A
-from ..operators import classify as C
 from ..operators import external as E
 from ..operators import joins as J
 from ..operators import rules as R
@@ -183,19 +182,6 @@ def _(t):
     return E.infer_from_checks(j.select("o_orderkey", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ordinal"), x.alias("outcome")), ["o_orderkey"])
 
 
-@query("rul16_halves", "SELECT user_id, event_id, CASE WHEN n > 5 AND i > n // 2 THEN 2 ELSE 1 END AS chunk FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)")
-def _(t):
-    e = t.events.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
-    return e.select("user_id", "event_id", F.when((F.col("n") > 5) & (F.col("i") > F.floor(F.col("n") / 2)), 2).otherwise(1).alias("chunk"))
-
-
-@query("rul17_capped_pages", "SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text FROM (SELECT conv_id, turn, min(text) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations GROUP BY 1, 2) WHERE n <= 2")
-def _(t):
-    p = t.conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return p.withColumn("n", n).where("n <= 2").select("conv_id", "turn", X.shorten(F.col("text"), 100).alias("text"))
-
-
 @query("rul18_discoveries", "SELECT p_partkey, round(p_size * 0.85 / 50, 6)::DOUBLE AS confidence FROM part WHERE lower(trim(p_type)) NOT IN (SELECT lower(trim(p_type)) FROM part WHERE p_size = 7 AND p_brand = 'Brand#11')")
 def _(t):
     found = t.part.select("p_partkey", F.col("p_type").alias("description"), (F.col("p_size") / 50).alias("confidence"))

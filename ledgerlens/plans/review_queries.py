@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import marks as M
+from ..operators import agents as A
 from ..operators import review as R
 from .catalog import query
 
@@ -131,3 +132,92 @@ def _(t):
     marks = F.when(F.col("o_orderstatus") == "F", state("Selected")).when(F.col("o_orderstatus") == "O", state("unselected")).otherwise(F.array().cast("array<struct<state:string>>"))
     s = M.selection_summary(text, marks, F.col("o_custkey") % 2 == 0)
     return t.orders.select("o_orderkey", s["selected"].alias("selected"), s["unselected"].alias("unselected"), F.array_join(s["reasons"], ",").alias("reasons"))
+
+
+@query(
+    "cls4_canonical_documents",
+    "SELECT c_custkey, c_mktsegment = 'BUILDING' AND count(*) FILTER (WHERE c_mktsegment = 'BUILDING') OVER (PARTITION BY c_custkey // 7) = 1 AS is_canonical FROM customer",
+)
+def _(t):
+    docs = t.customer.select("c_custkey", F.floor(F.col("c_custkey") / 7).alias("package"), F.col("c_mktsegment").alias("role"))
+    return A.canonical_documents(docs, "BUILDING", "package").select("c_custkey", "is_canonical")
+
+
+@query("cls4_canonical_issues", "SELECT c_nationkey, 'DUPLICATE_CANONICAL' AS issue, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    return A.canonical_issues(t.customer.select("c_nationkey", F.col("c_mktsegment").alias("role")), "BUILDING", "c_nationkey")
+
+
+@query(
+    "cls11_template_family",
+    "WITH n AS (SELECT p_brand, lower(string_agg(p_name, ' ' ORDER BY p_partkey)) AS t FROM part WHERE p_size < 4 GROUP BY 1), b AS (SELECT DISTINCT p_brand FROM part) "
+    "SELECT b.p_brand, CASE WHEN contains(p, 'hot rod') OR contains(p, 'old ring') THEN 'a' WHEN contains(p, 'brand#1') OR contains(p, 'green') THEN 'b' ELSE 'core' END AS family FROM b LEFT JOIN n ON n.p_brand = b.p_brand, LATERAL (SELECT lower(b.p_brand) || ' ' || coalesce(t, '') AS p)",
+)
+def _(t):
+    packets = t.part.select("p_brand").distinct().withColumn("extraction_family", F.col("p_brand"))
+    sections = t.part.where("p_size < 4").select("p_brand", F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"))
+    probe = A.family_probe(packets, sections, "p_brand")
+    return probe.select("p_brand", A.template_family(F.col("probe"), [("a", "hot  rod"), ("b", "Brand#1"), ("a", "old ring"), ("b", "GREEN")], "core").alias("family"))
+
+
+@query(
+    "rul16_chunks",
+    "WITH r(rule_id, doc, sec) AS (VALUES ('x', 'F', ''), ('x', 'O', ''), ('y', 'O', 'R')), m AS (SELECT r.rule_id, l_suppkey AS doc_id, l_linestatus AS document_type, l_returnflag AS section_type, l_orderkey * 10 + l_linenumber AS page, l_partkey AS k FROM lineitem JOIN r ON doc = l_linestatus AND (sec = '' OR sec = l_returnflag)), "
+    "d AS (SELECT DISTINCT rule_id, doc_id, document_type, section_type, page FROM m) SELECT rule_id, doc_id, document_type, section_type, page, section_type || CASE WHEN count(*) OVER w > 40 AND row_number() OVER (PARTITION BY rule_id, doc_id, document_type, section_type ORDER BY page) > count(*) OVER w // 2 THEN '-1' ELSE '-0' END AS chunk_id FROM d WINDOW w AS (PARTITION BY rule_id, doc_id, document_type, section_type)",
+)
+def _(t):
+    page = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page")
+    pages = t.lineitem.select(F.col("l_suppkey").alias("doc_id"), page, F.col("l_linestatus").alias("document_type"), F.col("l_returnflag").alias("section_type")).distinct()
+    rules = t.values([("x", ["F", "O"], []), ("y", ["O"], ["R"])], "rule_id string, document_types array<string>, section_types array<string>")
+    return A.rule_chunks(pages, rules, 40)
+
+
+@query(
+    "rul17_context_pages",
+    "WITH p AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM p) "
+    "SELECT conv_id, string_agg('--- page ' || turn || ' ---' || chr(10) || CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE coalesce(text, '') END, chr(10) ORDER BY turn) || CASE WHEN max(n) > 2 THEN chr(10) || '[' || (max(n) - 2) || ' more pages]' ELSE '' END AS text, greatest(max(n) - 2, 0) AS dropped FROM n WHERE i <= 2 GROUP BY 1",
+)
+def _(t):
+    p = t.conversations.groupBy("conv_id", F.col("turn").alias("page")).agg(F.min("text").alias("text"))
+    return A.context_pages(p, ["conv_id"], 2, 100)
+
+
+@query(
+    "jn17_report_rows",
+    "WITH f AS (SELECT l_orderkey AS o, l_linestatus AS agent, l_returnflag AS rule, count(DISTINCT l_partkey) AS n, max(CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity > 20 THEN 1 ELSE 0 END) AS s FROM lineitem GROUP BY 1, 2, 3), a(agent) AS (VALUES ('F'), ('O')) "
+    "SELECT o_orderkey AS doc_id, a.agent, 'R' AS rule_id, CASE WHEN o_orderstatus = 'F' THEN 'non_compliant' ELSE 'compliant' END AS status, CAST(coalesce(n, 0) AS INTEGER) AS findings, CASE s WHEN 2 THEN 'critical' WHEN 1 THEN 'major' WHEN 0 THEN 'minor' END AS severity FROM orders, a LEFT JOIN f ON f.o = o_orderkey AND f.agent = a.agent AND f.rule = 'R' WHERE o_orderstatus <> 'P'",
+)
+def _(t):
+    q = F.col("l_quantity")
+    findings = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linestatus").alias("agent"), F.col("l_returnflag").alias("rule_id"), F.col("l_partkey").alias("finding_id"), F.when(q > 40, "critical").when(q > 20, "major").otherwise("minor").alias("severity"))
+    status = F.when(F.col("o_orderstatus") == "F", "non_compliant").when(F.col("o_orderstatus") == "P", "not_applicable").otherwise("compliant")
+    evaluations = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(F.lit("F"), F.lit("O"))).alias("agent"), F.lit("R").alias("rule_id"), status.alias("status"))
+    return A.report_rows(evaluations, findings, ["doc_id"]).select("doc_id", "agent", "rule_id", "status", F.size("finding_ids").alias("findings"), "severity")
+
+
+@query(
+    "agg27_acceptance",
+    "SELECT l_suppkey, array_to_string(list_filter([CASE WHEN q < 0 THEN 'A' END, CASE WHEN f > 0.1 THEN 'B' END, CASE WHEN p > 0 THEN 'C' END, CASE WHEN l > 150 THEN 'D' END], lambda x: x IS NOT NULL), '') AS gates, q >= 0 AND f <= 0.1 AND p <= 0 AND l <= 150 AS accepted, CASE WHEN q < 0 THEN 1 ELSE 0 END + CASE WHEN l > 150 THEN 1 ELSE 0 END AS reasons "
+    "FROM (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'A') - count(*) FILTER (WHERE l_returnflag = 'R') AS q, count(*) FILTER (WHERE l_tax > 0.07) / count(*) AS f, count(*) FILTER (WHERE l_quantity = 1 AND l_discount > 0.08) AS p, max(l_orderkey) % 300 AS l FROM lineitem GROUP BY 1)",
+)
+def _(t):
+    n = F.count_if
+    m = t.lineitem.groupBy("l_suppkey").agg(
+        (n(F.col("l_returnflag") == "A") - n(F.col("l_returnflag") == "R")).alias("q"), (n(F.col("l_tax") > 0.07) / F.count("*")).alias("f"), n((F.col("l_quantity") == 1) & (F.col("l_discount") > 0.08)).alias("p"), (F.max("l_orderkey") % 300).alias("l")
+    )
+    none = F.lit(None).cast("boolean")
+    a = A.acceptance({"quality_f1_delta": F.col("q"), "latency_ms_delta": F.col("l"), "cost_usd_delta": F.lit(None), "signature_false_negative_rate": F.col("f"), "placeholder_errors": F.col("p"), "deterministic": none, "parser_surfaced": none, "selection_surfaced": none})
+    return m.select("l_suppkey", F.array_join(a["gates"], "").alias("gates"), a["accepted"].alias("accepted"), F.size(A.gate_reasons(F.col("q"), F.col("l"), F.lit(None))).alias("reasons"))
+
+
+@query(
+    "agg27_pilot_accuracy",
+    "WITH w AS (SELECT DISTINCT l_orderkey AS s, l_linenumber AS f FROM lineitem WHERE l_orderkey % 3 = 0), v(variant) AS (VALUES ('base'), ('custom')), p AS (SELECT variant, s, f, CASE WHEN variant = 'base' THEN f % 2 = 0 ELSE f % 3 > 0 END AS ok FROM w, v WHERE NOT (variant = 'base' AND s % 2 = 0) QUALIFY bool_or(ok OR f <> 3) OVER (PARTITION BY variant, s)) SELECT variant, count(*) FILTER (WHERE ok) AS \"right\", count(*) AS total, round(count(*) FILTER (WHERE ok) / count(*), 4) AS accuracy FROM p GROUP BY 1",
+)
+def _(t):
+    w = t.lineitem.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("f")).distinct()
+    labels = w.withColumn("value", F.concat(F.lit("Value "), F.col("f").cast("string")))
+    said = w.withColumn("variant", F.explode(F.array(F.lit("base"), F.lit("custom")))).where("NOT (variant = 'base' AND s % 2 = 0)")
+    ok = F.when(F.col("variant") == "base", F.col("f") % 2 == 0).otherwise(F.col("f") % 3 > 0)
+    predictions = said.where(ok | (F.col("f") != 3)).withColumn("value", F.when(ok, F.concat(F.lit(" VALUE  "), F.col("f").cast("string"))).otherwise("wrong"))
+    return A.accuracy(labels, predictions, ["s", "f"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions import text as X
 from ..operators import classify as C
 from ..operators import joins as J
 from ..operators import rules as R
@@ -196,15 +195,6 @@ def _(t):
     return J.orphans(t.customer.where("c_acctbal > 0"), _log(t), "c_custkey")
 
 
-@query(
-    "jn17_report_rows",
-    "SELECT c_custkey, count(o_orderkey) AS orders, coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END), 0)::BIGINT AS failed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
-)
-def _(t):
-    j = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return j.groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
-
-
 @query(
     "jn19_pages_of_findings",
     "SELECT page, list_sort(list(o_orderkey)) AS findings FROM (SELECT DISTINCT l_linenumber AS page, o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey ) GROUP BY 1",
@@ -371,15 +361,6 @@ def _(t):
     return C.hybrid(*_scores(t), "page_id").select("page_id", "role", "source")
 
 
-@query(
-    "cls4_canonical_role",
-    "SELECT c_nationkey, CASE WHEN count(*) = 1 THEN 'canonical' ELSE 'DUPLICATE_CANONICAL' END AS mark FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1",
-)
-def _(t):
-    c = t.customer.where("c_mktsegment = 'BUILDING'")
-    return c.groupBy("c_nationkey").agg(F.when(F.count("*") == 1, "canonical").otherwise("DUPLICATE_CANONICAL").alias("mark"))
-
-
 @query(
     "cls5_cardinality",
     "WITH r(role, cardinality) AS (VALUES ('BUILDING', 'exactly_one'), ('MACHINERY', 'at_least_one'), ('ABSENT', 'at_least_one'), ('HOUSEHOLD', 'zero_or_more')), c AS (SELECT p.c_nationkey, r.role, r.cardinality, count(d.c_custkey) AS n FROM (SELECT DISTINCT c_nationkey FROM customer) p CROSS JOIN r LEFT JOIN customer d ON d.c_nationkey = p.c_nationkey AND d.c_mktsegment = r.role GROUP BY 1, 2, 3) "
@@ -428,16 +409,6 @@ def _(t):
     return C.resolve_family(t.part, words, "p_partkey", "p_name", "generic").drop("reason")
 
 
-@query(
-    "cls11_template_family",
-    "SELECT p_partkey, coalesce((SELECT arg_min(family, o) FROM (VALUES ('a', 1, 'brass'), ('b', 2, 'steel'), ('c', 3, 'tin')) f(family, o, alias) WHERE contains(lower(p_type), alias)), 'generic') AS family FROM part",
-)
-def _(t):
-    x = F.lower("p_type")
-    family = F.coalesce(*[F.when(F.contains(x, F.lit(a)), f) for f, a in (("a", "brass"), ("b", "steel"), ("c", "tin"))], F.lit("generic"))
-    return t.part.select("p_partkey", family.alias("family"))
-
-
 @query("cls12_canary", "SELECT c_custkey, (('0x' || substr(sha1(c_name), 1, 8))::BIGINT % 100) < 20 AS canary FROM customer")
 def _(t):
     return t.customer.select("c_custkey", S.canary(F.col("c_name"), 20).alias("canary"))

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions import text as X
 from ..operators import sequences as W
 from .catalog import query
 
