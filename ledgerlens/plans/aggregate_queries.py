@@ -9,6 +9,7 @@ from ..functions import scoring as S
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import rules as R
+from ..operators import listings as L
 from .catalog import query
 from .rule_queries import line_findings
 
@@ -34,8 +35,9 @@ def _(t):
     "SELECT o_custkey, list(k ORDER BY k) AS evidence FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) GROUP BY 1",
 )
 def _(t):
-    first = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
-    return first.groupBy("o_custkey").agg(F.array_sort(F.collect_list("k")).alias("evidence"))
+    evidence = t.orders.select("o_custkey", F.col("o_orderkey").alias("finding"), F.lit(0).alias("ordinal"), "o_orderpriority")
+    given = L.first_unseen_regions(evidence, ["o_custkey"], ["o_orderpriority"])
+    return given.groupBy("o_custkey").agg(F.array_sort(F.collect_list("finding")).alias("evidence"))
 
 
 @query(
@@ -103,9 +105,8 @@ for _mode, _keys in (("per_agent", "agent, rule_id, description"), ("cross_agent
 
 @query("agg10_agent_totals", f"WITH {_F9} SELECT s_suppkey, count(agent) AS n FROM supplier LEFT JOIN f ON agent = 'a' || s_suppkey GROUP BY 1")
 def _(t):
-    n = _merged(t).groupBy("agent").agg(F.count("*").alias("n"))
-    j = t.supplier.join(n, F.concat(F.lit("a"), "s_suppkey") == F.col("agent"), "left")
-    return j.select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n"))
+    agents = t.supplier.select("s_suppkey", F.concat(F.lit("a"), "s_suppkey").alias("agent"))
+    return L.resynced(agents, _merged(t)).select("s_suppkey", F.col("total_findings").alias("n"))
 
 
 @query("agg11_overall_score", _EV + ", s AS (SELECT l_suppkey, count(*) AS rules, CASE WHEN count(*) FILTER (WHERE status <> 'error') = 0 THEN 100.0 ELSE 100.0 * count(*) FILTER (WHERE status = 'compliant') / count(*) FILTER (WHERE status <> 'error') END AS score FROM e GROUP BY 1) SELECT round(sum(score * rules) / sum(rules), 4)::DOUBLE AS score FROM s")
@@ -134,8 +135,7 @@ def _(t):
 
 @query("agg14_hitl_summary", f"SELECT l_suppkey, count(*) FILTER (WHERE h = 'needs_review') AS needs_review, count(*) FILTER (WHERE h = 'user_rejected') AS user_rejected, count(*) FILTER (WHERE h = 'auto_approved') AS auto_approved, count(*) FILTER (WHERE h IS NULL) AS unknown FROM (SELECT l_suppkey, {_HITL} AS h FROM lineitem) GROUP BY 1")
 def _(t):
-    h = t.lineitem.select("l_suppkey", F.coalesce(_hitl(), F.lit("unknown")).alias("h"))
-    return h.groupBy("l_suppkey").agg(*[F.count_if(F.col("h") == x).alias(x) for x in ("needs_review", "user_rejected", "auto_approved", "unknown")])
+    return L.status_counts(t.lineitem.select("l_suppkey", _hitl().alias("h")), ["l_suppkey"], "h", ["needs_review", "user_rejected", "auto_approved", "unknown"])
 
 
 @query(
@@ -226,7 +226,7 @@ def _(t):
 @query("agg25_merged_counters", "SELECT k, sum(v)::BIGINT AS n FROM (SELECT event_type AS k, event_id % 3 AS v FROM events UNION ALL SELECT 'total', 1 FROM events) GROUP BY 1")
 def _(t):
     counters = F.create_map(F.col("event_type"), F.col("event_id") % 3, F.lit("total"), F.lit(1).cast("long"))
-    return t.events.select(F.explode(counters).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("n"))
+    return L.merged_counters(t.events.select(counters.alias("c")), "c").withColumnRenamed("name", "k")
 
 
 _GP = """WITH g AS (SELECT doc_id, 'quality' AS field, CAST(quality AS VARCHAR) AS gold FROM labels UNION ALL SELECT doc_id, 'toxic', CASE WHEN toxic = 1 THEN '1' END FROM labels),
@@ -270,14 +270,14 @@ def _(t):
 
 @query("agg29_route_by_confidence", "SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'review' WHEN min(o_totalprice) / 100000 < 0.6 THEN 'review' ELSE 'auto' END AS route FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def _(t):
-    j = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg((F.min("o_totalprice") / 100000).alias("m"))
-    return j.select("c_custkey", F.when(F.col("m").isNull() | (F.col("m") < 0.6), "review").otherwise("auto").alias("route"))
+    scores = t.orders.select(F.col("o_custkey").alias("c_custkey"), (F.col("o_totalprice") / 100000).alias("score"))
+    return L.routed(t.customer.select("c_custkey"), scores, "c_custkey")
 
 
 @query("agg30_review_progress", "SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'view') AS reviewed, count(*) FILTER (WHERE event_type = 'view') AS remaining, count(*) FILTER (WHERE event_type = 'error') AS corrections FROM events GROUP BY 1")
 def _(t):
     e = F.col("event_type")
-    return t.events.groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(e != "view").alias("reviewed"), F.count_if(e == "view").alias("remaining"), F.count_if(e == "error").alias("corrections"))
+    return L.review_progress(t.events.select("user_id", F.when(e == "view", "pending").otherwise("done").alias("status"), (e == "error").alias("corrected")), ["user_id"])
 
 
 @query(
@@ -292,8 +292,9 @@ def _(t):
 
 @query("agg32_document_state", "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'locked' WHEN bool_or(event_type = 'purchase') THEN 'decided' WHEN bool_or(event_type = 'signup') THEN 'processed' ELSE 'uploaded' END AS state FROM events GROUP BY 1")
 def _(t):
-    has = lambda x: F.bool_or(F.col("event_type") == x)
-    return t.events.groupBy("user_id").agg(F.when(has("error"), "locked").when(has("purchase"), "decided").when(has("signup"), "processed").otherwise("uploaded").alias("state"))
+    e = F.col("event_type")
+    mark = F.when(e == "error", "locked").when(e == "purchase", "decided").when(e == "signup", "processed")
+    return L.document_states(t.events.select("user_id", mark.alias("mark")), "user_id")
 
 
 @query("agg33_histogram", "SELECT event_type, CASE WHEN value <= 10 THEN '10.0' WHEN value <= 50 THEN '50.0' WHEN value <= 90 THEN '90.0' ELSE '+Inf' END AS le, count(*) AS n FROM events GROUP BY 1, 2")
@@ -311,12 +312,12 @@ def _(t):
 @query("agg35_progress", "SELECT o_orderpriority, round(avg(CASE o_orderstatus WHEN 'F' THEN 100.0 WHEN 'P' THEN 50 ELSE 0 END), 6)::DOUBLE AS percent, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1")
 def _(t):
     p = F.when(F.col("o_orderstatus") == "F", 100.0).when(F.col("o_orderstatus") == "P", 50.0).otherwise(0.0)
-    return t.orders.groupBy("o_orderpriority").agg(F.round(F.avg(p), 6).alias("percent"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    return L.progress(t.orders.select("o_orderpriority", p.alias("percent")), ["o_orderpriority"])
 
 
 @query("agg36_used_checks", "SELECT l_returnflag, list_sort(list(DISTINCT l_linenumber)) AS checks FROM lineitem GROUP BY 1")
 def _(t):
-    return t.lineitem.groupBy("l_returnflag").agg(F.array_sort(F.collect_set("l_linenumber")).alias("checks"))
+    return L.used_checks(t.lineitem, ["l_returnflag"], "l_linenumber")
 
 
 @query(
@@ -331,5 +332,14 @@ def _(t):
 
 @query("dsl9_rule_batches", "SELECT p_partkey, p_brand, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 15 AS BIGINT) AS batch FROM part")
 def _(t):
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return t.part.select("p_partkey", "p_brand", F.floor((n - 1) / 15).alias("batch"))
+    return L.batches(t.part.select("p_partkey", "p_brand"), "p_brand", "p_partkey")
+
+
+@query(
+    "agg6_review_summary",
+    "WITH o AS (SELECT o_custkey % 20 AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'superseded' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders) SELECT k, 'status' AS what, s AS value, count(*) AS n FROM o GROUP BY ALL UNION ALL SELECT k, 'severity', p, count(*) FROM o GROUP BY ALL",
+)
+def _(t):
+    newer = F.when(F.col("o_orderkey") % 7 == 0, F.lit("newer"))
+    findings = t.orders.select((F.col("o_custkey") % 20).alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("severity"), newer.alias("superseded_by"))
+    return L.recomputed_summary(findings, ["k"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import sequences as W
+from ..operators import listings as L
 from .catalog import query
 
 
@@ -235,27 +236,29 @@ def _(t):
 
 @query("top2_report_order", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey) AS INTEGER) AS place FROM orders QUALIFY place <= 100")
 def _(t):
-    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    top = t.orders.orderBy(rank, "o_orderpriority", "o_orderkey").limit(100)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(rank, "o_orderpriority", "o_orderkey")).alias("place"))
+    bucket = F.when(F.col("o_orderstatus") == "F", "action_required").when(F.col("o_orderstatus") == "P", "needs_attention").otherwise("compliant")
+    top = L.report_order(t.orders.select(bucket.alias("bucket"), F.col("o_orderpriority").alias("agent"), F.col("o_orderkey").alias("rule_id")), 100)
+    rank = F.array_position(F.array(*map(F.lit, L.BUCKETS)), F.col("bucket"))
+    held = top.agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "agent", "rule_id"))).alias("all"))
+    return held.select(F.posexplode("all").alias("n", "x")).select(F.col("x.rule_id").alias("o_orderkey"), (F.col("n") + 1).alias("place"))
 
 
 @query("top4_review_queue", "SELECT event_id, value FROM events WHERE event_type = 'error' ORDER BY value, event_id LIMIT 20")
 def _(t):
-    return t.events.where("event_type = 'error'").orderBy("value", "event_id").limit(20).select("event_id", "value")
+    items = t.events.select(F.col("event_id").alias("id"), F.col("value").alias("confidence"), F.when(F.col("event_type") == "error", "pending").otherwise("done").alias("status"))
+    return L.review_queue(items, 20).select(F.col("id").alias("event_id"), F.col("confidence").alias("value"))
 
 
 @query("top6_documents_page", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50")
 def _(t):
-    return t.orders.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(50).limit(25).select("o_orderkey")
+    return L.newest(t.orders, "o_orderdate", "o_orderkey", 25, 50).select("o_orderkey")
 
 
 @query("top7_mitigation", "SELECT conv_id, coalesce(arg_max(text, struct_pack(a := length(text), b := -turn)) FILTER (WHERE trim(text) <> '' AND role = 'assistant'), 'default') AS text FROM (SELECT conv_id, turn, role, min(text) AS text FROM conversations GROUP BY 1, 2, 3) GROUP BY 1")
 def _(t):
-    ok = (F.trim("text") != "") & (F.col("role") == "assistant")
     c = t.conversations.groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
-    best = F.max_by(F.when(ok, F.col("text")), F.when(ok, F.struct(F.length("text"), -F.col("turn"))))
-    return c.groupBy("conv_id").agg(F.coalesce(best, F.lit("default")).alias("text"))
+    said = c.select("conv_id", F.col("turn").alias("ordinal"), F.when(F.col("role") == "assistant", F.col("text")).alias("recommendation"))
+    return L.mitigation(said, ["conv_id"], "default")
 
 
 @query("top8_page_max", "SELECT l_orderkey, max(l_discount) AS top FROM lineitem GROUP BY 1")
@@ -275,10 +278,7 @@ def _(t):
     "WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) SELECT user_id, event_id, 'event' AS kind FROM n WHERE i <= 5 UNION ALL SELECT user_id, NULL, 'overflow' FROM n GROUP BY 1 HAVING count(*) > 5",
 )
 def _(t):
-    n = t.events.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"))
-    kept = n.where("i <= 5").select("user_id", "event_id", F.lit("event").alias("kind"))
-    over = n.groupBy("user_id").agg(F.max("i").alias("m")).where("m > 5").select("user_id", F.lit(None).cast("long").alias("event_id"), F.lit("overflow").alias("kind"))
-    return kept.unionByName(over)
+    return L.capped(t.events, ["user_id"], "event_id", 5)
 
 
 @query("set1_union_findings", "SELECT o_orderkey AS id, 'order' AS kind, o_orderstatus AS status FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT c_custkey, 'customer', NULL FROM customer WHERE c_acctbal < 0")
@@ -301,8 +301,8 @@ def _(t):
 
 @query("set4_unused_checks", "SELECT p_type FROM part EXCEPT SELECT p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08")
 def _(t):
-    used = t.part.join(t.lineitem.where("l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("p_type")
-    return t.part.select("p_type").subtract(used)
+    used = t.part.join(t.lineitem.where("l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    return L.unused_checks(t.part, used, "p_type")
 
 
 @query(
@@ -327,7 +327,7 @@ def _(t):
 
 @query("set7_last_wins", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
+    return L.reduced_state(t.events, ["user_id"], "event_id", "event_type")
 
 
 @query(
