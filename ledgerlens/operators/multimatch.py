@@ -55,12 +55,12 @@ def words_found(text: Column, words: list[tuple[str, str]]) -> Column:
 
 
 def literals(glob: str) -> list[str]:
-    """The runs of plain characters that whatever a glob matches must hold; classes such as [abc] are no such run."""
-    return [x for x in re.split(r"[*?]|\[.+?\]", glob) if x]
+    """The runs of plain characters that whatever a glob matches must hold; brackets are plain characters."""
+    return [x for x in re.split(r"[*?]", glob) if x]
 
 
 def globs_found(name: Column, globs: list[tuple[str, str]]) -> Column:
-    """CLS-1: the (name, glob) pairs whose glob matches all of a file name, case aside, in order; globs: (name, glob).
+    """CLS-1: the (name, glob) pairs whose glob (of * and ?) matches all of a file name, case aside, in order; globs: (name, glob).
 
     The automaton holds each glob's longest literal; only globs whose literal occurs are tried, and those without any.
     """
@@ -70,7 +70,7 @@ def globs_found(name: Column, globs: list[tuple[str, str]]) -> Column:
         longest = [max(literals(g), key=len, default="") for g in low]
         a = automaton((x, i) for i, x in enumerate(longest) if x)
         always = {i for i, x in enumerate(longest) if not x}
-        tests = [re.compile(fnmatch.translate(g)) for g in low]
+        tests = [re.compile(fnmatch.translate(g.replace("[", "[[]"))) for g in low]
         for names in parts:
             out = []
             for n in names:
