@@ -8,13 +8,14 @@ folded over its text in one pass, so nothing is shuffled, and marked cells are l
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .edits import EDITS, spliced
+from .edits import splice
 
 MARKER = "[Signature]"
 #: Characters of text beside dates up to which a cell may be a signature.
@@ -195,8 +196,25 @@ def judged_cells(pages: DataFrame, patterns: list[str], aggressive: bool = True)
     return df.withColumn("cells", F.transform("cells", judged)).withColumn("cells", F.transform("cells", marked)).drop("__layer")
 
 
-def _has(name: str) -> Callable[[Column], Column]:
-    return lambda c: c["outcome"] == name
+_JUDGED = "array<struct<start:int,end:int,text:string,outcome:string>>"
+_APPLIED = "enriched string, outcomes array<struct<name:string,n:int>>"
+
+
+def _applied(text: Column, cells: Column) -> Column:
+    """struct(enriched, outcomes) of a text and its judged cells: its edits folded over it, and the cells' outcomes counted.
+
+    Both come from one look at the cells, which would else be judged anew for each count.
+    """
+
+    def each(texts: pd.Series, all_cells: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, cs in zip(texts, all_cells, strict=True):
+            cs = [] if cs is None else list(cs)
+            n = Counter(c["outcome"] for c in cs)
+            out.append((splice(t, [c for c in cs if c["text"] is not None]), [{"name": k, "n": v} for k, v in n.items()]))
+        return pd.DataFrame(out, columns=["enriched", "outcomes"])
+
+    return F.pandas_udf(each, _APPLIED)(text, cells.cast(_JUDGED))
 
 
 def enriched(pages: DataFrame, patterns: list[str], aggressive: bool = True, enabled: bool = True) -> DataFrame:
@@ -208,17 +226,20 @@ def enriched(pages: DataFrame, patterns: list[str], aggressive: bool = True, ena
     """
     before = {"L0": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_BLOCK)), "L1": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_MARKED))}
     df = judged_cells(pages, patterns if enabled else [], aggressive)
-    edits = F.transform(F.filter("cells", lambda c: c["new"] != c["text"]), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["new"].alias("text")))
-    names = [n for n in CONFIDENCE if n not in before]
-
-    def count(test) -> Column:
-        return F.size(F.filter("cells", test))
-
-    cleaned = count(lambda c: (c["outcome"] == "marked") & c["had"])
-    each = {n: count(_has(n)) for n in [*names, "verdict", "long"]}
-    each["L_IMG_PLACEHOLDER"] = each["L_IMG_PLACEHOLDER"] + cleaned
-    each["marked"] = count(lambda c: (c["outcome"] == "marked") & ~c["had"])
-    counts = F.create_map(*[x for n, v in (before | each).items() for x in (F.lit(n), v)])
-    injected = count(lambda c: c["outcome"].isin(*names))
-    out = df.select(*[c for c in df.columns if c != "cells"], spliced(F.col("text"), edits.cast(EDITS)).alias("enriched"), counts.alias("counts"), injected.alias("injected"))
-    return out
+    # A marked cell from which a placeholder goes is "cleaned".
+    judged = F.transform(
+        "cells",
+        lambda c: F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), F.when(c["new"] != c["text"], c["new"]).alias("text"),
+            F.when((c["outcome"] == "marked") & c["had"], "cleaned").otherwise(c["outcome"]).alias("outcome"),
+        ),
+    )
+    df = df.withColumn("__x", _applied(F.col("text"), judged)).drop("cells")
+    found = F.map_from_entries(F.col("__x.outcomes"))
+    n = lambda name: F.coalesce(F.try_element_at(found, F.lit(name)), F.lit(0))
+    names = [k for k in CONFIDENCE if k not in before]
+    each = {k: n(k) for k in [*names, "verdict", "long", "marked"]}
+    injected = sum((each[k] for k in names), F.lit(0))
+    each["L_IMG_PLACEHOLDER"] = each["L_IMG_PLACEHOLDER"] + n("cleaned")
+    counts = F.create_map(*[x for k, v in (before | each).items() for x in (F.lit(k), v)])
+    return df.select(*[c for c in df.columns if c != "__x"], F.col("__x.enriched").alias("enriched"), counts.alias("counts"), injected.alias("injected"))
