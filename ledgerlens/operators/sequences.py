@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,30 +127,31 @@ def split_by_unit(sections: DataFrame, units: DataFrame, keys: list[str]) -> Dat
 def unique_ids(sections: DataFrame, keys: list[str], name: str = "section_id") -> DataFrame:
     """WIN-9: `unique_id`: the n-th bearer of an id gets _n, the next free number where that id is taken.
 
-    A sequential choice: one group of `keys` (a document's sections) at a time in pandas.
+    A sequential choice, as a first bearer may find its own id given away. The rows of a partition come sorted by
+    `keys`, ordinal and id, and one pass names them group after group (a document's sections): a batch and the ids of
+    one group are all that it holds. All columns come back.
     """
-    import pandas as pd
-
-    kinds = dict(sections.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "ordinal", name]) + ", unique_id string"
-
-    def name_all(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("ordinal")
-        seen: set[str] = set()
-        counts: dict[str, int] = {}
-        out = []
-        for x in df[name]:
-            counts[x] = n = counts.get(x, 0) + 1
-            new = x if n == 1 else f"{x}_{n}"
-            while new in seen:
-                n += 1
-                new = f"{x}_{n}"
-            counts[x] = n
-            seen.add(new)
-            out.append(new)
-        return df.assign(unique_id=out)
-
-    return sections.select(*keys, "ordinal", name).groupBy(*keys).applyInPandas(name_all, schema)
+    import pyarrow as pa
+
+    def name_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, counts = None, set(), {}
+        for b in batches:
+            out = []
+            for key, x in zip(zip(*[b.column(k).to_pylist() for k in keys], strict=True), b.column(name).to_pylist(), strict=True):
+                if key != at:
+                    at, seen, counts = key, set(), {}
+                n = counts.get(x, 0) + 1
+                new = x if n == 1 else f"{x}_{n}"
+                while new in seen:
+                    n += 1
+                    new = f"{x}_{n}"
+                counts[x] = n
+                seen.add(new)
+                out.append(new)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "unique_id"])
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in sections.dtypes) + ", unique_id string"
+    return sections.repartition(*keys).sortWithinPartitions(*keys, "ordinal", name).mapInArrow(name_all, schema)
 
 
 def pick_candidates(candidates: DataFrame, keys: list[str], least: float = 0.6) -> DataFrame:
