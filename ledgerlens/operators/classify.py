@@ -77,11 +77,15 @@ def page_type(text: Column, page: Column, cover: list[str], index: list[str], fo
 
 
 def route_strategy(pages: DataFrame, doc: str, families: list[str]) -> DataFrame:
-    """CLS-9: the family with the largest sum of pages * max(.1, confidence); equal ones by declared order."""
+    """CLS-9: the family with the largest sum of pages * max(.1, confidence); equal ones by declared order.
+
+    The addends have three decimals and are added up as such, so that equal sums are equal whatever they are made of.
+    """
     place = F.array_position(F.array(*map(F.lit, families)), F.col("family"))
-    s = pages.groupBy(doc, "family").agg(F.sum(F.round(F.col("pages") * F.greatest(F.lit(0.1), F.col("confidence")), 3)).alias("score"))
+    part = F.round(F.col("pages") * F.greatest(F.lit(0.1), F.col("confidence")), 3)
+    s = pages.groupBy(doc, "family").agg(F.sum(part.try_cast("decimal(20,3)")).alias("score"))
     w = Window.partitionBy(doc).orderBy(F.desc("score"), place)
-    return s.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return s.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n").withColumn("score", F.col("score").cast("double"))
 
 
 def resolve_family(docs: DataFrame, words: DataFrame, doc: str, text: str, fallback: str | None = None) -> DataFrame:
