@@ -45,7 +45,9 @@ for _kind, _tol, _hold in (("absolute", 100.0, "abs(s - t) <= 100"), ("percent",
     )
     def _(t, kind=_kind, tol=_tol):
         j = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-        return j.select("l_orderkey", "l_linenumber", S.compare_numeric(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2), F.col("p_retailprice"), kind, tol).alias("status"))
+        # To cents as SQL rounds doubles: the product is rounded, not the shortest decimal that reads as the double.
+        cents = F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100
+        return j.select("l_orderkey", "l_linenumber", S.compare_numeric(cents, F.col("p_retailprice"), kind, tol).alias("status"))
 
 
 for _mult in ("first", "all", "error"):
