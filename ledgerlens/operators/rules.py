@@ -78,17 +78,20 @@ def affected(rules: DataFrame, field: str, alias_fields: list[str]) -> DataFrame
 
 
 def field_overlay(fields: DataFrame, corrections: DataFrame, page_keys: list[str]) -> DataFrame:
-    """RUL-9: the first field of a name on a page takes the corrected value; corrections of absent fields are added."""
+    """RUL-9: the first field of a name on a page takes the corrected value; corrections of absent fields are added.
+
+    Further columns of the fields stay with their rows, and are null in what is added."""
     from pyspark.sql import Window
 
     first = F.row_number().over(Window.partitionBy(*page_keys, "field").orderBy("field_ordinal")) == 1
     c = corrections.select(*page_keys, "field", F.col("value").alias("__new"))
     done = fields.withColumn("__first", first).join(c, [*page_keys, "field"], "left")
-    kept = done.select(*page_keys, "field", "field_ordinal", F.when(F.col("__first") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("value")).alias("value"))
+    more = [c for c in fields.columns if c not in {*page_keys, "field", "field_ordinal", "value"}]
+    kept = done.select(*page_keys, "field", "field_ordinal", F.when(F.col("__first") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("value")).alias("value"), *more)
     new = c.join(fields.select(*page_keys, "field").distinct(), [*page_keys, "field"], "left_anti")
     top = fields.groupBy(*page_keys).agg(F.max("field_ordinal").alias("__top"))
     add = new.join(top, page_keys, "left").select(*page_keys, "field", (F.coalesce("__top", F.lit(-1)) + 1).cast("int").alias("field_ordinal"), F.col("__new").alias("value"))
-    return kept.unionByName(add)
+    return kept.unionByName(add, allowMissingColumns=True)
 
 
 def supersede(old: DataFrame, new: DataFrame) -> DataFrame:
