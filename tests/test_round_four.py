@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+
 from ledgerlens import plans
-from ledgerlens.operators import sequences
+from ledgerlens.operators import agents, sequences
+from ledgerlens.operators import sections as S
 
 
 def plan(df):
@@ -51,3 +54,58 @@ def test_equal_sums_go_by_declared_order(spark, tmp_path):
     orders = spark.createDataFrame(rows, "o_custkey long, o_orderstatus string").repartition(3)
     got, want = against_sql(spark, tmp_path, "cls9_route_strategy", orders=orders)
     assert got == want and got[0] == "(1, 'O')"
+
+
+def test_fields_that_agree_in_all_keys_are_reevaluated_once(spark, tmp_path):
+    # Two lines of one order, page and part: what they add up to must not double when the order is corrected.
+    lines = [(1, 7, 1, 40.0, "R"), (1, 7, 1, 40.0, "R"), (2, 7, 1, 40.0, "R"), (2, 8, 2, 40.0, "R"), (3, 7, 3, 1.0, "N")]
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string")
+    orders = spark.createDataFrame([(1, "F"), (2, "F"), (3, "O")], "o_orderkey long, o_orderstatus string")
+    got, want = against_sql(spark, tmp_path, "rul10_reevaluated", lineitem=lineitem, orders=orders)
+    assert got == want and len(got) > 3
+
+
+@pytest.mark.parametrize("kind", ["percent", "absolute", "relative", "exact"])
+def test_unit_prices_are_rounded_as_sql_does(spark, tmp_path, kind):
+    # 6950.04 / 24 reads 289.585 and rounds to 289.58 in SQL; 70016.45 / 10 reads 7001.6449999999995 and gives 7001.65.
+    s = {1: (6950.04, 24.0), 2: (70016.45, 10.0)}
+    t = {1: [321.76, 289.58, 289.59, 389.59, 389.58, 361.98], 2: [7001.64, 7001.65, 7101.65, 6901.64, 5834.71, 6365.13]}
+    pairs = [(k, x) for k, xs in t.items() for x in xs]
+    lineitem = spark.createDataFrame([(i, 1, i, *s[k]) for i, (k, _) in enumerate(pairs)], "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double")
+    part = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(pairs)], "p_partkey long, p_retailprice double")
+    got, want = against_sql(spark, tmp_path, f"fn20_compare_{kind}", lineitem=lineitem, part=part)
+    assert got == want
+
+
+def test_chunks_are_cut_before_the_rules_meet_them(spark):
+    pages = spark.range(100).selectExpr("id % 3 AS doc_id", "id AS page", "if(id % 2 = 0, 'F', 'O') AS document_type", "'R' AS section_type").distinct()
+    rules = spark.createDataFrame([("x", ["F", "O"], []), ("y", ["O"], ["R"])], "rule_id string, document_types array<string>, section_types array<string>")
+    text = plan(agents.rule_chunks(pages, rules, 4))
+    assert "rule_id" not in next(line for line in text.splitlines() if "windowspecdefinition" in line)
+
+
+def test_gaps_between_ranges_are_those_between_their_pages(spark):
+    rng = random.Random(5)
+    ranges = [(d, a, a + rng.randrange(-2, 9)) for d in range(200) for a in rng.choices(range(-5, 40), k=rng.randrange(6))]
+    totals = [(d, rng.randrange(-1, 35)) for d in range(210)] + [(d, rng.randrange(35)) for d in range(20)]
+    r, t = spark.createDataFrame(ranges, "d int, start_page int, end_page int"), spark.createDataFrame(totals, "d int, total int")
+    pages = r.where("start_page <= end_page").selectExpr("d", "explode(sequence(start_page, end_page)) AS page")
+    got = sequences.uncovered(r, t, ["d"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sequences.missing_pages(pages, t, ["d"]).collect()))
+    assert got.dtypes == sequences.missing_pages(pages, t, ["d"]).dtypes
+    assert "explode" not in plan(got).lower()
+
+
+def test_pages_meet_sections_without_being_shuffled(spark):
+    sections = spark.createDataFrame([(1, 1, 2, 4, "a"), (1, 2, 4, 6, "b"), (2, 1, 1, 1, None), (3, 1, 5, 4, "c"), (None, 1, 1, 9, "d")], "doc_id long, ordinal int, start_page int, end_page int, section_id string")
+    docs = spark.createDataFrame([(1,), (2,), (3,), (None,)], "doc_id long").repartition("doc_id")
+    pages = docs.selectExpr("doc_id", "explode(sequence(1, 6)) AS page")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = S.pages_with_sections(pages, sections, ["section_id"])
+        got = {(r.doc_id, r.page): r.section_id for r in df.collect()}
+        assert plan(df).split("== Physical Plan ==")[1].count("Exchange hashpartitioning") <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(1, 2): "a", (1, 3): "a", (1, 4): "b", (1, 5): "b", (1, 6): "b"}
+    assert got == {(d, p): want.get((d, p)) for d in (1, 2, 3, None) for p in range(1, 7)}
