@@ -175,8 +175,7 @@ def issues(sections: DataFrame, profiles: Profiles, totals: DataFrame, evidence:
     nothing = F.lit(None)
     out = _issue(overlaps(s), "overlap", F.array("first", "second"), F.col("start_page"), F.col("end_page"), nothing)
 
-    covered = s.where("start_page <= end_page").select("doc_id", F.explode(F.sequence("start_page", "end_page")).alias("page")).distinct()
-    gaps = Q.missing_pages(covered, totals, ["doc_id"])
+    gaps = Q.uncovered(s, totals, ["doc_id"])
     around = Q.gap_neighbours(gaps, s.select("doc_id", F.to_json(F.struct("section_id", "section_type")).alias("section_id"), "start_page", "end_page"), ["doc_id"])
     side = lambda c: F.from_json(c, "section_id string, section_type string")
     around = around.withColumns({"b": side("before"), "a": side("after")})
@@ -209,8 +208,7 @@ def issues(sections: DataFrame, profiles: Profiles, totals: DataFrame, evidence:
 # ---------------------------------------------------------------- the chain
 def gaps_filled(sections: DataFrame, totals: DataFrame) -> DataFrame:
     """Sections, and one of type "unknown" for each run of pages of 1 to total that none has."""
-    covered = sections.where("start_page <= end_page").select("doc_id", F.explode(F.sequence("start_page", "end_page")).alias("page")).distinct()
-    runs = Q.missing_pages(covered, totals, ["doc_id"])
+    runs = Q.uncovered(sections, totals, ["doc_id"])
     span = lambda sep: F.concat(F.col("start_page").cast("string"), F.lit(sep), F.col("end_page").cast("string"))
     new = runs.select(
         "doc_id", (F.lit(1_000_000) + F.col("start_page")).cast(sections.schema["ordinal"].dataType).alias("ordinal"), F.concat(F.lit("unknown_pages_"), span("_")).alias("section_id"),
@@ -226,8 +224,7 @@ def disjoint(sections: DataFrame, totals: DataFrame) -> DataFrame:
 
 def unique_sections(sections: DataFrame) -> DataFrame:
     """WIN-9: the n-th bearer of an id in a document gets _n."""
-    new = Q.unique_ids(sections, ["doc_id"]).select("doc_id", "ordinal", "unique_id")
-    return sections.join(new, ["doc_id", "ordinal"]).withColumn("section_id", F.col("unique_id")).select(*COLUMNS)
+    return Q.unique_ids(sections.select(*COLUMNS), ["doc_id"]).withColumn("section_id", F.col("unique_id")).select(*COLUMNS)
 
 
 def mended(sections: DataFrame, totals: DataFrame, profiles: Profiles, hints: list[str], hinted: str, enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -39,6 +39,21 @@ def missing_pages(pages: DataFrame, totals: DataFrame, keys: list[str]) -> DataF
     return islands(every.join(pages.select(*keys, "page").distinct(), [*keys, "page"], "left_anti"), keys)
 
 
+def uncovered(ranges: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """WIN-5: missing_pages() of pages given as ranges (keys, start_page, end_page), which aren't unfolded: by start, a run
+    of pages begins after all ranges before it end. totals: keys, total; of several the largest counts."""
+    kind = totals.schema["total"].dataType
+    none = F.lit(None).cast(kind)
+    ends = totals.where("total >= 1").groupBy(*keys).agg(F.max("total").alias("__total")).select(*keys, (F.col("__total") + 1).alias("__at"), none.alias("__to"), "__total")
+    held = ranges.where("start_page <= end_page").select(*keys, F.col("start_page").alias("__at"), F.col("end_page").alias("__to"), none.alias("__total"))
+    w = Window.partitionBy(*keys)
+    before = w.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest(F.coalesce(F.max("__to").over(before), F.lit(0)) + 1, F.lit(1))
+    runs = ends.unionByName(held).withColumns({"start_page": start.cast(kind), "end_page": (F.col("__at") - 1).cast(kind), "__most": F.max("__total").over(w)})
+    # What begins beyond the total ends no run; the total itself does.
+    return runs.where((F.col("start_page") <= F.col("end_page")) & (F.col("__total").isNotNull() | (F.col("__at") <= F.col("__most")))).select(*keys, "start_page", "end_page")
+
+
 def format_pages(pages: DataFrame, keys: list[str], min_run: int = 3) -> DataFrame:
     """WIN-6: positive pages as text, runs of min_run and more as "a to b"."""
     runs = islands(pages.where("page > 0"), keys)
