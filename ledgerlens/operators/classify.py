@@ -16,12 +16,14 @@ def glob_regex(glob: Column) -> Column:
 
 def filename_scores(docs: DataFrame, globs: DataFrame, name: str, doc: str = "doc_id") -> DataFrame:
     """CLS-1: doc, role and score 1.0 for each role one of whose globs matches. globs: role, glob, a manifest's few."""
+    M.small_batches(docs)
     found = M.globs_found(F.col(name), [tuple(r) for r in M.manifest(globs, "role", "glob")])
     return docs.select(doc, F.explode(found).alias("x")).groupBy(doc, F.col("x.name").alias("role")).agg(F.lit(1.0).alias("score"))
 
 
 def header_scores(docs: DataFrame, words: DataFrame, text: str, doc: str = "doc_id", enough: int = 3) -> DataFrame:
     """CLS-2: doc, role and hits over `enough`, at most 1; roles without hits left out. words: role, word."""
+    M.small_batches(docs)
     found = M.words_found(F.col(text), [tuple(r) for r in M.manifest(words, "role", "word")])
     return docs.select(doc, F.explode(found).alias("x")).groupBy(doc, F.col("x.name").alias("role")).agg(F.least(F.lit(1.0), F.count_distinct("x.pattern") / enough).alias("score"))
 

@@ -17,6 +17,16 @@ MOST = 200_000
 HITS = "array<struct<name:string,pattern:string>>"
 
 
+def small_batches(docs: DataFrame) -> None:
+    """Keeps what a Python worker holds of its input to a few megabytes, whatever the length of texts: sets the session's
+    Arrow batch limits where it has none of its own."""
+    conf = docs.sparkSession.conf
+    for name, few in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", "4m")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if conf.get(name, None) is None:
+            conf.set(name, few)
+
+
 def manifest(patterns: DataFrame, *columns: str) -> list[Row]:
     """The rows of a table that a person has written, on the driver, in order; a ValueError if it is none."""
     rows = patterns.select(*columns).limit(MOST + 1).collect()

@@ -109,3 +109,15 @@ def test_pages_meet_sections_without_being_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = {(1, 2): "a", (1, 3): "a", (1, 4): "b", (1, 5): "b", (1, 6): "b"}
     assert got == {(d, p): want.get((d, p)) for d in (1, 2, 3, None) for p in range(1, 7)}
+
+
+def test_header_scores_hold_few_texts_at_once(spark):
+    from ledgerlens.operators import classify
+
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    for n in names:
+        spark.conf.unset(n)
+    docs = spark.createDataFrame([(1, "the THE and"), (2, None)], "doc_id int, html string")
+    words = spark.createDataFrame([("post", "the "), ("post", "and")], "role string, word string")
+    assert [(r.doc_id, r.role, round(r.score, 6)) for r in classify.header_scores(docs, words, "html").collect()] == [(1, "post", 0.666667)]
+    assert [spark.conf.get(n) for n in names] == ["1000", "4m"]
