@@ -118,12 +118,17 @@ def section_candidates(lines: DataFrame, sections: list[Section]) -> DataFrame:
 def pages_with_sections(pages: DataFrame, sections: DataFrame, columns: list[str]) -> DataFrame:
     """JN-6: pages with the columns of the section that covers them; of several, the last by ordinal; null where none does.
 
-    sections: doc_id, ordinal, start_page, end_page and the columns."""
-    covers = sections.where("start_page <= end_page").select(
-        F.col("doc_id").alias("__doc"), F.explode(F.sequence("start_page", "end_page")).alias("__page"), "ordinal", F.struct(*columns).alias("__of")
-    )
+    sections: doc_id, ordinal, start_page, end_page and the columns.
+
+    Documents go where their key says before their sections are unfolded to pages, and bring what covers their pages as
+    a map, so neither side's pages are shuffled if the caller's pages stand by document (repartition("doc_id") before
+    an explode(), say). A document's covered pages are one row.
+    """
+    by_doc = sections.where("start_page <= end_page").select(F.col("doc_id").alias("__doc"), "start_page", "end_page", "ordinal", F.struct(*columns).alias("__of")).repartition("__doc")
+    covers = by_doc.select("__doc", F.explode(F.sequence("start_page", "end_page").cast("array<bigint>")).alias("__page"), "ordinal", "__of")
     last = covers.groupBy("__doc", "__page").agg(F.max_by("__of", "ordinal").alias("__of"))
-    joined = pages.drop(*columns).join(last, (pages["doc_id"] == last["__doc"]) & (pages["page"] == last["__page"]), "left")
+    held = last.groupBy("__doc").agg(F.map_from_entries(F.collect_list(F.struct("__page", "__of"))).alias("__held"))
+    joined = pages.drop(*columns).join(held, pages["doc_id"] == held["__doc"], "left").withColumn("__of", F.try_element_at("__held", F.col("page").cast("long")))
     return joined.select(*[pages[c] for c in pages.columns if c not in columns], *[F.col("__of")[c].alias(c) for c in columns])
 
 

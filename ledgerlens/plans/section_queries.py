@@ -48,7 +48,7 @@ def _(t):
     "LEFT JOIN s ON s.d = p.d AND p.page BETWEEN s.a AND s.a + 5 GROUP BY 1, 2",
 )
 def _(t):
-    pages = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long"))).alias("page"))
+    pages = t.orders.select(F.col("o_orderkey").alias("doc_id")).repartition("doc_id").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long"))).alias("page"))
     start = F.col("l_quantity").cast("int")
     found = t.lineitem.select(
         F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey").alias("ordinal"), start.alias("start_page"), (start + 5).alias("end_page"), F.col("l_partkey").alias("section_id"), F.col("l_returnflag").alias("family")
