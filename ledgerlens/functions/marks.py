@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .signatures import MARKER, signature_header, table_cells
+from .signatures import MARKER, marked_cells, signature_header
 
 # Marks, and how sure each kind is.
 _BOX = r"(☑|☐|✓|✗|✘|\[x\]|\[X\]|\[ \])"
@@ -103,15 +103,15 @@ def signature_cells(pages: DataFrame, boxes: DataFrame, patterns: list[str], key
     pages: keys, text. boxes: keys, nth (from 0) and x1, y1, x2, y2 of the tables that OCR saw on a page, in order. The
     n-th table of the text that has a body stands in the n-th box; its header takes one row's height. Only cells of
     signature columns that hold the marker come back; empty boxes, and tables without a box, give none.
+
+    A text is looked at once, and pages meet the boxes that they show by their keys alone.
     """
-    cells = pages.where(F.contains(F.lower("text"), F.lit(MARKER.lower()))).select(*keys, F.explode(table_cells(F.col("text"))).alias("c")).select(*keys, "c.*")
-    body = F.col("header").isNotNull()
-    size = cells.groupBy(*keys, "table").agg(F.count_distinct(F.when(body, F.col("row"))).alias("rows"), F.count_if(F.col("header").isNull()).alias("columns"), F.collect_set(F.when(body, F.col("row"))).alias("body"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("table")) - 1
-    there = size.where("rows > 0").withColumn("nth", place)
-    marked = cells.where(body & signature_header(F.col("header"), patterns) & F.contains(F.lower("text"), F.lit(MARKER.lower())))
-    j = marked.join(there, [*keys, "table"]).join(boxes, [*keys, "nth"]).where("x1 < x2 AND y1 < y2")
-    nth = F.array_position(F.array_sort("body"), F.col("row"))
+    has_marker = F.contains(F.lower("text"), F.lit(MARKER.lower()))
+    cells = pages.where(has_marker).select(*keys, F.explode(marked_cells(F.col("text"))).alias("c")).select(*keys, "c.*")
+    marked = cells.where(signature_header(F.col("header"), patterns) & has_marker)
+    seen = boxes.where("x1 < x2 AND y1 < y2").groupBy(*keys).agg(F.collect_list(F.struct("nth", "x1", "y1", "x2", "y2")).alias("__boxes"))
+    own = F.filter("__boxes", lambda b: b["nth"] == F.col("place"))
+    j = marked.join(seen, keys).select(*keys, "table", "row", "column", "text", "rows", "columns", F.col("nth").alias("__nth"), F.explode(own).alias("b")).select("*", "b.*")
     w, h = (F.col("x2") - F.col("x1")) / F.greatest("columns", F.lit(1)), (F.col("y2") - F.col("y1")) / (F.col("rows") + 1)
-    left, top = F.col("x1") + w * F.col("column"), F.col("y1") + h * nth
+    left, top = F.col("x1") + w * F.col("column"), F.col("y1") + h * F.col("__nth")
     return j.select(*keys, "table", "row", "column", "text", left.alias("x1"), top.alias("y1"), (left + w).alias("x2"), (top + h).alias("y2"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,32 +66,38 @@ def _cells_of_row(line: str, offset: int) -> list[tuple[int, int]]:
     return [(offset + a, offset + b) for a, b in zip([begin, *(x + 1 for x in borders)], [*borders, end], strict=True)]
 
 
+def _tables(lines: list[str]) -> Iterator[tuple[int, list[int]]]:
+    """The first line and the lines but rules of each table: a run of (stripped) lines that begin with a border, one of them a rule."""
+    i = 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and lines[j].startswith("|"):
+            j += 1
+        rows = [k for k in range(i, j) if not _RULE.fullmatch(lines[k])]
+        if rows and len(rows) < j - i:
+            yield i, rows
+        i = max(j, i + 1)
+
+
 def cells_in(text: str | None) -> list[dict]:
     """FN-36: the cells of a text's tables: table, row (from the table's first line), column, start, end, header, text.
 
     A table is a run of lines that begin with a border, one of them a rule; its first other line is the header. The
     header's own cells have no header.
     """
-    lines, out, at, i, table = (text or "").split("\n"), [], 0, 0, 0
+    lines, out, at = (text or "").split("\n"), [], 0
     offsets = []
     for line in lines:
         offsets.append(at)
         at += len(line) + 1
-    while i < len(lines):
-        j = i
-        while j < len(lines) and lines[j].strip().startswith("|"):
-            j += 1
-        rows = [k for k in range(i, j) if not _RULE.fullmatch(lines[k].strip())]
-        if rows and len(rows) < j - i:
-            names = None
-            for k in rows:
-                spans = _cells_of_row(lines[k], offsets[k])
-                texts = [text[a:b] for a, b in spans]
-                for c, ((a, b), x) in enumerate(zip(spans, texts, strict=True)):
-                    out.append({"table": table, "row": k - i, "column": c, "start": a, "end": b, "header": names[c] if names and c < len(names) else None, "text": x})
-                names = names or texts
-            table += 1
-        i = max(j, i + 1)
+    for table, (first, rows) in enumerate(_tables([x.strip() for x in lines])):
+        names = None
+        for k in rows:
+            spans = _cells_of_row(lines[k], offsets[k])
+            texts = [text[a:b] for a, b in spans]
+            for c, ((a, b), x) in enumerate(zip(spans, texts, strict=True)):
+                out.append({"table": table, "row": k - first, "column": c, "start": a, "end": b, "header": names[c] if names and c < len(names) else None, "text": x})
+            names = names or texts
     return out
 
 
@@ -107,6 +113,50 @@ def table_cells(text: Column) -> Column:
     return F.pandas_udf(each, CELLS)(text)
 
 
+def _texts_of_row(body: str) -> list[str]:
+    """The texts of a stripped table line's cells."""
+    texts = _BORDER.split(body) if "\\" in body else body.split("|")
+    if len(texts) > 1 and not texts[0]:
+        texts = texts[1:]
+    if len(texts) > 1 and not texts[-1]:
+        texts = texts[:-1]
+    return texts
+
+
+def marked_in(text: str | None) -> list[dict]:
+    """FN-42: the body cells of a text that hold the marker, each with its place among its table's rows and tables.
+
+    nth is the cell's row among the table's rows (of `rows`, the header aside), `columns` the cells without a header,
+    and `place` the table among those that have a body. Only marked cells are built, as pages hold many others.
+    """
+    lines, out, place, marker = [x.strip() for x in (text or "").split("\n")], [], 0, MARKER.lower()
+    for table, (first, (head, *body)) in enumerate(_tables(lines)):
+        if not body:
+            continue
+        names, marked = _texts_of_row(lines[head]), []
+        columns = len(names)
+        for nth, k in enumerate(body, 1):
+            texts = _texts_of_row(lines[k])
+            columns += max(0, len(texts) - len(names))
+            if marker in lines[k].lower():
+                marked += [(nth, k - first, c, name, x) for c, (name, x) in enumerate(zip(names, texts, strict=False)) if marker in x.lower()]
+        out += [{"table": table, "row": row, "column": c, "header": name, "text": x, "nth": nth, "rows": len(body), "columns": columns, "place": place} for nth, row, c, name, x in marked]
+        place += 1
+    return out
+
+
+_MARKED_CELLS = "array<struct<table:int,row:int,column:int,header:string,text:string,nth:int,rows:long,columns:long,place:int>>"
+
+
+def marked_cells(text: Column) -> Column:
+    """FN-42: marked_in over a column, in Arrow batches; only marked cells leave Python."""
+
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(marked_in)
+
+    return F.pandas_udf(each, _MARKED_CELLS)(text)
+
+
 # ---------------------------------------------------------------- what a cell says
 def _folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -121,3 +121,21 @@ def test_header_scores_hold_few_texts_at_once(spark):
     words = spark.createDataFrame([("post", "the "), ("post", "and")], "role string, word string")
     assert [(r.doc_id, r.role, round(r.score, 6)) for r in classify.header_scores(docs, words, "html").collect()] == [(1, "post", 0.666667)]
     assert [spark.conf.get(n) for n in names] == ["1000", "4m"]
+
+
+def test_signature_cells_look_at_a_text_once(spark):
+    from ledgerlens.functions import marks, signatures
+
+    text = "| a | Done by | b |\n|---|---|---|\n| 1 | [Signature] | x | [Signature] |\n| \\| | [signature] |\n\n| Done by |\n|---|\n\n| Done\t BY |\n|---|\n| no |\n| [Signature] |\nend"
+    pages = spark.createDataFrame([(1, text), (2, text), (3, None), (None, text)], "page long, text string")
+    boxes = spark.createDataFrame([(1, 0, 0.0, 0.0, 40.0, 30.0), (1, 1, 0.0, 60.0, 10.0, 90.0), (2, 1, 5.0, 0.0, 5.0, 9.0), (None, 0, 0.0, 0.0, 1.0, 1.0)], "page long, nth int, x1 double, y1 double, x2 double, y2 double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = marks.signature_cells(pages, boxes, ["done by"], ["page"])
+        physical = plan(df).split("== Physical Plan ==")[1]
+        got = sorted((r.page, r.table, r.row, r.column, r.x1, r.y1, r.x2, r.y2) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(1, 0, 2, 1, 10.0, 10.0, 20.0, 20.0), (1, 0, 3, 1, 10.0, 20.0, 20.0, 30.0), (1, 2, 3, 0, 0.0, 80.0, 10.0, 90.0)]
+    assert physical.count("ArrowEvalPython") == 1 and physical.count("Exchange hashpartitioning") == 2
+    assert signatures.marked_in("| Done by |\n|---|\n| no |\n" * 2) == []
