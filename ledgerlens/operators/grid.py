@@ -2,6 +2,9 @@
 
 What covers a region is copied to the cells that it touches, and cells join by equality, so rows far apart never
 meet. A pair that shares several cells is reported in one of them only: the one where the overlap begins.
+
+The copies are always sorted and merged: Spark estimates them from the files that they are unfolded from, and would
+broadcast to each task what is many times larger.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], width:
     b = good.select("*", span("x1", "x2", width).alias("__i")).select("*", span("y1", "y2", height).alias("__j"))
     p = points.select("*", _cell(F.col("x"), width).alias("__i"), _cell(F.col("y"), height).alias("__j"))
     inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
-    return p.join(b, [*keys, "__i", "__j"]).where(inside).drop("__i", "__j")
+    return p.join(b.hint("merge"), [*keys, "__i", "__j"]).where(inside).drop("__i", "__j")
 
 
 def boxes_overlap(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -43,7 +46,7 @@ def boxes_overlap(a: DataFrame, b: DataFrame, keys: list[str], width: float) ->
             out = out.select("*", F.explode(F.sequence(_cell(F.col(lo), width), _cell(F.col(hi), width))).alias(at))
         return out.withColumnsRenamed({c: f"{name}_{c}" for c in side})
 
-    met = cells(a, "a").join(cells(b, "b"), [*keys, "__i", "__j"])
+    met = cells(a, "a").join(cells(b, "b").hint("merge"), [*keys, "__i", "__j"])
     left, low = F.greatest("a_x1", "b_x1"), F.greatest("a_y1", "b_y1")
     own = (left <= F.least("a_x2", "b_x2")) & (low <= F.least("a_y2", "b_y2")) & (_cell(left, width) == F.col("__i")) & (_cell(low, width) == F.col("__j"))
     return met.where(own).drop("__i", "__j")
@@ -58,4 +61,4 @@ def interval_overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: int =
 
     begin = F.greatest("a_start", "b_start")
     own = (begin < F.least("a_end", "b_end")) & (_cell(begin, width) == F.col("__i"))
-    return cells(a, "a").join(cells(b, "b"), [*keys, "__i"]).where(own).drop("__i")
+    return cells(a, "a").join(cells(b, "b").hint("merge"), [*keys, "__i"]).where(own).drop("__i")

@@ -139,3 +139,15 @@ def test_signature_cells_look_at_a_text_once(spark):
     assert got == [(1, 0, 2, 1, 10.0, 10.0, 20.0, 20.0), (1, 0, 3, 1, 10.0, 20.0, 20.0, 30.0), (1, 2, 3, 0, 0.0, 80.0, 10.0, 90.0)]
     assert physical.count("ArrowEvalPython") == 1 and physical.count("Exchange hashpartitioning") == 2
     assert signatures.marked_in("| Done by |\n|---|\n| no |\n" * 2) == []
+
+
+def test_copies_in_cells_are_never_broadcast(spark):
+    from ledgerlens.operators import grid
+
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 25.0, 25.0), (2, 0.0, 0.0, 5.0, 5.0), (1, 9.0, 9.0, 8.0, 8.0)], "k int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 25.0, 0.0), (1, 12.0, 13.0), (2, 6.0, 1.0), (None, 1.0, 1.0)], "k int, x double, y double")
+    spans = spark.createDataFrame([(1, 0, 9000), (1, 5000, 5001)], "k int, start int, end int")
+    met = grid.points_in_boxes(points, boxes, ["k"], 10.0), grid.boxes_overlap(boxes, boxes, ["k"], 10.0), grid.interval_overlaps(spans, spans, ["k"])
+    assert all("Broadcast" not in plan(df) and "SortMergeJoin" in plan(df) for df in met)
+    assert sorted((r.k, r.x) for r in met[0].collect()) == [(1, 12.0), (1, 25.0)]
+    assert [met[1].count(), met[2].count()] == [2, 4]
