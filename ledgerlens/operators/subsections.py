@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +21,33 @@ def containment_tree(ranges: DataFrame, keys: list[str]) -> DataFrame:
     range that only overlaps is no parent, and of equal ranges the earlier holds the later. depth counts the
     ancestors, root is the topmost (the range itself where it has no parent). Empty ranges are left out.
 
-    A range's holders all cover its first page, so they are found by an equi-join on pages and not by comparing
-    the ranges of a document with each other; what is gathered for a range is its holders alone.
+    The rows of a partition come sorted by `keys` and that order, and one pass walks them packet after packet: of the
+    ranges before a row, only those that end no earlier than all after them can still hold something, so a batch and
+    this chain of holders is all that it keeps. Ranges with a null key stand alone.
     """
-    r = ranges.where("start_page <= end_page").select(*keys, "ordinal", "start_page", "end_page")
-    place = F.struct("start_page", (-F.col("end_page")).alias("longer"), "ordinal")
-    covers = r.select(*keys, F.explode(F.sequence("start_page", "end_page")).alias("__page"), place.alias("__holder"))
-    own = r.withColumn("__own", place).withColumn("__page", F.col("start_page"))
-    holds = (F.col("__holder") < F.col("__own")) & (-F.col("__holder.longer") >= F.col("end_page"))
-    found = own.join(covers, [*keys, "__page"]).where(holds).groupBy(*keys, "ordinal").agg(F.reverse(F.array_sort(F.collect_list("__holder"))).alias("__holders"))
+    import pyarrow as pa
 
-    # From the innermost holder outwards: what holds the ancestor found last is the next one.
-    start = F.struct(F.col("end_page").alias("end"), F.lit(0).alias("depth"), F.col("ordinal").alias("root"))
-
-    def up(at: Column, holder: Column) -> Column:
-        return F.when(-holder["longer"] >= at["end"], F.struct((-holder["longer"]).alias("end"), (at["depth"] + 1).alias("depth"), holder["ordinal"].alias("root"))).otherwise(at)
+    r = ranges.where("start_page <= end_page").select(*keys, "ordinal", "start_page", "end_page")
 
-    top = F.aggregate(F.coalesce("__holders", F.array().cast(found.schema["__holders"].dataType)), start, up)
-    out = r.join(found, [*keys, "ordinal"], "left").withColumn("__top", top)
-    return out.select(*keys, "ordinal", "start_page", "end_page", F.get("__holders", F.lit(0))["ordinal"].alias("parent"), F.col("__top.depth").alias("depth"), F.col("__top.root").alias("root"))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chain = None, []
+        for b in batches:
+            parents, depths, roots = [], [], []
+            for key, ordinal, end in zip(zip(*[b.column(k).to_pylist() for k in keys], strict=True), b.column("ordinal").to_pylist(), b.column("end_page").to_pylist(), strict=True):
+                if key != at or None in key:
+                    at, chain = key, []
+                while chain and chain[-1][1] < end:
+                    chain.pop()
+                parents.append(chain[-1][0] if chain else None)
+                depths.append(len(chain))
+                chain.append((ordinal, end))
+                roots.append(chain[0][0])
+            kind = b.schema.field("ordinal").type
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parents, kind), pa.array(depths, pa.int32()), pa.array(roots, kind)], names=[*b.schema.names, "parent", "depth", "root"])
+
+    kind = dict(r.dtypes)
+    schema = ", ".join(f"`{c}` {k}" for c, k in r.dtypes) + f", parent {kind['ordinal']}, depth int, root {kind['ordinal']}"
+    return r.repartition(*keys).sortWithinPartitions(*keys, "start_page", F.desc("end_page"), "ordinal").mapInArrow(walk, schema)
 
 
 def named_like(name: Column, hints: list[str]) -> Column:

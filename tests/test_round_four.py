@@ -151,3 +151,25 @@ def test_copies_in_cells_are_never_broadcast(spark):
     assert all("Broadcast" not in plan(df) and "SortMergeJoin" in plan(df) for df in met)
     assert sorted((r.k, r.x) for r in met[0].collect()) == [(1, 12.0), (1, 25.0)]
     assert [met[1].count(), met[2].count()] == [2, 4]
+
+
+def test_containment_trees_copy_no_range_to_its_pages(spark):
+    from ledgerlens.operators import subsections
+
+    rng = random.Random(9)
+    rows = [(a, b, i, s, s + rng.randrange(-1, 900)) for a in (None, 1, 2) for b in ("x", "y") for i in range(40) for s in [rng.randrange(30)]]
+    df = subsections.containment_tree(spark.createDataFrame(rows, "a long, b string, ordinal long, start_page int, end_page int"), ["a", "b"])
+    assert "explode" not in plan(df).lower()
+    assert df.dtypes == [("a", "bigint"), ("b", "string"), ("ordinal", "bigint"), ("start_page", "int"), ("end_page", "int"), ("parent", "bigint"), ("depth", "int"), ("root", "bigint")]
+    want = set()
+    for a, b, o, s, e in rows:
+        if s > e:
+            continue
+        holders = sorted((x[3], -x[4], x[2]) for x in rows if a and x[:2] == (a, b) and x[3] <= s and x[4] >= e and (x[3], -x[4], x[2]) < (s, -e, o))
+        chain, end = [], e
+        for h in reversed(holders):
+            if -h[1] >= end:
+                chain, end = [*chain, h[2]], -h[1]
+        want.add((a, b, o, s, e, chain[0] if chain else None, len(chain), chain[-1] if chain else o))
+    got = list(map(tuple, df.collect()))
+    assert set(got) == want and len(got) == len(want)
