@@ -82,27 +82,25 @@ def resolve_inline(sections: DataFrame, asked: DataFrame) -> DataFrame:
 
     A blank type stands for any section of the document type, a blank document type for any document; with both blank
     nothing is required, and it isn't applicable. Only where no section of the packet bears the document type do
-    unstamped sections of the section type count instead. Sections bear a key for each way of being asked for, so
-    one equi-join answers all.
+    unstamped sections of the section type count instead. A packet's sections meet what is asked of it by the packet
+    alone, as one row that lists them (an answer may name them all), so they are folded and shuffled once.
     """
     s = sections.select("doc_id", F.col("section_id").cast("string").alias("section_id"), folded(F.col("section_type")).alias("type"), folded(F.col("document_type")).alias("doc"))
-    key = lambda way, doc, kind: F.struct(F.lit(way).alias("way"), doc.alias("doc"), kind.alias("type"))
-    blank, kind, doc = F.lit(""), F.col("type"), F.col("doc")
-    keyed = s.select("doc_id", "section_id", F.explode(F.array(key("both", doc, kind), key("type", blank, kind), key("doc", doc, blank))).alias("key"))
-    stamped = s.where("doc <> ''").select("doc_id", F.col("doc").alias("in_doc")).distinct().withColumn("stamped", F.lit(True))
+    there = s.groupBy("doc_id").agg(F.collect_set(F.struct("doc", "type", "section_id")).alias("there"))
     a = asked.select("doc_id", "section_type", "in_document_type").distinct().withColumns({"type": folded(F.col("section_type")), "in_doc": folded(F.col("in_document_type"))})
-    a = a.join(stamped, ["doc_id", "in_doc"], "left")
-    want = (
-        F.when((kind == "") & (F.col("in_doc") == ""), F.lit(None))
-        .when(F.col("in_doc") == "", key("type", blank, kind))
-        .when(F.col("stamped").isNull(), key("both", blank, kind))
-        .when(kind == "", key("doc", F.col("in_doc"), blank))
-        .otherwise(key("both", F.col("in_doc"), kind))
+    kind, doc, blank = F.col("type"), F.col("in_doc"), F.lit("")
+    stamped = F.when(F.exists("there", lambda x: x["doc"] == doc), doc).otherwise(blank)
+    a = a.join(there, "doc_id", "left").withColumn("from", F.when(doc != "", stamped))
+    of_kind = lambda x: x["type"] == kind
+    met = (
+        F.when((kind == "") & (doc == ""), F.array().cast(there.schema["there"].dataType))
+        .when(doc == "", F.filter("there", of_kind))
+        .when((kind == "") & (F.col("from") != ""), F.filter("there", lambda x: x["doc"] == doc))
+        .otherwise(F.filter("there", lambda x: (x["doc"] == F.col("from")) & of_kind(x)))
     )
-    a = a.withColumn("key", want)
-    met = a.join(keyed, ["doc_id", "key"]).groupBy("doc_id", "type", "in_doc").agg(F.array_sort(F.collect_set("section_id")).alias("section_ids"))
-    out = a.join(met, ["doc_id", "type", "in_doc"], "left").withColumn("section_ids", F.coalesce("section_ids", F.array().cast("array<string>")))
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.transform(met, lambda x: x["section_id"]))))
+    out = a.withColumn("section_ids", F.coalesce(ids, F.array().cast("array<string>")))
     star = lambda c: F.coalesce(F.nullif(F.col(c), blank), F.lit("*"))
     n = F.size("section_ids")
-    reason = F.when(F.col("key").isNull(), "an empty requirement").when(n > 0, F.concat(n.cast("string"), F.lit(" sections matched"))).otherwise("no section matched")
+    reason = F.when((kind == "") & (doc == ""), "an empty requirement").when(n > 0, F.concat(n.cast("string"), F.lit(" sections matched"))).otherwise("no section matched")
     return out.select("doc_id", "section_type", "in_document_type", F.concat_ws(".", star("in_doc"), star("type")).alias("name"), "section_ids", (n > 0).alias("applicable"), reason.alias("reason"))

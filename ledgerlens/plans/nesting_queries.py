@@ -166,7 +166,8 @@ FROM q LEFT JOIN s ON s.d = q.d AND CASE WHEN q.k = '' AND q.doc = '' THEN false
 def _(t):
     s = _sections(t)
     wants = F.array(*[F.struct(F.lit(k).alias("section_type"), F.lit(d).alias("in_document_type")) for k, d in (("R", "Open doc"), ("", "filled-doc"), ("N", ""), ("A", "never"), ("", ""))])
-    r = R.resolve_inline(s, s.select("doc_id").distinct().select("doc_id", F.inline(wants)))
+    docs = t.lineitem.select(F.col("l_orderkey").alias("doc_id")).distinct()
+    r = R.resolve_inline(s, docs.select("doc_id", F.inline(wants)))
     return r.select("doc_id", "name", F.size("section_ids").alias("n"))
 
 

@@ -173,3 +173,23 @@ def test_containment_trees_copy_no_range_to_its_pages(spark):
         want.add((a, b, o, s, e, chain[0] if chain else None, len(chain), chain[-1] if chain else o))
     got = list(map(tuple, df.collect()))
     assert set(got) == want and len(got) == len(want)
+
+
+def test_inline_requirements_meet_a_packet_once(spark):
+    from ledgerlens.operators import requirements
+
+    rows = [(1, "a", "COA", "Batch"), (1, "b", "coa", None), (1, None, "coa", "x"), (2, "c", "", ""), (2, "c", None, " "), (None, "d", "coa", None)]
+    sections = spark.createDataFrame(rows, "doc_id long, section_id string, section_type string, document_type string")
+    wants = [(1, "coa", ""), (1, "COA", ""), (1, "", "batch"), (1, "coa", "none"), (2, "", "none"), (2, None, None), (3, "coa", ""), (None, "coa", "")]
+    asked = spark.createDataFrame([*wants, wants[0]], "doc_id long, section_type string, in_document_type string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = requirements.resolve_inline(sections, asked)
+        physical = plan(df).split("== Physical Plan ==")[1]
+        got = {(r.doc_id, r.section_type, r.in_document_type): (r.section_ids, r.reason) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert physical.count("SortMergeJoin") == 1 and "explode" not in physical
+    none = ([], "no section matched")
+    both, one = (["a", "b"], "2 sections matched"), lambda x: ([x], "1 sections matched")
+    assert got == dict(zip(wants, [both, both, one("a"), one("b"), one("c"), ([], "an empty requirement"), none, none], strict=True))
