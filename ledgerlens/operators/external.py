@@ -17,6 +17,43 @@ from pyspark.sql import functions as F
 Port = Callable[[list[dict]], list[dict]]
 
 
+def _ask(port: Port, ids: list, bodies: list, size: int, tries: int, retry_size: int) -> pd.DataFrame:
+    """answer and error of some requests, in their order."""
+    requests = [{"id": i, **json.loads(b or "{}")} for i, b in zip(ids, bodies, strict=True)]
+    answers: dict[str, str] = {}
+    errors: dict[str, str] = {}
+    left = requests
+    for attempt in range(tries + 1):
+        n = size if not attempt else retry_size
+        for i in range(0, len(left), n):
+            batch = left[i : i + n]
+            asked = {r["id"] for r in batch}
+            try:
+                for a in port(batch):
+                    if a.get("id") in asked:
+                        answers[a["id"]] = json.dumps(a, sort_keys=True)
+            except Exception as e:  # noqa: BLE001  a port's failure is data
+                errors |= dict.fromkeys(asked, f"{type(e).__name__}: {e}")
+        left = [r for r in left if r["id"] not in answers]
+        if not left:
+            break
+    return pd.DataFrame({"answer": [answers.get(i) for i in ids], "error": [None if i in answers else errors.get(i, "skipped") for i in ids]}, dtype=object)
+
+
+def answered(requests: DataFrame, port: Port, size: int = 15, tries: int = 2, retry_size: int = 3) -> DataFrame:
+    """Requests with all their columns, and answer and error as `call` gives them.
+
+    The other columns wait in the JVM, so nothing has to be joined to the answers by their ids. A port isn't
+    deterministic, so each request is sent once however often its answer is used.
+    """
+
+    def each(ids: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+        return _ask(port, ids.tolist(), bodies.tolist(), size, tries, retry_size)
+
+    sent = F.pandas_udf(each, "answer string, error string").asNondeterministic()
+    return requests.withColumn("__sent", sent("id", "body")).select(*requests.columns, "__sent.answer", "__sent.error")
+
+
 def call(requests: DataFrame, port: Port, size: int = 15, tries: int = 2, retry_size: int = 3) -> DataFrame:
     """SRC-10, SRC-11, SRC-14, CLS-8, RUL-11: id, answer (JSON) and error for requests (id string, body JSON string).
 
@@ -26,25 +63,7 @@ def call(requests: DataFrame, port: Port, size: int = 15, tries: int = 2, retry_
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
-            todo = [{"id": i, **json.loads(b or "{}")} for i, b in zip(df["id"], df["body"], strict=True)]
-            answers: dict[str, str] = {}
-            errors: dict[str, str] = {}
-            for attempt in range(tries + 1):
-                n = size if not attempt else retry_size
-                left = [r for r in todo if r["id"] not in answers]
-                for i in range(0, len(left), n):
-                    batch = left[i : i + n]
-                    asked = {r["id"] for r in batch}
-                    try:
-                        for a in port(batch):
-                            if a.get("id") in asked:
-                                answers[a["id"]] = json.dumps(a, sort_keys=True)
-                    except Exception as e:  # noqa: BLE001  a port's failure is data
-                        errors |= dict.fromkeys(asked, f"{type(e).__name__}: {e}")
-                if len(answers) == len({r["id"] for r in todo}):
-                    break
-            ids = df["id"].tolist()
-            yield pd.DataFrame({"id": ids, "answer": [answers.get(i) for i in ids], "error": [None if i in answers else errors.get(i, "skipped") for i in ids]})
+            yield _ask(port, df["id"].tolist(), df["body"].tolist(), size, tries, retry_size).assign(id=df["id"].tolist())[["id", "answer", "error"]]
 
     return requests.select("id", "body").mapInPandas(each, "id string, answer string, error string")
 

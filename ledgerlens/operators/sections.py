@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .external import Port, call
+from .external import Port, answered, call
 
 #: The bands of a page, and how sure a hit of each kind is.
 BANDS = ("top_of_page", "top_of_table", "mid_page")
@@ -144,14 +144,14 @@ def resolve_sections(rules: DataFrame, sections: DataFrame, port: Port) -> DataF
 
     rules: doc_id, rule_id, text, wanted (array of section types; rules without any aren't asked). sections: doc_id, section_id, name.
     The port answers {"id", "sections": [ids], "applicable", "reason"}. Sections that the document hasn't are
-    left out; a rule whose call fails takes all of its document's sections, by an equi-join on the document.
+    left out; a rule whose call fails takes all of its document's sections, which wait beside its request.
     """
     asked = rules.where(F.size("wanted") > 0)
     known = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_id", "name"))).alias("sections"))
     ident = F.to_json(F.array(F.col("doc_id").cast("string"), F.col("rule_id").cast("string")))
-    bodies = asked.join(known, "doc_id", "left").select(ident.alias("id"), F.to_json(F.struct("rule_id", "text", "wanted", "sections")).alias("body"))
-    got = call(bodies, port).select("id", F.from_json("answer", "sections array<string>, applicable boolean, reason string").alias("a"), "error")
-    named = asked.select("doc_id", "rule_id", ident.alias("id")).join(got, "id").join(known, "doc_id", "left")
+    bodies = asked.join(known, "doc_id", "left").select("doc_id", "rule_id", "sections", ident.alias("id"), F.to_json(F.struct("rule_id", "text", "wanted", "sections")).alias("body"))
+    said = F.from_json("answer", "sections array<string>, applicable boolean, reason string")
+    named = answered(bodies, port).withColumn("a", said)
     all_ids = F.transform(F.coalesce("sections", F.array()), lambda s: s["section_id"].cast("string"))
     chosen = F.when(F.col("error").isNotNull(), all_ids).otherwise(F.array_intersect(F.coalesce("a.sections", F.array()), all_ids))
     return named.select(

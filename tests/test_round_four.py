@@ -193,3 +193,22 @@ def test_inline_requirements_meet_a_packet_once(spark):
     none = ([], "no section matched")
     both, one = (["a", "b"], "2 sections matched"), lambda x: ([x], "1 sections matched")
     assert got == dict(zip(wants, [both, both, one("a"), one("b"), one("c"), ([], "an empty requirement"), none, none], strict=True))
+
+
+def test_answers_are_not_joined_to_their_requests(spark):
+    rules = spark.createDataFrame([(1, 1, "t", ["a"]), (1, 2, "t", ["a"]), (2, 1, "t", ["a"]), (2, 2, "t", []), (None, 1, "t", ["a"])], "doc_id long, rule_id int, text string, wanted array<string>")
+    sections = spark.createDataFrame([(1, 10, "One"), (1, 11, "Two"), (2, 12, "Three")], "doc_id long, section_id long, name string")
+
+    def port(batch):
+        return [{"id": r["id"], "sections": ["11", "99"], "reason": "said"} for r in batch if r["rule_id"] == 1 and "sections" in r]
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = S.resolve_sections(rules, sections, port)
+        physical = plan(df).split("== Physical Plan ==")[1]
+        got = sorted(map(tuple, df.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert physical.count("SortMergeJoin") == 1 and physical.count("ArrowEvalPython") == 1
+    failed = "no resolution; all sections"
+    assert got == sorted([(1, 1, "11", True, "said"), (1, 2, "10", True, failed), (1, 2, "11", True, failed), (2, 1, None, True, "said"), (None, 1, None, True, failed)], key=repr)
