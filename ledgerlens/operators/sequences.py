@@ -47,7 +47,8 @@ def uncovered(ranges: DataFrame, totals: DataFrame, keys: list[str]) -> DataFram
     ends = totals.where("total >= 1").groupBy(*keys).agg(F.max("total").alias("__total")).select(*keys, (F.col("__total") + 1).alias("__at"), none.alias("__to"), "__total")
     held = ranges.where("start_page <= end_page").select(*keys, F.col("start_page").alias("__at"), F.col("end_page").alias("__to"), none.alias("__total"))
     w = Window.partitionBy(*keys)
-    before = w.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    # The total's row goes before ranges that begin right after it, as these would else hide the run that it ends.
+    before = w.orderBy("__at", F.desc_nulls_last("__total")).rowsBetween(Window.unboundedPreceding, -1)
     start = F.greatest(F.coalesce(F.max("__to").over(before), F.lit(0)) + 1, F.lit(1))
     runs = ends.unionByName(held).withColumns({"start_page": start.cast(kind), "end_page": (F.col("__at") - 1).cast(kind), "__most": F.max("__total").over(w)})
     # What begins beyond the total ends no run; the total itself does.
